@@ -10,6 +10,7 @@ A filter is ``{field, operator, value, logic}``. Several filters combine in one
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_, or_
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F, types as T
@@ -62,6 +63,8 @@ def condition(
         if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             column = column.cast("timestamp")
         found = COMPARISONS[operator](column, typed_literal(value, data_type))
+        if operator in (">", ">=") and isinstance(data_type, (T.FloatType, T.DoubleType)):
+            found = found & ~F.isnan(column)  # Spark orders NaN above every number
     elif operator == "like":
         text = column.cast("string")
         found = text.rlike(str(value)) if like == "regex" else text.contains(str(value))
@@ -88,7 +91,8 @@ def _logic(spec: Mapping) -> str:
     return str(spec.get("logic") or "and").lower()
 
 
-def combine(conditions: Sequence[Column], logics: Sequence[str], mode: str = "fold") -> Column:
+def combine(conditions: Sequence, logics: Sequence[str], mode: str = "fold"):
+    """Columns to one Column, or plain booleans to one boolean."""
     if mode not in MODES:
         raise ValueError(f"unknown combine mode {mode!r}; known: {', '.join(MODES)}")
     if not conditions:
@@ -108,13 +112,11 @@ def combine(conditions: Sequence[Column], logics: Sequence[str], mode: str = "fo
                 runs.append([nxt])
             else:
                 runs[-1].append(nxt)
-        return reduce(Column.__or__, [reduce(Column.__and__, run) for run in runs])
+        return reduce(or_, [reduce(and_, run) for run in runs])
     must = [c for c, logic in zip(conditions, logics) if logic != "or"]
     should = [c for c, logic in zip(conditions, logics) if logic == "or"]
-    parts = ([reduce(Column.__and__, must)] if must else []) + (
-        [reduce(Column.__or__, should)] if should else []
-    )
-    return reduce(Column.__and__, parts)
+    parts = ([reduce(and_, must)] if must else []) + ([reduce(or_, should)] if should else [])
+    return reduce(and_, parts)
 
 
 def compile_filters(
@@ -144,3 +146,23 @@ def equality_values(filters: Sequence[Mapping], mode: str = "fold"):
     if len(filters) > 1 and any(_logic(f) != "or" for f in tail):
         return None
     return filters[0]["field"], [f["value"] for f in filters]
+
+
+def numeric_field(filters: Sequence[Mapping]) -> str | None:
+    """The field of a filter list that only compares one field with numbers."""
+    filters = list(filters or [])
+    if not filters or any(f["operator"] not in COMPARISONS for f in filters):
+        return None
+    if len({f["field"] for f in filters}) != 1:
+        return None
+    return filters[0]["field"]
+
+
+def holds_at(filters: Sequence[Mapping], place: int, places: Mapping[float, int], mode: str) -> bool:
+    """Whether a one-field filter list holds at a place on the line.
+
+    The distinct constants of a query block cut the line: constant number i is place 2i + 1, the
+    open interval above it is place 2i + 2, the one below all constants is place 0.
+    """
+    truths = [COMPARISONS[f["operator"]](place, places[float(f["value"])]) for f in filters]
+    return combine(truths, [_logic(f) for f in filters], mode)

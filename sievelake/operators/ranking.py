@@ -14,13 +14,15 @@ MAX_RANGES = 4096
 DIRECT_SAMPLE = 10_000
 
 
-def _with_range(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:
+def _with_range(
+    df: DataFrame, key: str, rows_per_range: int, rows_at_most: int | None
+) -> DataFrame:
     """Add ``_range``: a number that grows with ``key``, with about equally many rows each.
 
     The split points are read once and become constants, so that every later pass, and every
     recomputed task, puts a row into the same range.
     """
-    rows = df.count()
+    rows = df.count() if rows_at_most is None else rows_at_most
     ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
     if ranges <= 1:
         return df.withColumn("_range", F.lit(0.0))
@@ -36,24 +38,32 @@ def _with_range(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:
 
 
 def running_total(
-    df: DataFrame, key: str, weight: Column, out: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame,
+    key: str,
+    weight: Column,
+    out: str,
+    rows_per_range: int = ROWS_PER_RANGE,
+    rows_at_most: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all rows up to this one in the order of ``key``.
 
     ``key`` is numeric and unique. Rows are cut into key ranges; a window runs inside each range
-    and starts from the total of the ranges before it, at most ``MAX_RANGES`` numbers.
+    and starts from the total of the ranges before it, at most ``MAX_RANGES`` numbers. A caller
+    that knows a bound on the rows saves the count.
     """
-    ranged = _with_range(df.withColumn("_weight", weight), key, rows_per_range)
-    totals = ranged.groupBy("_range").agg(F.sum("_weight").alias("_sum"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")
-    )
+    ranged = _with_range(df.withColumn("_weight", weight), key, rows_per_range, rows_at_most)
     inside = (
         Window.partitionBy("_range")
         .orderBy(key)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    if rows_at_most is not None and rows_at_most <= rows_per_range:
+        return ranged.withColumn(out, F.sum("_weight").over(inside)).drop("_range", "_weight")
+    totals = ranged.groupBy("_range").agg(F.sum("_weight").alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")
+    )
     return (
         ranged.join(F.broadcast(starts), "_range")
         .withColumn(out, F.sum("_weight").over(inside) + F.col("_start"))
@@ -67,9 +77,11 @@ def contiguous_ids(
     out: str = "id",
     start: int = 1,
     rows_per_range: int = ROWS_PER_RANGE,
+    rows_at_most: int | None = None,
 ) -> DataFrame:
     """Number all rows ``start, start+1, ...`` in the order of a unique numeric key."""
-    numbered = running_total(df, order_key, F.lit(1).cast("bigint"), "_number", rows_per_range)
+    one = F.lit(1).cast("bigint")
+    numbered = running_total(df, order_key, one, "_number", rows_per_range, rows_at_most)
     return numbered.withColumn(out, (F.col("_number") + F.lit(start - 1)).cast("bigint")).drop(
         "_number"
     )

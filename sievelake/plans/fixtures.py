@@ -71,7 +71,7 @@ def quantized(vector: Column) -> Column:
 def drawn(rows: DataFrame) -> DataFrame:
     """QUERIES corpus rows, numbered by id: the sample every query set is made from."""
     picked = sample_exact(rows.drop("image_vec"), QUERIES, "id", QUERY_STREAM)
-    return contiguous_ids(picked, "id", out="num").withColumn(
+    return contiguous_ids(picked, "id", out="num", rows_at_most=QUERIES).withColumn(
         "name", F.concat(F.lit("query"), F.col("num").cast("string"))
     )
 
@@ -139,6 +139,14 @@ def q_three_terms(spark, folder) -> DataFrame:
     return as_query_set(drawn(corpus(spark, folder)), three_terms())
 
 
+def q_one_bound(spark, folder) -> DataFrame:
+    """A single upper or lower bound per query."""
+    upper = F.array(spec("range_val", "<", F.col("range_val")))
+    lower = F.array(spec("range_val", ">=", F.col("range_val")))
+    filters = F.when(F.col("num") % 2 == 0, upper).otherwise(lower)
+    return as_query_set(drawn(corpus(spark, folder)), filters)
+
+
 def q_mixed(spark, folder) -> DataFrame:
     kind = F.col("num") % 4
     one_of_three = F.array(
@@ -179,7 +187,7 @@ def centroids(spark, folder) -> DataFrame:
     """CENTROIDS drawn corpus rows as cells 1..CENTROIDS."""
     rows = plain_corpus(spark, folder).select("id", "image_vec")
     picked = sample_exact(rows, CENTROIDS, "id", CENTROID_STREAM)
-    return contiguous_ids(picked, "id", out="cell").select(
+    return contiguous_ids(picked, "id", out="cell", rows_at_most=CENTROIDS).select(
         F.col("cell").cast("int").alias("cell"), F.col("image_vec").alias("centre")
     )
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import knn_queries
+from . import analysis_queries, knn_queries
 
-GROUPS = (knn_queries,)
+GROUPS = (knn_queries, analysis_queries)
 
 
 def queries() -> dict:
