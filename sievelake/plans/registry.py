@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, knn_queries
+from . import (
+    analysis_queries,
+    ann_queries,
+    knn_queries,
+    metric_queries,
+    mutate_queries,
+    synth_queries,
+    table_queries,
+)
 
-GROUPS = (knn_queries, analysis_queries)
+GROUPS = (
+    knn_queries,
+    ann_queries,
+    analysis_queries,
+    synth_queries,
+    mutate_queries,
+    metric_queries,
+    table_queries,
+)
 
 
 def queries() -> dict:
