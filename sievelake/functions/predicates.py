@@ -87,7 +87,7 @@ def is_empty(column: Column, data_type: T.DataType) -> Column:
     return column.isNull()
 
 
-def _logic(spec: Mapping) -> str:
+def logic_of(spec: Mapping) -> str:
     return str(spec.get("logic") or "and").lower()
 
 
@@ -129,7 +129,7 @@ def compile_filters(
     """The whole filter list as one predicate; an empty list passes every row."""
     filters = list(filters or [])
     conditions = [condition(schema, f, like, empty_value_means_empty) for f in filters]
-    return combine(conditions, [_logic(f) for f in filters], mode)
+    return combine(conditions, [logic_of(f) for f in filters], mode)
 
 
 def equality_values(filters: Sequence[Mapping], mode: str = "fold"):
@@ -143,7 +143,7 @@ def equality_values(filters: Sequence[Mapping], mode: str = "fold"):
     if len({f["field"] for f in filters}) != 1:
         return None
     tail = filters if mode == "must_should" else filters[1:]
-    if len(filters) > 1 and any(_logic(f) != "or" for f in tail):
+    if len(filters) > 1 and any(logic_of(f) != "or" for f in tail):
         return None
     return filters[0]["field"], [f["value"] for f in filters]
 
@@ -165,4 +165,4 @@ def holds_at(filters: Sequence[Mapping], place: int, places: Mapping[float, int]
     open interval above it is place 2i + 2, the one below all constants is place 0.
     """
     truths = [COMPARISONS[f["operator"]](place, places[float(f["value"])]) for f in filters]
-    return combine(truths, [_logic(f) for f in filters], mode)
+    return combine(truths, [logic_of(f) for f in filters], mode)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .blocktopk import merge_topk, partial_topk
-from .knn import Query, over_blocks, vectors_for, with_hits
+from .hits import with_hits
+from .knn import Query, over_blocks, vectors_for
 
 BROADCAST_ROWS = 1_000_000
 RELEVANCE_OPERATORS = ("==", ">", ">=", "<", "<=")
@@ -94,7 +95,7 @@ def match_counts(
     """
 
     def answer(block: Sequence[Query]) -> DataFrame:
-        hits = with_hits(df, block, mode, like, keep_all=True)
+        hits = with_hits(df, [q.filters for q in block], mode, like, keep_all=True)
         found = (
             hits.select(F.explode(F.concat(F.array(F.lit(-1)), "hits")).alias("position"))
             .groupBy("position")
@@ -103,13 +104,17 @@ def match_counts(
         names = df.sparkSession.createDataFrame(
             [(i, q.name) for i, q in enumerate(block)], "position int, name string"
         )
-        total = found.where(F.col("position") == -1).agg(
-            F.coalesce(F.max("matched"), F.lit(0)).alias("total")
-        )
+        everything = Window.partitionBy(F.lit(0))  # one row per query of the block
+        total = F.max(F.when(F.col("position") == -1, F.col("matched"))).over(everything)
         return (
-            names.join(found, "position", "left")
-            .select("name", F.coalesce("matched", F.lit(0)).alias("matched"))
-            .join(F.broadcast(total))
+            names.join(found, "position", "full")
+            .select("name", "position", "matched", total.alias("total"))
+            .where(F.col("position") >= 0)
+            .select(
+                "name",
+                F.coalesce("matched", F.lit(0)).alias("matched"),
+                F.coalesce("total", F.lit(0)).alias("total"),
+            )
         )
 
     return over_blocks(queries, answer, empty_schema="name string, matched bigint, total bigint")
@@ -209,9 +214,8 @@ def query_filter_correlation(
         parts = []
         for field, members in _by_vector_field(block):
             vectors = vectors_for(source, members, field)
-            near = with_hits(
-                _nearest_rows(df, members, top_k, vectors, metric), members, mode, keep_all=True
-            )
+            near = _nearest_rows(df, members, top_k, vectors, metric)
+            near = with_hits(near, [q.filters for q in members], mode, keep_all=True)
             names = df.sparkSession.createDataFrame(
                 [(i, q.name) for i, q in enumerate(members)], "position int, name string"
             )

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.keyed import SPAN
 from ..functions.vectors import hash_codes, keyed_ints, nearest_centre, sign_codes
 from .blocktopk import merge_topk, partial_topk
-from .knn import Query, over_blocks, vectors_for, with_hits, with_lookup
+from .hits import with_hits, with_lookup
+from .knn import Query, over_blocks, vectors_for
 from .ranking import contiguous_ids, sample_exact
 
 CENTRE_STREAM = 401
@@ -100,13 +101,14 @@ def candidate_topk(
     outs = []
     for number, (column, positions) in enumerate(lookups.items()):
         outs.append(f"_cand{number}")
-        rows = with_lookup(rows, column, positions, outs[-1], required=len(lookups) == 1)
+        rows = with_lookup(rows, column, {outs[-1]: positions}, required=len(lookups) == 1)
     nothing = F.array().cast("array<int>")
     found = [F.coalesce(F.col(out), nothing) for out in outs]
     candidates = found[0] if len(found) == 1 else F.array_distinct(F.concat(*found))
     rows = rows.withColumn("_candidates", candidates).drop(*outs)
     if any(q.filters for q in members):
-        rows = with_hits(rows.where(F.size("_candidates") > 0), members, mode)
+        reached = rows.where(F.size("_candidates") > 0)
+        rows = with_hits(reached, [q.filters for q in members], mode)
         rows = rows.withColumn("hits", F.array_intersect("hits", "_candidates"))
     else:
         rows = rows.withColumn("hits", F.col("_candidates"))
@@ -173,6 +175,12 @@ def ivf_sweep(
     )
 
 
+def with_sweep(queries: DataFrame, params: Sequence[int]) -> DataFrame:
+    """Every query once per sweep position."""
+    positions = F.posexplode(F.array(*[F.lit(int(p)) for p in params]))
+    return queries.select("*", positions.alias("sweep_pos", "param"))
+
+
 def ivf_search(
     assigned: DataFrame,
     queries: DataFrame,

@@ -9,13 +9,13 @@ from itertools import islice
 from typing import Iterable, Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.distance import distance, order_value, vector_literal
-from ..functions.predicates import compile_filters, equality_values, holds_at, numeric_field
+from ..functions.predicates import compile_filters
 from ..session import scratch_path
 from .blocktopk import merge_topk, partial_topk
+from .hits import with_hits
 
 BLOCK = 512
 INLINE_BLOCKS = 8
@@ -96,157 +96,6 @@ def vectors_for(corpus: DataFrame, block: Sequence[Query], vector: str) -> np.nd
     return np.stack([known[q.reference_id] for q in block])
 
 
-# ---------------------------------------------------------------- which row meets which query
-
-
-LOOKUP_TYPES = (T.IntegralType, T.FloatType, T.DoubleType, T.StringType)
-SEGMENT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
-
-
-def _type_of(rows: DataFrame, field: str) -> T.DataType:
-    if field not in rows.columns:
-        raise ValueError(f"unknown field {field!r}")
-    return rows.schema[field].dataType
-
-
-def _typed_key(value, data_type: T.DataType):
-    """A filter value as a lookup key of the field's type; None when no row can equal it."""
-    if isinstance(data_type, T.IntegralType):
-        number = float(value)
-        if number != int(number):
-            return None
-        return int(value) if str(value).lstrip("+-").isdigit() else int(number)
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return float(value)
-    return str(value)
-
-
-def with_lookup(
-    rows: DataFrame, column: str, positions: Mapping, out: str, required: bool
-) -> DataFrame:
-    """Add ``out``: the query positions listed for the row's value of ``column``.
-
-    ``positions`` has at most one entry per filter value of a query block, so it is broadcast;
-    ``required`` drops rows whose value no query asks for, which the scan can already skip.
-    """
-    data_type = rows.schema[column].dataType
-    table = rows.sparkSession.createDataFrame(
-        [(value, sorted(set(found))) for value, found in positions.items()],
-        T.StructType(
-            [
-                T.StructField("_value", data_type),
-                T.StructField(out, T.ArrayType(T.IntegerType(), False)),
-            ]
-        ),
-    )
-    if required:
-        rows = rows.where(F.col(column).isin(list(positions)))
-    joined = rows.join(
-        F.broadcast(table),
-        F.col(column) == F.col("_value"),
-        "inner" if required else "left",
-    )
-    return joined.drop("_value")
-
-
-def with_segments(
-    rows: DataFrame,
-    field: str,
-    members: Sequence[tuple[int, Sequence[Mapping]]],
-    mode: str,
-    out: str,
-    required: bool,
-) -> DataFrame:
-    """Add ``out`` for queries that compare one numeric field with constants.
-
-    The m distinct constants cut the line into m points and m + 1 intervals, on each of which
-    every filter is constant. A binary search finds the row's place, a broadcast table of m + 1
-    rows gives the queries there, whatever the number of queries.
-    """
-    constants = sorted({float(f["value"]) for _, filters in members for f in filters})
-    places = {value: 2 * i + 1 for i, value in enumerate(constants)}
-    found = [
-        [p for p, filters in members if holds_at(filters, place, places, mode)]
-        for place in range(2 * len(constants) + 1)
-    ]
-    table = rows.sparkSession.createDataFrame(
-        [(0, None, [], found[0])]
-        + [(i + 1, c, found[2 * i + 1], found[2 * i + 2]) for i, c in enumerate(constants)],
-        f"_segment int, _constant double, _at array<int>, {out} array<int>",
-    )
-    if required and not found[0]:
-        rows = rows.where(F.col(field) >= constants[0])
-    if required and not found[-1]:
-        rows = rows.where(F.col(field) <= constants[-1])
-    value = F.col(field).cast("double")
-    rows = rows.withColumn("_place", F.when(~F.isnan(value), value))
-    splits = [float("-inf"), *constants, float("inf")]
-    located = Bucketizer(
-        splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep"
-    ).transform(rows)
-    joined = located.join(
-        F.broadcast(table), F.col("_bucket").cast("int") == F.col("_segment"), "left"
-    )
-    at = F.when(F.col("_place") == F.col("_constant"), F.col("_at")).otherwise(F.col(out))
-    return joined.withColumn(out, at).drop("_place", "_bucket", "_segment", "_constant", "_at")
-
-
-def with_hits(
-    rows: DataFrame,
-    block: Sequence[Query],
-    mode: str = "fold",
-    like: str = "regex",
-    keep_all: bool = False,
-) -> DataFrame:
-    """Add ``hits``: the positions of the queries whose filter the row passes.
-
-    Queries of the form ``field IN (...)`` share one lookup per field, comparisons of one numeric
-    field share one table of segments; of the others every distinct filter list is evaluated once
-    as a predicate. Rows that pass no filter are dropped unless ``keep_all``.
-    """
-    lookups: dict[str, dict] = defaultdict(lambda: defaultdict(list))
-    segments: dict[str, list] = defaultdict(list)
-    predicates: dict[tuple, list[int]] = defaultdict(list)
-    filters_of = {}
-    for position, query in enumerate(block):
-        simple = equality_values(query.filters, mode)
-        if simple and isinstance(_type_of(rows, simple[0]), LOOKUP_TYPES):
-            for value in simple[1]:
-                key = _typed_key(value, _type_of(rows, simple[0]))
-                if key is not None:
-                    lookups[simple[0]][key].append(position)
-            continue
-        field = numeric_field(query.filters)
-        if field and isinstance(_type_of(rows, field), SEGMENT_TYPES):
-            segments[field].append((position, query.filters))
-            continue
-        same = tuple(tuple(sorted(f.items())) for f in query.filters)
-        predicates[same].append(position)
-        filters_of[same] = query.filters
-    only = len(lookups) + len(segments) == 1 and not predicates and not keep_all
-    nothing = F.array().cast("array<int>")
-    parts, added = [], []
-    for field, positions in lookups.items():
-        added.append(f"_hits{len(added)}")
-        rows = with_lookup(rows, field, positions, added[-1], required=only)
-    for field, members in segments.items():
-        added.append(f"_hits{len(added)}")
-        rows = with_segments(rows, field, members, mode, added[-1], required=only)
-    parts = [F.coalesce(F.col(name), nothing) for name in added]
-    if predicates:
-        found = [
-            F.when(
-                compile_filters(rows.schema, filters_of[same], mode, like),
-                F.array(*[F.lit(p) for p in positions]),
-            )
-            for same, positions in predicates.items()
-        ]
-        parts.append(F.flatten(F.array_compact(F.array(*found))))
-    hits = F.concat(*parts) if len(parts) > 1 else parts[0] if parts else nothing
-    rows = rows.withColumn("hits", hits).drop(*added)
-    return rows if keep_all or (only and lookups) else rows.where(F.size("hits") > 0)
-
-
 # ---------------------------------------------------------------- search
 
 
@@ -290,7 +139,8 @@ def knn_block(
         vectors = vectors_for(corpus if references is None else references, members, field)
         rows = corpus.where(F.col(field).isNotNull())
         if any(q.filters for q in members):
-            rows = with_hits(rows, members, mode, like).select("id", field, "hits")
+            filters = [q.filters for q in members]
+            rows = with_hits(rows, filters, mode, like).select("id", field, "hits")
         else:
             rows = rows.select("id", field)
         parts.append(

@@ -125,32 +125,27 @@ def mutation_time(log: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int = BINS) -> DataFrame:
     """(bin, low, high, cnt): equal bins from the minimum to the maximum, the last one closed.
 
-    The extremes are one row; empty bins are kept.
+    Empty bins are kept; when all values are equal they lie in the last bin.
     """
     values = df.select(value.alias("x")).where(F.col("x").isNotNull())
-    ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    place = F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
+    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    if low is None:
+        return df.sparkSession.createDataFrame([], "bin int, low double, high double, cnt bigint")
+    width = high - low
+    last = F.lit(bins - 1)
+    place = F.floor((F.col("x") - low) / F.lit(width) * bins) if width > 0 else last
     counts = (
-        values.join(F.broadcast(ends))
-        .select(
-            F.least(F.coalesce(place, F.lit(bins - 1)), F.lit(bins - 1)).cast("int").alias("bin")
-        )
+        values.select(F.least(place, last).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    spark = df.sparkSession
-    edges = (
-        spark.range(bins)
-        .select(F.col("id").cast("int").alias("bin"))
-        .join(F.broadcast(ends.where(F.col("lo").isNotNull())))
-        .select(
-            "bin",
-            (F.col("lo") + F.col("bin") * step).alias("low"),
-            F.when(F.col("bin") == bins - 1, F.col("hi"))
-            .otherwise(F.col("lo") + (F.col("bin") + 1) * step)
-            .alias("high"),
-        )
+    edges = df.sparkSession.createDataFrame(
+        [
+            (i, low + i * width / bins, high if i == bins - 1 else low + (i + 1) * width / bins)
+            for i in range(bins)
+        ],
+        "bin int, low double, high double",
     )
     return edges.join(counts, "bin", "left").select(
         "bin", "low", "high", F.coalesce("cnt", F.lit(0)).alias("cnt")

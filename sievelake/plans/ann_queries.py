@@ -66,8 +66,7 @@ def swept(spark, folder, queries):
 
 def sweep_recalls(spark, folder):
     rows, queries = fx.plain_corpus(spark, folder), fx.q_equal(spark, folder)
-    params = spark.createDataFrame(list(enumerate(PROBES)), "sweep_pos int, param int")
-    wanted = queries.select("name").join(F.broadcast(params))
+    wanted = ann.with_sweep(queries.select("name"), PROBES)
     return metrics.recall_at_k(
         knn.knn_batch(rows, queries),
         swept(spark, folder, queries),
