@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .blocktopk import merge_topk, partial_topk
-from .hits import with_hits
+from .blocktopk import bits_of, merge_topk, partial_topk
+from .hits import has_position, hit_words, with_hits
 from .knn import Query, over_blocks, vectors_for
 
 BROADCAST_ROWS = 1_000_000
@@ -85,21 +87,38 @@ def relevance_targets(queries: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- selectivity of whole filters
 
 
+def _bit_counter(queries: int):
+    def count(batches):
+        rows, matched = 0, np.zeros(queries, dtype=np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            matched += bits_of(batch.columns)[:, :queries].sum(axis=0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(-1, queries, dtype=np.int32)),
+                pa.array(np.concatenate([[rows], matched])),
+            ],
+            ["position", "matched"],
+        )
+
+    return count
+
+
 def match_counts(
     df: DataFrame, queries: DataFrame, mode: str = "fold", like: str = "regex"
 ) -> DataFrame:
     """(name, matched, total) for every query, in one pass over the rows.
 
-    Each row is turned into the positions of the queries it passes, and these are counted on the
-    map side; position -1 counts the rows themselves.
+    Every task adds up the bits of its rows; position -1 counts the rows themselves.
     """
 
     def answer(block: Sequence[Query]) -> DataFrame:
         hits = with_hits(df, [q.filters for q in block], mode, like, keep_all=True)
+        words = hits.select(*hit_words(len(block)))
         found = (
-            hits.select(F.explode(F.concat(F.array(F.lit(-1)), "hits")).alias("position"))
+            words.mapInArrow(_bit_counter(len(block)), "position int, matched bigint")
             .groupBy("position")
-            .agg(F.count(F.lit(1)).alias("matched"))
+            .agg(F.sum("matched").alias("matched"))
         )
         names = df.sparkSession.createDataFrame(
             [(i, q.name) for i, q in enumerate(block)], "position int, name string"
@@ -223,9 +242,9 @@ def query_filter_correlation(
                 near.join(F.broadcast(names), "name")
                 .groupBy("name")
                 .agg(
-                    F.avg(F.array_contains("hits", F.col("position")).cast("double")).alias(
-                        "relevance"
-                    )
+                    F.avg(
+                        has_position(hit_words(len(members)), F.col("position")).cast("double")
+                    ).alias("relevance")
                 )
             )
         rows = parts[0]

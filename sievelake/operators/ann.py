@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import replace
 from functools import reduce
+from operator import or_
 from typing import Mapping, Sequence
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.keyed import SPAN
 from ..functions.vectors import hash_codes, keyed_ints, nearest_centre, sign_codes
 from .blocktopk import merge_topk, partial_topk
-from .hits import with_hits, with_lookup
+from .hits import Positions, hit_words, with_hits, with_lookup
 from .knn import Query, over_blocks, vectors_for
 from .ranking import contiguous_ids, sample_exact
 
@@ -98,21 +99,20 @@ def candidate_topk(
     mode: str,
 ) -> DataFrame:
     """Exact top-k of each query among the rows one of its lookups leads to and its filter passes."""
+    names = hit_words(len(members))
     outs = []
     for number, (column, positions) in enumerate(lookups.items()):
-        outs.append(f"_cand{number}")
-        rows = with_lookup(rows, column, {outs[-1]: positions}, required=len(lookups) == 1)
-    nothing = F.array().cast("array<int>")
-    found = [F.coalesce(F.col(out), nothing) for out in outs]
-    candidates = found[0] if len(found) == 1 else F.array_distinct(F.concat(*found))
-    rows = rows.withColumn("_candidates", candidates).drop(*outs)
+        outs.append(f"_cand{number}_")
+        only = len(lookups) == 1
+        rows = with_lookup(rows, column, {outs[-1]: positions}, len(members), required=only)
+    led_to = [Positions.of_columns(hit_words(len(members), out)) for out in outs]
+    candidates = reduce(or_, led_to)
+    rows = rows.where(candidates.any())
     if any(q.filters for q in members):
-        reached = rows.where(F.size("_candidates") > 0)
-        rows = with_hits(reached, [q.filters for q in members], mode)
-        rows = rows.withColumn("hits", F.array_intersect("hits", "_candidates"))
-    else:
-        rows = rows.withColumn("hits", F.col("_candidates"))
-    rows = rows.where(F.size("hits") > 0).select("id", vector, "hits")
+        rows = with_hits(rows, [q.filters for q in members], mode)
+        candidates = candidates & Positions([F.col(name) for name in names])
+    rows = rows.withColumns(dict(zip(names, candidates.columns)))
+    rows = rows.where(Positions([F.col(n) for n in names]).any()).select("id", vector, *names)
     partial = partial_topk(
         rows, [q.name for q in members], vectors, [q.limit for q in members], metric
     )

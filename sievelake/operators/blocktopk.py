@@ -31,6 +31,14 @@ def vectors_of(column: pa.Array, dimension: int) -> np.ndarray:
     return flat.reshape(len(column), dimension).astype(np.float64)
 
 
+def bits_of(words: Sequence[pa.Array]) -> np.ndarray:
+    """Bigint columns as a (rows, 64 x columns) matrix of bits."""
+    stacked = np.stack([w.to_numpy(zero_copy_only=False) for w in words], axis=1)
+    return np.unpackbits(
+        np.ascontiguousarray(stacked, dtype="<i8").view(np.uint8), axis=1, bitorder="little"
+    )
+
+
 def measure(name: str, block: np.ndarray, query: np.ndarray) -> np.ndarray:
     """The metric between every row of ``block`` and one query; smaller is nearer."""
     if name in ("l2", "l2_squared"):
@@ -115,13 +123,13 @@ def partial_topk(
 ) -> DataFrame:
     """At most ``limit`` rows per task and query, as (name, k, id, value).
 
-    ``rows`` is (id, vector) or (id, vector, hits), where ``hits`` lists the positions of the
-    queries a row may answer. The query block is part of the task, hence bounded by the caller.
+    ``rows`` is (id, vector), or (id, vector, hit words), where bit q says whether the row may
+    answer query q. The query block is part of the task, hence bounded by the caller.
     """
     lookup_metric(metric)
     queries = np.ascontiguousarray(vectors, dtype=np.float64)
     names, limits = list(names), [int(k) for k in limits]
-    with_hits = len(rows.columns) == 3
+    with_hits = len(rows.columns) > 2
     step = max(1, BLOCK_CELLS // max(queries.shape[1], len(names)))
 
     def scan(batches):
@@ -133,14 +141,8 @@ def partial_topk(
                 block = vectors_of(batch.column(1), queries.shape[1])
                 grouped = None
                 if with_hits:
-                    hits = batch.column(2)
-                    query_of = hits.flatten().to_numpy(zero_copy_only=False)
-                    row_of = np.repeat(
-                        np.arange(len(ids)), hits.value_lengths().to_numpy(zero_copy_only=False)
-                    )
-                    order = np.argsort(query_of, kind="stable")
-                    present, starts = np.unique(query_of[order], return_index=True)
-                    grouped = dict(zip(present.tolist(), np.split(row_of[order], starts[1:])))
+                    hits = bits_of(batch.columns[2:])[:, : len(names)]
+                    grouped = {q: np.flatnonzero(hits[:, q]) for q in np.flatnonzero(hits.any(0))}
                 _scan_block(metric, best, ids, block, queries, grouped)
         sizes = [len(b.ids) for b in best]
         yield pa.RecordBatch.from_arrays(

@@ -67,9 +67,9 @@ def assemble(
 def tags_from_pairs(pairs: DataFrame, row: str = "row", tag: str = "tag") -> DataFrame:
     """Sparse (row, tag) pairs to one sorted tag array per row.
 
-    ``collect_set`` drops repeated pairs before the shuffle; an array holds distinct tags only.
+    Repeated pairs go first, in a plain hash aggregate that works before its shuffle.
     """
-    return pairs.groupBy(row).agg(F.array_sort(F.collect_set(tag)).alias("tags"))
+    return pairs.select(row, tag).distinct().groupBy(row).agg(F.array_sort(F.collect_set(tag)).alias("tags"))
 
 
 def declared_type(column: Mapping) -> T.DataType:

@@ -1,23 +1,25 @@
 """Which queries of a block may a row answer?
 
-``with_hits`` adds an array of query positions to every row. Queries whose filters have the same
-form (the same fields and operators, other constants) are handled together, term by term: a term
-gives the positions whose constant the row satisfies, AND of terms is the intersection of two such
-arrays, OR their union. A term is found by
+``with_hits`` gives every row a set of query positions, kept as bits in a few bigint columns
+(``hit_words``). Queries whose filters have the same form (the same fields and operators, other
+constants) are handled together, term by term: a term gives the positions whose constant the row
+satisfies, AND and OR of terms are bitwise operations. A term is found by
 
 * equality    a broadcast table from constant to positions,
 * comparison  a binary search over the sorted constants and a broadcast table of what holds there,
 * containment a constant map from element to positions,
 * anything else a predicate per distinct filter.
 
-So the plan grows with the number of forms and not with the number of queries, and every table is
-bounded by the query block.
+So the plan grows with the number of forms and not with the number of queries, every table is
+bounded by the query block, and the work per row stays inside generated code.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -34,12 +36,57 @@ from ..functions.predicates import (
 
 LOOKUP_TYPES = (T.IntegralType, T.FloatType, T.DoubleType, T.StringType)
 SEGMENT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
-POSITIONS = T.ArrayType(T.IntegerType(), False)
+WORD = 64
 
 
-def positions_literal(positions: Sequence[int]) -> Column:
-    listed = ", ".join(str(p) for p in positions)
-    return F.expr(f"cast(array({listed}) as array<int>)")
+# ---------------------------------------------------------------- positions as bits
+
+
+def words_for(queries: int) -> int:
+    return max(1, -(-queries // WORD))
+
+
+def hit_words(queries: int, prefix: str = "_hits") -> list[str]:
+    """The names of the columns that hold one bit per query."""
+    return [f"{prefix}{i}" for i in range(words_for(queries))]
+
+
+def as_words(positions: Sequence[int], words: int) -> list[int]:
+    """Positions as signed 64-bit integers."""
+    bits = [0] * words
+    for position in positions:
+        bits[position // WORD] |= 1 << (position % WORD)
+    return [b - (1 << WORD) if b >= 1 << (WORD - 1) else b for b in bits]
+
+
+class Positions:
+    """A set of query positions, one column per word; ``&`` and ``|`` are set operations."""
+
+    def __init__(self, columns: Sequence[Column]):
+        self.columns = list(columns)
+
+    def __and__(self, other: "Positions") -> "Positions":
+        return Positions([a.bitwiseAND(b) for a, b in zip(self.columns, other.columns)])
+
+    def __or__(self, other: "Positions") -> "Positions":
+        return Positions([a.bitwiseOR(b) for a, b in zip(self.columns, other.columns)])
+
+    @staticmethod
+    def constant(positions: Sequence[int], words: int) -> "Positions":
+        return Positions([F.lit(w).cast("bigint") for w in as_words(positions, words)])
+
+    @staticmethod
+    def of_columns(names: Sequence[str]) -> "Positions":
+        return Positions([F.coalesce(F.col(name), F.lit(0).cast("bigint")) for name in names])
+
+    def any(self) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), self.columns) != 0
+
+
+def has_position(names: Sequence[str], position: Column) -> Column:
+    """Whether the bit of a position, itself a column, is set."""
+    word = F.element_at(F.array(*names), (F.floor(position / WORD) + 1).cast("int"))
+    return F.getbit(word, position % WORD) == 1
 
 
 def typed_key(value, data_type: T.DataType):
@@ -60,23 +107,30 @@ def _type_of(rows: DataFrame, name: str) -> T.DataType:
     return rows.schema[name].dataType
 
 
+def _longs(names: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(name, T.LongType()) for name in names]
+
+
 # ---------------------------------------------------------------- the three kinds of table
 
 
 def with_lookup(
-    rows: DataFrame, column: str, outs: Mapping[str, Mapping], required: bool = False
+    rows: DataFrame, column: str, outs: Mapping[str, Mapping], queries: int, required: bool = False
 ) -> DataFrame:
-    """Add one array column per entry of ``outs``: the positions listed for the row's value.
+    """Add the words of every entry of ``outs``: the positions listed for the row's value.
 
     ``required`` drops rows whose value nobody asks for, which the scan can already skip.
     """
-    names = list(outs)
+    words = words_for(queries)
     values = sorted({value for positions in outs.values() for value in positions})
     table = rows.sparkSession.createDataFrame(
-        [(v, *[sorted(set(outs[name].get(v, ()))) for name in names]) for v in values],
+        [
+            (v, *[w for listed in outs.values() for w in as_words(listed.get(v, ()), words)])
+            for v in values
+        ],
         T.StructType(
             [T.StructField("_value", rows.schema[column].dataType)]
-            + [T.StructField(name, POSITIONS) for name in names]
+            + _longs([name for out in outs for name in hit_words(queries, out)])
         ),
     )
     if required:
@@ -89,38 +143,43 @@ def with_segments(
     rows: DataFrame,
     column: str,
     outs: Mapping[str, Sequence[tuple[int, Sequence[Mapping]]]],
+    queries: int,
     mode: str,
     required: bool = False,
 ) -> DataFrame:
-    """Add one array column per entry of ``outs``, each a list of (position, filters on column).
+    """Add the words of every entry of ``outs``, a list of (position, filters on the column).
 
     The m distinct constants cut the line into m points and m + 1 intervals, on each of which
     every filter is constant.
     """
+    words = words_for(queries)
     constants = sorted(
         {float(f["value"]) for members in outs.values() for _, filters in members for f in filters}
     )
     places = {value: 2 * i + 1 for i, value in enumerate(constants)}
-    found = {
-        name: [
-            [p for p, filters in members if holds_at(filters, place, places, mode)]
-            for place in range(2 * len(constants) + 1)
+
+    def holding(place: int) -> list[int]:
+        return [
+            word
+            for members in outs.values()
+            for word in as_words([p for p, f in members if holds_at(f, place, places, mode)], words)
         ]
-        for name, members in outs.items()
-    }
-    columns = [T.StructField("_segment", T.IntegerType()), T.StructField("_constant", T.DoubleType())]
-    for name in outs:
-        columns += [T.StructField(f"_at{name}", POSITIONS), T.StructField(name, POSITIONS)]
-    table = [(0, None, *[x for lists in found.values() for x in ([], lists[0])])]
+
+    above = [name for out in outs for name in hit_words(queries, out)]
+    on_point = [f"_on{name}" for name in above]
+    table = [(0, None, *holding(0), *([0] * len(above)))]
     for i, constant in enumerate(constants):
-        at_and_above = [
-            x for lists in found.values() for x in (lists[2 * i + 1], lists[2 * i + 2])
-        ]
-        table.append((i + 1, constant, *at_and_above))
-    segments = rows.sparkSession.createDataFrame(table, T.StructType(columns))
-    if required and not any(lists[0] for lists in found.values()):
+        table.append((i + 1, constant, *holding(2 * i + 2), *holding(2 * i + 1)))
+    segments = rows.sparkSession.createDataFrame(
+        table,
+        T.StructType(
+            [T.StructField("_segment", T.IntegerType()), T.StructField("_constant", T.DoubleType())]
+            + _longs(above + on_point)
+        ),
+    )
+    if required and not any(holding(0)):
         rows = rows.where(F.col(column) >= constants[0])
-    if required and not any(lists[-1] for lists in found.values()):
+    if required and not any(holding(2 * len(constants))):
         rows = rows.where(F.col(column) <= constants[-1])
     value = F.col(column).cast("double")
     splits = [float("-inf"), *constants, float("inf")]
@@ -130,36 +189,34 @@ def with_segments(
     joined = located.join(
         F.broadcast(segments), F.col("_bucket").cast("int") == F.col("_segment"), "left"
     )
-    on_point = F.col("_place") == F.col("_constant")
-    chosen = {n: F.when(on_point, F.col(f"_at{n}")).otherwise(F.col(n)) for n in outs}
-    return joined.withColumns(chosen).drop(
-        "_place", "_bucket", "_segment", "_constant", *[f"_at{n}" for n in outs]
-    )
+    exact = F.col("_place") == F.col("_constant")
+    chosen = {
+        name: F.when(exact, F.col(on)).otherwise(F.col(name)) for name, on in zip(above, on_point)
+    }
+    return joined.withColumns(chosen).drop("_place", "_bucket", "_segment", "_constant", *on_point)
 
 
-def contained(column: str, data_type: T.ArrayType, positions: Mapping) -> Column:
-    """The positions listed for any element of an array column."""
+def contained(
+    column: str, data_type: T.ArrayType, positions: Mapping, words: int
+) -> list[Column]:
+    """The words of the positions listed for any element of an array column."""
     keys = F.array(*[F.lit(key).cast(data_type.elementType) for key in positions])
-    lists = ", ".join(f"array({', '.join(map(str, found))})" for found in positions.values())
-    table = F.map_from_arrays(keys, F.expr(f"cast(array({lists}) as array<array<int>>)"))
+    rows = [as_words(found, words) for found in positions.values()]
     wanted = F.array_intersect(F.col(column), keys)
-    return F.flatten(F.transform(wanted, lambda element: F.element_at(table, element)))
-
-
-# ---------------------------------------------------------------- terms
 
+    def word(i: int) -> Column:
+        values = ", ".join(f"{row[i]}" for row in rows)
+        table = F.map_from_arrays(keys, F.expr(f"cast(array({values}) as array<bigint>)"))
+        return F.aggregate(
+            wanted,
+            F.lit(0).cast("bigint"),
+            lambda bits, element: bits.bitwiseOR(F.element_at(table, element)),
+        )
 
-class Positions:
-    """An array of query positions; ``&`` and ``|`` are set operations on it."""
-
-    def __init__(self, column: Column):
-        self.column = column
+    return [word(i) for i in range(words)]
 
-    def __and__(self, other: "Positions") -> "Positions":
-        return Positions(F.array_intersect(self.column, other.column))
 
-    def __or__(self, other: "Positions") -> "Positions":
-        return Positions(F.array_union(self.column, other.column))
+# ---------------------------------------------------------------- terms
 
 
 @dataclass
@@ -167,6 +224,7 @@ class Terms:
     """Everything that has to be added to the rows, by the kind of table that gives it."""
 
     rows: DataFrame
+    queries: int
     mode: str
     like: str
     lookups: dict = field(default_factory=lambda: defaultdict(dict))
@@ -193,12 +251,13 @@ class Terms:
         return "predicate"
 
     def add(self, kind: str, members: Sequence[tuple[int, Sequence[Mapping]]]) -> Positions:
-        """The positions of one kind of filter, on one field, as a column to be computed."""
-        name = f"_term{self.count}"
-        self.count += 1
-        nothing = F.expr("cast(array() as array<int>)")
+        """The positions of one kind of filter, on one field, as columns to be computed."""
+        words = words_for(self.queries)
         if kind == "all":
-            return Positions(positions_literal([p for p, _ in members]))
+            return Positions.constant([p for p, _ in members], words)
+        name = f"_term{self.count}_"
+        names = hit_words(self.queries, name)
+        self.count += 1
         target = members[0][1][0]["field"]
         data_type = _type_of(self.rows, target)
         if kind == "compare":
@@ -212,33 +271,45 @@ class Terms:
                     if key is not None:
                         positions[key].append(position)
             if not positions:
-                return Positions(nothing)
+                return Positions.constant([], words)
             if kind == "equal":
                 self.lookups[target][name] = positions
             else:
-                self.columns[name] = contained(target, data_type, positions)
+                self.columns.update(zip(names, contained(target, data_type, positions, words)))
         else:
-            same = defaultdict(list)
-            for position, filters in members:
-                same[tuple(tuple(sorted(f.items(), key=str)) for f in filters)].append(
-                    (position, filters)
-                )
-            found = [
-                F.when(
-                    compile_filters(self.rows.schema, group[0][1], self.mode, self.like),
-                    positions_literal([p for p, _ in group]),
-                )
-                for group in same.values()
-            ]
-            self.columns[name] = F.flatten(F.array_compact(F.array(*found)))
-        return Positions(F.coalesce(F.col(name), nothing))
+            self.columns.update(zip(names, self._predicates(members, words)))
+        return Positions.of_columns(names)
+
+    def _predicates(self, members, words: int) -> list[Column]:
+        same = defaultdict(list)
+        for position, filters in members:
+            key = tuple(tuple(sorted(f.items(), key=str)) for f in filters)
+            same[key].append((position, filters))
+        tested = [
+            (
+                compile_filters(self.rows.schema, group[0][1], self.mode, self.like),
+                as_words([p for p, _ in group], words),
+            )
+            for group in same.values()
+        ]
+        none = F.lit(0).cast("bigint")
+        return [
+            F.aggregate(
+                F.array(
+                    *[F.when(test, F.lit(w[i]).cast("bigint")).otherwise(none) for test, w in tested]
+                ),
+                none,
+                lambda bits, word: bits.bitwiseOR(word),
+            )
+            for i in range(words)
+        ]
 
     def applied(self, required: bool) -> DataFrame:
         rows = self.rows
         for target, outs in self.lookups.items():
-            rows = with_lookup(rows, target, outs, required)
+            rows = with_lookup(rows, target, outs, self.queries, required)
         for target, outs in self.segments.items():
-            rows = with_segments(rows, target, outs, self.mode, required)
+            rows = with_segments(rows, target, outs, self.queries, self.mode, required)
         return rows.withColumns(self.columns) if self.columns else rows
 
 
@@ -249,11 +320,12 @@ def with_hits(
     like: str = "regex",
     keep_all: bool = False,
 ) -> DataFrame:
-    """Add ``hits``: the positions of the filter lists the row passes.
+    """Add the ``hit_words`` of the filter lists the row passes.
 
     Rows that pass none are dropped unless ``keep_all``.
     """
-    terms = Terms(rows, mode, like)
+    queries = len(filter_lists)
+    terms = Terms(rows, queries, mode, like)
     forms: dict[tuple, list] = defaultdict(list)
     for position, filters in enumerate(filter_lists):
         filters = list(filters or ())
@@ -273,14 +345,10 @@ def with_hits(
             for i, (_, part_kind, _) in enumerate(parts)
         ]
         found.append(combine(each, [logic for _, _, logic in parts], mode))
-    required = not keep_all and len(terms.lookups) + len(terms.segments) == 1 == len(forms)
-    required = required and not terms.columns and next(iter(forms))[0] in ("equal", "compare")
-    columns = [positions.column for positions in found]
-    if not columns:
-        hits = F.expr("cast(array() as array<int>)")
-    else:
-        hits = columns[0] if len(columns) == 1 else F.concat(*columns)
-    added = [f"_term{i}" for i in range(terms.count)]
-    rows = terms.applied(required).withColumn("hits", hits).drop(*added)
-    return rows if keep_all else rows.where(F.size("hits") > 0)
-
+    required = not keep_all and len(forms) == 1 and next(iter(forms))[0] in ("equal", "compare")
+    required = required and len(terms.lookups) + len(terms.segments) == 1
+    hits = reduce(or_, found, Positions.constant([], words_for(queries)))
+    names = hit_words(queries)
+    added = [name for i in range(terms.count) for name in hit_words(queries, f"_term{i}_")]
+    rows = terms.applied(required).withColumns(dict(zip(names, hits.columns))).drop(*added)
+    return rows if keep_all else rows.where(Positions([F.col(n) for n in names]).any())

@@ -15,7 +15,7 @@ from ..functions.distance import distance, order_value, vector_literal
 from ..functions.predicates import compile_filters
 from ..session import scratch_path
 from .blocktopk import merge_topk, partial_topk
-from .hits import with_hits
+from .hits import hit_words, with_hits
 
 BLOCK = 512
 INLINE_BLOCKS = 8
@@ -140,7 +140,8 @@ def knn_block(
         rows = corpus.where(F.col(field).isNotNull())
         if any(q.filters for q in members):
             filters = [q.filters for q in members]
-            rows = with_hits(rows, filters, mode, like).select("id", field, "hits")
+            words = hit_words(len(members))
+            rows = with_hits(rows, filters, mode, like).select("id", field, *words)
         else:
             rows = rows.select("id", field)
         parts.append(

@@ -10,6 +10,7 @@ from typing import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
 from .analysis import filters_of
 from .ranking import running_total
 
@@ -57,7 +58,10 @@ def rewrite_by_filter_rate(
     ``<=`` the last one. ``>`` and ``>=`` become ``>=`` the first chosen value, which is the
     minimum and passes every row; with ``descending`` they accumulate from the largest value down
     instead. A filter on a field without rates, and a query without a target, stay as they are.
+
+    The rates come from a scan of the corpus and are read several times here, so they are stored.
     """
+    rates = stored(rates, "rates")
     fields = sorted(r["field"] for r in rates.select("field").distinct().collect())
     running = with_running_counts(rates, fields)
     filters = filters_of(queries).join(targets, "name", "left")
@@ -117,7 +121,8 @@ def rewrite_by_relevance(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     chosen = (
-        relevances.where(F.col("value").isNotNull())
+        stored(relevances, "relevances")
+        .where(F.col("value").isNotNull())
         .withColumn("upto", F.sum("cnt").over(order))
         .join(targets, "name")
         .where(_is_chosen(F.col("target")))

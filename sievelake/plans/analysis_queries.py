@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.predicates import compile_filters
 from ..operators import analysis, rewrite
+from ..session import stored
 from . import fixtures as fx
 from .knn_queries import FOLD, MIXED, RANGE
 
@@ -357,7 +358,7 @@ def rewrite_targets(spark, folder):
 )
 def rewrite_filter_rate_eq(spark, folder):
     rows = fx.plain_corpus(spark, folder)
-    queries = fx.q_equal(spark, folder)
+    queries = stored(fx.q_equal(spark, folder), "queries")
     found = analysis.filter_rates(rows, ["eq_val"])
     return shown(rewrite.rewrite_by_filter_rate(queries, found, targets(queries)))
 
@@ -375,7 +376,7 @@ def rewrite_filter_rate_eq(spark, folder):
     ),
 )
 def rewrite_filter_rate_contains(spark, folder):
-    queries = fx.q_contains(spark, folder)
+    queries = stored(fx.q_contains(spark, folder), "queries")
     found = analysis.tag_rates(fx.corpus(spark, folder))
     return shown(rewrite.rewrite_by_filter_rate(queries, found, targets(queries)))
 
@@ -392,7 +393,7 @@ def rewrite_filter_rate_contains(spark, folder):
     ),
 )
 def rewrite_filter_rate_range(spark, folder):
-    queries = fx.q_range(spark, folder)
+    queries = stored(fx.q_range(spark, folder), "queries")
     found = analysis.filter_rates(fx.corpus(spark, folder), ["range_val"])
     return shown(rewrite.rewrite_by_filter_rate(queries, found, targets(queries)))
 
@@ -411,7 +412,7 @@ WALK = """SELECT *, sum(cnt) OVER (PARTITION BY name ORDER BY value) AS upto,
     ),
 )
 def rewrite_relevance_eq(spark, folder):
-    queries = fx.q_equal(spark, folder)
+    queries = stored(fx.q_equal(spark, folder), "queries")
     found = analysis.relevance_distribution(fx.plain_corpus(spark, folder), queries, DEPTH)
     return shown(rewrite.rewrite_by_relevance(queries, found, targets(queries)))
 
@@ -428,7 +429,7 @@ def rewrite_relevance_eq(spark, folder):
 )
 def rewrite_relevance_range(spark, folder):
     rows = fx.corpus(spark, folder)
-    queries = fx.q_one_bound(spark, folder)
+    queries = stored(fx.q_one_bound(spark, folder), "queries")
     found = analysis.relevance_distribution(
         rows, queries, DEPTH, references=fx.plain_corpus(spark, folder)
     )

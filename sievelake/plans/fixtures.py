@@ -33,13 +33,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def tag_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Sparse tags as (row, tag)."""
-    return (
-        table(spark, folder, "lineitem")
-        .select(
-            F.col("l_orderkey").alias("row"), (F.col("l_partkey") % 50).cast("int").alias("tag")
-        )
-        .distinct()
+    """Sparse tags as (row, tag); pairs may repeat."""
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("row"), (F.col("l_partkey") % 50).cast("int").alias("tag")
     )
 
 
@@ -48,13 +44,15 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.corpus import assemble, tags_from_pairs
 
     embeddings = table(spark, folder, "embeddings")
+    rows = embeddings.select(F.col("vec_id").alias("row"))
+    tagged = tag_pairs(spark, folder).join(rows, "row", "left_semi")
     return assemble(
         embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("image_vec")),
         embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("eq_val")),
         table(spark, folder, "orders").select(
             F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("range_val")
         ),
-        tags_from_pairs(tag_pairs(spark, folder)).withColumnRenamed("row", "id"),
+        tags_from_pairs(tagged).withColumnRenamed("row", "id"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, mutate, synth
 from ..operators.ranking import sample_exact
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..streaming import ingest
 from . import fixtures as fx
 from .sqltext import keyed_sql
@@ -50,7 +50,7 @@ class Work:
     def __init__(self, spark, folder):
         self.base = fx.quantized_corpus(spark, folder)
         self.rows = fx.plain_corpus(spark, folder).count()
-        self.inc = synth.incremental_generate(self.base, fx.INCREMENT_RATIO)
+        self.inc = stored(synth.incremental_generate(self.base, fx.INCREMENT_RATIO), "increment")
         self.inc_rows = int(self.rows * fx.INCREMENT_RATIO)
 
     @property

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -47,10 +46,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df):
-    """``df.checkpoint()`` into the shared folder, so that lost executors lose nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.join(shared_folder(spark), "checkpoints"))
-    return df.checkpoint()
+def stored(df, label: str):
+    """Write a result that several plans read to the shared folder and read it back.
+
+    It cuts the lineage, survives lost executors, and lets Spark see the real size when it chooses
+    a join.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
