@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from ..operators.blocktopk import vectors_of
+from ..operators.blocktopk import measure, vectors_of
+from .distance import metric as lookup_metric
 from .keyed import ROUNDS
 
 CENTRES_PER_PASS = 1 << 24  # matrix cells
@@ -47,6 +48,22 @@ def project(vector: Column, matrix: np.ndarray) -> Column:
     return product(vector)
 
 
+def distance_to(vector: Column, reference, metric: str = "l2") -> Column:
+    """The distance of a whole column of vectors to one constant vector.
+
+    The same value as ``distance.distance`` with a vector literal, a batch at a time.
+    """
+    query = np.asarray(reference, dtype=np.float64)
+    sign = -1.0 if lookup_metric(metric).descending else 1.0
+
+    @F.arrow_udf("double")
+    def measured(column: pa.Array) -> pa.Array:
+        values = sign * measure(metric, vectors_of(column, len(query)), query)
+        return pa.array(values, mask=np.isnan(values))
+
+    return measured(vector)
+
+
 def hash_codes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """One integer per table: bit b is set when the vector lies above plane b of that table.
 
@@ -74,12 +91,14 @@ def _nearest(block: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
     The matrix product decides unless two centres are closer than its rounding error; such rows
     are measured exactly.
     """
-    sizes = (block * block).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :]
-    slack = 16.0 * (block.shape[1] + 8) * np.finfo(np.float64).eps * sizes.max(initial=0.0)
-    rough = sizes - 2.0 * (block @ centres.T)
+    sizes = (centres * centres).sum(axis=1)
+    largest = (block * block).sum(axis=1).max(initial=0.0) + sizes.max(initial=0.0)
+    slack = 16.0 * (block.shape[1] + 8) * np.finfo(np.float64).eps * largest
+    rough = block @ (-2.0 * centres.T)
+    rough += sizes
     close = rough <= rough.min(axis=1, keepdims=True) + slack
     index = close.argmax(axis=1)
-    for row in np.flatnonzero(close.sum(axis=1) > 1):
+    for row in np.flatnonzero(np.count_nonzero(close, axis=1) > 1):
         options = np.flatnonzero(close[row])
         gaps = centres[options] - block[row]
         index[row] = options[(gaps * gaps).sum(axis=1).argmin()]

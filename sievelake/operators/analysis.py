@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import local_table
 from .blocktopk import bits_of, merge_topk, partial_topk
 from .hits import has_position, hit_words, with_hits
 from .knn import Query, over_blocks, vectors_for
@@ -120,9 +121,7 @@ def match_counts(
             .groupBy("position")
             .agg(F.sum("matched").alias("matched"))
         )
-        names = df.sparkSession.createDataFrame(
-            [(i, q.name) for i, q in enumerate(block)], "position int, name string"
-        )
+        names = _numbered(df, block)
         everything = Window.partitionBy(F.lit(0))  # one row per query of the block
         total = F.max(F.when(F.col("position") == -1, F.col("matched"))).over(everything)
         return (
@@ -168,6 +167,11 @@ def _nearest_rows(df: DataFrame, block: Sequence[Query], top_k: int, vectors, me
     return df.drop(field).join(topk, "id")
 
 
+def _numbered(df: DataFrame, block: Sequence[Query]) -> DataFrame:
+    rows = [(i, q.name) for i, q in enumerate(block)]
+    return local_table(df.sparkSession, rows, "position int, name string")
+
+
 def _by_vector_field(block: Sequence[Query]):
     fields = {}
     for query in block:
@@ -235,11 +239,8 @@ def query_filter_correlation(
             vectors = vectors_for(source, members, field)
             near = _nearest_rows(df, members, top_k, vectors, metric)
             near = with_hits(near, [q.filters for q in members], mode, keep_all=True)
-            names = df.sparkSession.createDataFrame(
-                [(i, q.name) for i, q in enumerate(members)], "position int, name string"
-            )
             parts.append(
-                near.join(F.broadcast(names), "name")
+                near.join(F.broadcast(_numbered(df, members)), "name")
                 .groupBy("name")
                 .agg(
                     F.avg(

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keyed import SPAN
 from ..functions.vectors import hash_codes, keyed_ints, nearest_centre, sign_codes
+from ..session import local_table
 from .blocktopk import merge_topk, partial_topk
 from .hits import Positions, hit_words, with_hits, with_lookup
 from .knn import Query, over_blocks, vectors_for
@@ -48,7 +49,8 @@ def kmeans_centroids(
     sample = sample_exact(df.select("id", vector), rows, "id", CENTRE_STREAM)
     features = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=20).fit(features)
-    return df.sparkSession.createDataFrame(
+    return local_table(
+        df.sparkSession,
         [(i + 1, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "cell int, centre array<double>",
     )

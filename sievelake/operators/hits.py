@@ -33,10 +33,12 @@ from ..functions.predicates import (
     logic_of,
     numeric_field,
 )
+from ..session import local_table
 
 LOOKUP_TYPES = (T.IntegralType, T.FloatType, T.DoubleType, T.StringType)
 SEGMENT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
 WORD = 64
+DENSE_KEYS = 4096
 
 
 # ---------------------------------------------------------------- positions as bits
@@ -123,7 +125,8 @@ def with_lookup(
     """
     words = words_for(queries)
     values = sorted({value for positions in outs.values() for value in positions})
-    table = rows.sparkSession.createDataFrame(
+    table = local_table(
+        rows.sparkSession,
         [
             (v, *[w for listed in outs.values() for w in as_words(listed.get(v, ()), words)])
             for v in values
@@ -170,7 +173,8 @@ def with_segments(
     table = [(0, None, *holding(0), *([0] * len(above)))]
     for i, constant in enumerate(constants):
         table.append((i + 1, constant, *holding(2 * i + 2), *holding(2 * i + 1)))
-    segments = rows.sparkSession.createDataFrame(
+    segments = local_table(
+        rows.sparkSession,
         table,
         T.StructType(
             [T.StructField("_segment", T.IntegerType()), T.StructField("_constant", T.DoubleType())]
@@ -200,22 +204,35 @@ def contained(
     column: str, data_type: T.ArrayType, positions: Mapping, words: int
 ) -> list[Column]:
     """The words of the positions listed for any element of an array column."""
-    keys = F.array(*[F.lit(key).cast(data_type.elementType) for key in positions])
-    rows = [as_words(found, words) for found in positions.values()]
-    wanted = F.array_intersect(F.col(column), keys)
+    none = F.lit(0).cast("bigint")
+    dense = isinstance(data_type.elementType, T.IntegralType) and all(
+        0 <= key < DENSE_KEYS for key in positions
+    )
+    keys = range(max(positions) + 1) if dense else list(positions)
+    rows = [as_words(positions.get(key, ()), words) for key in keys]
+    key_array = key_literal(data_type, positions)
 
     def word(i: int) -> Column:
         values = ", ".join(f"{row[i]}" for row in rows)
-        table = F.map_from_arrays(keys, F.expr(f"cast(array({values}) as array<bigint>)"))
+        table = F.expr(f"cast(array({values}) as array<bigint>)")
+        if dense:  # small keys are places in the table
+            found = lambda key: F.when(key >= 0, F.get(table, key))
+            wanted = F.col(column)
+        else:
+            by_key = F.map_from_arrays(key_array, table)
+            found = lambda key: F.element_at(by_key, key)
+            wanted = F.array_intersect(F.col(column), key_array)
         return F.aggregate(
-            wanted,
-            F.lit(0).cast("bigint"),
-            lambda bits, element: bits.bitwiseOR(F.element_at(table, element)),
+            wanted, none, lambda bits, key: bits.bitwiseOR(F.coalesce(found(key), none))
         )
 
     return [word(i) for i in range(words)]
 
 
+def key_literal(data_type: T.ArrayType, positions: Mapping) -> Column:
+    return F.array(*[F.lit(key).cast(data_type.elementType) for key in positions])
+
+
 # ---------------------------------------------------------------- terms
 
 
@@ -230,6 +247,7 @@ class Terms:
     lookups: dict = field(default_factory=lambda: defaultdict(dict))
     segments: dict = field(default_factory=lambda: defaultdict(dict))
     columns: dict = field(default_factory=dict)
+    overlaps: list = field(default_factory=list)
     count: int = 0
 
     def kind(self, filters: Sequence[Mapping]) -> str:
@@ -276,6 +294,9 @@ class Terms:
                 self.lookups[target][name] = positions
             else:
                 self.columns.update(zip(names, contained(target, data_type, positions, words)))
+                self.overlaps.append(
+                    F.arrays_overlap(F.col(target), key_literal(data_type, positions))
+                )
         else:
             self.columns.update(zip(names, self._predicates(members, words)))
         return Positions.of_columns(names)
@@ -305,12 +326,17 @@ class Terms:
         ]
 
     def applied(self, required: bool) -> DataFrame:
+        """Computed columns come before the joins, so that a later filter cannot repeat them."""
         rows = self.rows
+        for test in self.overlaps if required else ():
+            rows = rows.where(test)
+        if self.columns:
+            rows = rows.withColumns(self.columns)
         for target, outs in self.lookups.items():
             rows = with_lookup(rows, target, outs, self.queries, required)
         for target, outs in self.segments.items():
             rows = with_segments(rows, target, outs, self.queries, self.mode, required)
-        return rows.withColumns(self.columns) if self.columns else rows
+        return rows
 
 
 def with_hits(
@@ -345,10 +371,13 @@ def with_hits(
             for i, (_, part_kind, _) in enumerate(parts)
         ]
         found.append(combine(each, [logic for _, _, logic in parts], mode))
-    required = not keep_all and len(forms) == 1 and next(iter(forms))[0] in ("equal", "compare")
-    required = required and len(terms.lookups) + len(terms.segments) == 1
+    kind = next(iter(forms))[0] if len(forms) == 1 and not keep_all else None
+    tables = len(terms.lookups) + len(terms.segments) + len(terms.overlaps)
+    required = kind in ("equal", "compare", "contain") and tables == 1
     hits = reduce(or_, found, Positions.constant([], words_for(queries)))
     names = hit_words(queries)
     added = [name for i in range(terms.count) for name in hit_words(queries, f"_term{i}_")]
     rows = terms.applied(required).withColumns(dict(zip(names, hits.columns))).drop(*added)
-    return rows if keep_all else rows.where(Positions([F.col(n) for n in names]).any())
+    if keep_all or (required and kind != "compare"):
+        return rows
+    return rows.where(Positions([F.col(n) for n in names]).any())

@@ -6,6 +6,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import local_table
+
 PERCENTS = (1, 5, 25, 50, 95, 99)
 BINS = 14
 LEAST_LATENCY = 1e-9
@@ -131,7 +133,7 @@ def histogram(df: DataFrame, value: Column, bins: int = BINS) -> DataFrame:
     ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
     low, high = ends["low"], ends["high"]
     if low is None:
-        return df.sparkSession.createDataFrame([], "bin int, low double, high double, cnt bigint")
+        return local_table(df.sparkSession, [], "bin int, low double, high double, cnt bigint")
     width = high - low
     last = F.lit(bins - 1)
     place = F.floor((F.col("x") - low) / F.lit(width) * bins) if width > 0 else last
@@ -140,7 +142,8 @@ def histogram(df: DataFrame, value: Column, bins: int = BINS) -> DataFrame:
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    edges = df.sparkSession.createDataFrame(
+    edges = local_table(
+        df.sparkSession,
         [
             (i, low + i * width / bins, high if i == bins - 1 else low + (i + 1) * width / bins)
             for i in range(bins)

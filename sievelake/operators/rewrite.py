@@ -10,7 +10,7 @@ from typing import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stored
+from ..session import local_table, stored
 from .analysis import filters_of
 from .ranking import running_total
 
@@ -23,8 +23,10 @@ def rewrite_targets(
 ) -> DataFrame:
     """(name, target): the override of a query, else the default, else no row."""
     spark = queries.sparkSession
-    given = spark.createDataFrame(
-        [(n, float(t)) for n, t in (overrides or {}).items()], "name string, override double"
+    given = local_table(
+        spark,
+        [(n, float(t)) for n, t in (overrides or {}).items()],
+        "name string, override double",
     )
     fallback = F.lit(None if default is None else float(default)).cast("double")
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import distance_to
 from ..operators import knn
 from . import fixtures as fx
 
@@ -148,9 +149,7 @@ for _name, _sql in {
         ),
     )
     def dist(spark, folder, name=_name):
-        from ..functions.distance import distance, vector_literal
-
         rows = fx.plain_corpus(spark, folder)
         reference = fx.first_reference(rows, fx.q_equal(spark, folder))
-        value = distance(F.col("image_vec"), vector_literal(reference), name)
+        value = distance_to(F.col("image_vec"), reference, name)
         return rows.select("id", F.round(value, 6).alias("dist"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Iterable, Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,3 +58,12 @@ def stored(df, label: str):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: Iterable[Sequence], schema: str | T.StructType) -> DataFrame:
+    """A few rows known to the driver as a table inside the plan, sent as one Arrow batch."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrays = [pa.array(values, kind) for values, kind in zip(columns, arrow.types)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
