@@ -1,45 +1,44 @@
 """Randomness that depends only on a key.
 
 ``rand(seed)`` depends on how rows are partitioned, so a recomputed task may draw other numbers.
-Here every draw is a pure integer function of (key, stream): three multiplications modulo three
-primes below 2**31, all within signed 64 bits.
+Here every draw is a pure integer function of (key, stream): the key is folded to 31 bits and
+mixed by shifts and multiplications that stay within signed 64 bits.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, functions as F
 
-# Multiplier, modulus of each round.
-ROUNDS = (
-    (1103515245, 2147483647),
-    (950706376, 2147483629),
-    (742938285, 2147483587),
-)
-SPAN = ROUNDS[-1][1]
+# The shift before each multiplication, the factors, the last shift.
+SHIFTS = (16, 15)
+FACTORS = (2146121005, 1540483477)
+LAST_SHIFT = 16
+MASK = 2147483647
+SPAN = 2147483648
+FOLD = 40692
 STREAM_STEP = 1013904223
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
 def keyed_int(key: Column, stream: int = 0) -> Column:
     """A bigint in [0, SPAN) for a bigint key."""
     key = key.cast("bigint")
-    low = key.bitwiseAND(F.lit(2147483647).cast("bigint"))
-    high = F.shiftrightunsigned(key, 31) % F.lit(2147483647).cast("bigint")
-    offset = (stream * STREAM_STEP) % 2147483647
-    mixed = (low + high * F.lit(40692).cast("bigint") + F.lit(offset).cast("bigint")) % F.lit(
-        2147483647
-    ).cast("bigint")
-    return mix(mixed)
+    low = key.bitwiseAND(_long(MASK))
+    high = F.shiftrightunsigned(key, 31).bitwiseAND(_long(MASK))
+    offset = (stream * STREAM_STEP) & MASK
+    return mix((low + high * _long(FOLD) + _long(offset)).bitwiseAND(_long(MASK)))
 
 
 def mix(value: Column) -> Column:
-    """The three rounds alone, for a value already in [0, 2**31)."""
-    for factor, modulus in ROUNDS:
-        value = ((value + F.lit(1).cast("bigint")) * F.lit(factor).cast("bigint")) % F.lit(
-            modulus
-        ).cast("bigint")
-    return value
+    """Mix a value already in [0, SPAN)."""
+    for shift, factor in zip(SHIFTS, FACTORS):
+        value = value.bitwiseXOR(F.shiftright(value, shift))
+        value = (value * _long(factor)).bitwiseAND(_long(MASK))
+    return value.bitwiseXOR(F.shiftright(value, LAST_SHIFT))
 
 
 def keyed_uniform(key: Column, stream: int = 0) -> Column:
@@ -47,15 +46,25 @@ def keyed_uniform(key: Column, stream: int = 0) -> Column:
     return (keyed_int(key, stream) + F.lit(0.5)) / F.lit(float(SPAN))
 
 
-def keyed_normal(row_key: Column, position: Column) -> Column:
-    """A standard normal for one array position of one row (Box-Muller).
+# ---------------------------------------------------------------- the same for Arrow batches
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """``mix`` for an array of values in [0, SPAN)."""
+    values = np.asarray(values, dtype=np.int64)
+    for shift, factor in zip(SHIFTS, FACTORS):
+        values = values ^ (values >> shift)
+        values = (values * factor) & MASK
+    return values ^ (values >> LAST_SHIFT)
+
+
+def normals(row_keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A standard normal per (row key, place in the row), by Box-Muller.
 
-    ``row_key`` is a ``keyed_int`` computed once per row; the two uniforms of a position come
-    from the keys 2*position and 2*position + 1 above it.
+    ``row_keys`` are ``keyed_int`` values; a place takes the two keys 2 * place and 2 * place + 1
+    above its row's.
     """
-    first = row_key + position.cast("bigint") * F.lit(2).cast("bigint")
-    u1 = (mix(first % F.lit(SPAN).cast("bigint")) + F.lit(0.5)) / F.lit(float(SPAN))
-    u2 = (mix((first + F.lit(1).cast("bigint")) % F.lit(SPAN).cast("bigint")) + F.lit(0.5)) / F.lit(
-        float(SPAN)
-    )
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    first = (row_keys + 2 * places) & MASK
+    u1 = (mixed(first) + 0.5) / SPAN
+    u2 = (mixed((first + 1) & MASK) + 0.5) / SPAN
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)

@@ -8,17 +8,14 @@ from pyspark.sql import Column, functions as F
 
 from ..operators.blocktopk import measure, vectors_of
 from .distance import metric as lookup_metric
-from .keyed import ROUNDS
+from .keyed import MASK, mixed, normals
 
 CENTRES_PER_PASS = 1 << 24  # matrix cells
 
 
 def keyed_ints(keys: np.ndarray) -> np.ndarray:
-    """``keyed_int`` for keys below 2**31, outside Spark."""
-    value = np.asarray(keys, dtype=np.int64) % ROUNDS[0][1]
-    for factor, modulus in ROUNDS:
-        value = ((value + 1) * factor) % modulus
-    return value
+    """``keyed_int`` of stream 0 for keys below 2**31, outside Spark."""
+    return mixed(np.asarray(keys, dtype=np.int64) & MASK)
 
 
 def sign_matrix(rows: int, columns: int) -> np.ndarray:
@@ -48,6 +45,32 @@ def project(vector: Column, matrix: np.ndarray) -> Column:
     return product(vector)
 
 
+def noisy(
+    vector: Column, row_key: Column, sigma: float = 0.05, rounding: str = "truncate"
+) -> Column:
+    """Add keyed normal noise to 0..255 components, clip, and go back to integers.
+
+    Truncation turns small noise into "subtract one with probability one half"; ``nearest`` keeps
+    the value.
+    """
+    if rounding not in ("truncate", "nearest"):
+        raise ValueError("rounding must be 'truncate' or 'nearest'")
+    whole = np.floor if rounding == "truncate" else np.rint
+
+    @F.arrow_udf("array<int>")
+    def moved(column: pa.Array, keys: pa.Array) -> pa.Array:
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        places = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
+        row_keys = np.repeat(keys.to_numpy(zero_copy_only=False), lengths)
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        shifted = np.clip(values + sigma * normals(row_keys, places), 0.0, 255.0)
+        flat = pa.array(whole(shifted).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=column.is_null())
+
+    return moved(vector, row_key)
+
+
 def distance_to(vector: Column, reference, metric: str = "l2") -> Column:
     """The distance of a whole column of vectors to one constant vector.
 

@@ -74,8 +74,6 @@ class NearestSoFar:
 
     @property
     def worst(self) -> float:
-        if self.limit <= 0:
-            return -np.inf
         return self.values[-1] if len(self.values) == self.limit else np.inf
 
     def add(self, ids: np.ndarray, values: np.ndarray) -> None:
@@ -96,6 +94,8 @@ def _scan_block(name, best, ids, block, queries, rows_of_query):
     if rows_of_query is None or sum(map(len, rows_of_query.values())) > 0.05 * len(ids) * len(best):
         bounds = lower_bounds(name, block, queries)
     for q in range(len(best)) if rows_of_query is None else rows_of_query:
+        if best[q].limit <= 0:
+            continue
         rows = None if rows_of_query is None else rows_of_query[q]
         if bounds is not None:
             low = bounds[:, q] if rows is None else bounds[rows, q]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.keyed import keyed_int, keyed_normal, keyed_uniform
-from ..functions.vectors import gaussian_matrix, project
+from ..functions.keyed import keyed_int, keyed_uniform
+from ..functions.vectors import gaussian_matrix, noisy, project
 from .ranking import contiguous_ids, sample_exact
 
 NOISE_STREAM = 101
@@ -61,25 +61,6 @@ def adjust_dimension(
 # ---------------------------------------------------------------- noisy copies
 
 
-def noisy(
-    vector: Column, row_key: Column, sigma: float = 0.05, rounding: str = "truncate"
-) -> Column:
-    """Add normal noise to 0..255 components, clip, and go back to integers.
-
-    Truncation turns small noise into "subtract one with probability one half"; ``nearest`` keeps
-    the value.
-    """
-    if rounding not in ("truncate", "nearest"):
-        raise ValueError("rounding must be 'truncate' or 'nearest'")
-    back = F.floor if rounding == "truncate" else F.rint
-
-    def moved(x: Column, i: Column) -> Column:
-        shifted = x.cast("double") + F.lit(sigma) * keyed_normal(row_key, i)
-        return back(F.least(F.greatest(shifted, F.lit(0.0)), F.lit(255.0))).cast("int")
-
-    return F.transform(vector, moved)
-
-
 def _noisy_rows(df: DataFrame, sigma: float, rounding: str) -> DataFrame:
     """Noise keyed by the new id, so that a recomputed copy is the same copy."""
     keyed = df.withColumn("_row", keyed_int(F.col("id"), NOISE_STREAM))

@@ -44,8 +44,9 @@ SHOWN = """SELECT id, array_to_string(image_vec, ',') AS vec, eq_val, range_val,
 def noise_sql(rows: str) -> str:
     """``rows`` (id, image_vec, eq_val, range_val, tags) with noise keyed by id."""
     return f"""SELECT id, list_transform(image_vec, lambda x, i: CAST(floor(least(greatest(
-        x + 0.05::DOUBLE * {normal_sql(keyed_sql('id', synth.NOISE_STREAM), '(i - 1)')}, 0.0), 255.0))
-        AS INTEGER)) AS image_vec, eq_val, range_val, tags FROM {rows}"""
+        x + 0.05::DOUBLE * {normal_sql('rk', '(i - 1)')}, 0.0), 255.0))
+        AS INTEGER)) AS image_vec, eq_val, range_val, tags
+        FROM (SELECT *, {keyed_sql('id', synth.NOISE_STREAM)} AS rk FROM {rows})"""
 
 
 def sample_sql(rows: str, count: str, stream: int) -> str:
