@@ -99,6 +99,7 @@ def candidate_topk(
     vector: str,
     metric: str,
     mode: str,
+    vector_of: Sequence[int] | None = None,
 ) -> DataFrame:
     """Exact top-k of each query among the rows one of its lookups leads to and its filter passes."""
     names = hit_words(len(members))
@@ -116,7 +117,7 @@ def candidate_topk(
     rows = rows.withColumns(dict(zip(names, candidates.columns)))
     rows = rows.where(Positions([F.col(n) for n in names]).any()).select("id", vector, *names)
     partial = partial_topk(
-        rows, [q.name for q in members], vectors, [q.limit for q in members], metric
+        rows, [q.name for q in members], vectors, [q.limit for q in members], metric, vector_of
     )
     return merge_topk(partial, max(q.limit for q in members), metric)
 
@@ -132,10 +133,12 @@ def ivf_sweep(
 ) -> DataFrame:
     """Search with every number of probed cells: (sweep_pos, param, name, rank, id, dist).
 
-    A sweep row is known by its position, since a list may repeat a value. All positions of a
-    block of queries are answered in the same scan.
+    A sweep row is known by its position, since a list may repeat a value. All values are answered
+    in the same scan, a repeated one once; the rows of a query are compared with one vector however
+    many values there are.
     """
     source = assigned if references is None else references
+    counts = sorted(set(probes))
 
     def answer(block: Sequence[Query]) -> DataFrame:
         parts = []
@@ -144,35 +147,41 @@ def ivf_sweep(
             by_field[query.vector_field].append(query)
         for field, members in by_field.items():
             vectors = vectors_for(source, members, field)
-            near = probed_cells(centroids, [q.name for q in members], vectors, max(probes))
-            virtual, positions = [], defaultdict(list)
-            for place, count in enumerate(probes):
-                for query in members:
+            near = probed_cells(centroids, [q.name for q in members], vectors, counts[-1])
+            virtual, vector_of, positions = [], [], defaultdict(list)
+            for count in counts:
+                for number, query in enumerate(members):
                     for cell in near[query.name][:count]:
                         positions[cell].append(len(virtual))
-                    virtual.append(replace(query, name=f"{place}|{query.name}"))
-            stacked = np.concatenate([vectors] * len(probes))
+                    virtual.append(replace(query, name=f"{count}|{query.name}"))
+                    vector_of.append(number)
             parts.append(
                 candidate_topk(
-                    assigned, virtual, stacked, {"cell": positions}, field, metric, mode
+                    assigned, virtual, vectors, {"cell": positions}, field, metric, mode, vector_of
                 )
             )
         found = reduce(DataFrame.unionByName, parts)
-        place = F.substring_index("name", "|", 1).cast("int")
-        params = F.array(*[F.lit(int(p)) for p in probes])
-        return found.select(
-            place.alias("sweep_pos"),
-            params[place].alias("param"),
+        split = found.select(
+            F.substring_index("name", "|", 1).cast("int").alias("param"),
             F.expr("substring(name, instr(name, '|') + 1)").alias("name"),
             "rank",
             "id",
             "dist",
         )
+        sweep = F.array(
+            *[F.struct(F.lit(i).alias("place"), F.lit(int(p)).alias("p")) for i, p in enumerate(probes)]
+        )
+        places = F.transform(
+            F.filter(sweep, lambda s: s["p"] == F.col("param")), lambda s: s["place"]
+        )
+        return split.select(
+            F.explode(places).alias("sweep_pos"), "param", "name", "rank", "id", "dist"
+        )
 
     return over_blocks(
         queries,
         answer,
-        max(1, VIRTUAL_QUERIES // len(probes)),
+        max(1, VIRTUAL_QUERIES // len(counts)),
         "sweep_pos int, param int, name string, rank bigint, id bigint, dist double",
     )
 

@@ -88,28 +88,30 @@ def _squared(name: str, value: float) -> float:
     return value * value * (1 + 1e-14) if name == "l2" else value
 
 
-def _scan_block(name, best, ids, block, queries, rows_of_query):
+def _scan_block(name, best, ids, block, queries, vector_of, rows_of_query):
     """Offer one block of rows to every query that hits some of them."""
     bounds = None
-    if rows_of_query is None or sum(map(len, rows_of_query.values())) > 0.05 * len(ids) * len(best):
+    if rows_of_query is None or (
+        sum(map(len, rows_of_query.values())) > 0.05 * len(ids) * len(queries)
+    ):
         bounds = lower_bounds(name, block, queries)
     for q in range(len(best)) if rows_of_query is None else rows_of_query:
         if best[q].limit <= 0:
             continue
         rows = None if rows_of_query is None else rows_of_query[q]
         if bounds is not None:
-            low = bounds[:, q] if rows is None else bounds[rows, q]
+            low = bounds[:, vector_of[q]] if rows is None else bounds[rows, vector_of[q]]
             inside = low <= _squared(name, best[q].worst)
             rows = np.flatnonzero(inside) if rows is None else rows[inside]
             low = low[inside]
             if len(rows) > best[q].limit:
                 nearest = np.argpartition(low, best[q].limit - 1)[: best[q].limit]
-                reach = measure(name, block[rows[nearest]], queries[q]).max()
+                reach = measure(name, block[rows[nearest]], queries[vector_of[q]]).max()
                 rows = rows[low <= _squared(name, reach)]
         elif rows is None:
             rows = np.arange(len(ids))
         if len(rows):
-            values = measure(name, block[rows], queries[q])
+            values = measure(name, block[rows], queries[vector_of[q]])
             known = ~np.isnan(values)
             best[q].add(ids[rows][known], values[known])
 
@@ -120,15 +122,18 @@ def partial_topk(
     vectors: np.ndarray,
     limits: Sequence[int],
     metric: str = "l2",
+    vector_of: Sequence[int] | None = None,
 ) -> DataFrame:
     """At most ``limit`` rows per task and query, as (name, k, id, value).
 
     ``rows`` is (id, vector), or (id, vector, hit words), where bit q says whether the row may
-    answer query q. The query block is part of the task, hence bounded by the caller.
+    answer query q. The query block is part of the task, hence bounded by the caller. Several
+    queries may share a vector: query q uses row ``vector_of[q]`` of ``vectors``.
     """
     lookup_metric(metric)
     queries = np.ascontiguousarray(vectors, dtype=np.float64)
     names, limits = list(names), [int(k) for k in limits]
+    vector_of = list(range(len(names))) if vector_of is None else list(vector_of)
     with_hits = len(rows.columns) > 2
     step = max(1, BLOCK_CELLS // max(queries.shape[1], len(names)))
 
@@ -143,7 +148,7 @@ def partial_topk(
                 if with_hits:
                     hits = bits_of(batch.columns[2:])[:, : len(names)]
                     grouped = {q: np.flatnonzero(hits[:, q]) for q in np.flatnonzero(hits.any(0))}
-                _scan_block(metric, best, ids, block, queries, grouped)
+                _scan_block(metric, best, ids, block, queries, vector_of, grouped)
         sizes = [len(b.ids) for b in best]
         yield pa.RecordBatch.from_arrays(
             [

@@ -62,6 +62,8 @@ def rewrite_by_filter_rate(
     instead. A filter on a field without rates, and a query without a target, stay as they are.
 
     The rates come from a scan of the corpus and are read several times here, so they are stored.
+    No join is hinted: a query set read from a file is broadcast when its size allows it, and a
+    distribution of very many values is never moved to a few field names.
     """
     rates = stored(rates, "rates")
     fields = sorted(r["field"] for r in rates.select("field").distinct().collect())
@@ -73,7 +75,7 @@ def rewrite_by_filter_rate(
         F.col("upto") == F.col("total")
     )
     cutoffs = (
-        running.join(F.broadcast(wanted), "field")
+        running.join(wanted, "field")
         .groupBy("field", "target")
         .agg(
             F.min("value").alias("first"),
@@ -81,7 +83,7 @@ def rewrite_by_filter_rate(
             F.min(F.when(from_top, F.col("value"))).alias("top"),
         )
     )
-    located = filters.join(F.broadcast(cutoffs), ["field", "target"], "left")
+    located = filters.join(cutoffs, ["field", "target"], "left")
     kept = located.where(F.col("last").isNull()).select(
         "name", "pos", "field", "operator", F.col("value").cast("string"), "logic"
     )

@@ -50,34 +50,22 @@ RECALLS = """SELECT s.sweep_pos, s.param, t.name,
 IVF = {"assigned": ASSIGNED, "probed": PROBED, "sweep": SWEEP, "found": FOUND}
 
 
-def assigned(spark, folder):
-    return ann.ivf_assign(fx.plain_corpus(spark, folder), fx.centroids(spark, folder))
-
-
-def swept(spark, folder, queries):
-    return ann.ivf_sweep(
-        assigned(spark, folder),
-        queries,
-        fx.centroids(spark, folder),
-        PROBES,
-        references=fx.plain_corpus(spark, folder),
-    )
-
-
 def sweep_recalls(spark, folder):
     rows, queries = fx.plain_corpus(spark, folder), fx.q_equal(spark, folder)
+    centres = fx.centroids(spark, folder)
+    found = ann.ivf_sweep(
+        ann.ivf_assign(rows, centres), queries, centres, PROBES, references=rows
+    )
     wanted = ann.with_sweep(queries.select("name"), PROBES)
     return metrics.recall_at_k(
-        knn.knn_batch(rows, queries),
-        swept(spark, folder, queries),
-        wanted,
-        ("sweep_pos", "param", "name"),
+        knn.knn_batch(rows, queries), found, wanted, ("sweep_pos", "param", "name")
     )
 
 
 @register("ivf_assign", fx.sql("SELECT id, cell FROM assigned", "centroids", assigned=ASSIGNED))
 def ivf_assign(spark, folder):
-    return assigned(spark, folder).select("id", "cell")
+    centres = fx.centroids(spark, folder)
+    return ann.ivf_assign(fx.plain_corpus(spark, folder), centres).select("id", "cell")
 
 
 @register(
@@ -89,12 +77,10 @@ def ivf_assign(spark, folder):
     ),
 )
 def ivf_search_filtered(spark, folder):
+    rows, centres = fx.plain_corpus(spark, folder), fx.centroids(spark, folder)
     found = ann.ivf_search(
-        assigned(spark, folder),
-        fx.q_equal(spark, folder),
-        fx.centroids(spark, folder),
-        PROBES[3],
-        references=fx.plain_corpus(spark, folder),
+        ann.ivf_assign(rows, centres), fx.q_equal(spark, folder), centres, PROBES[3],
+        references=rows,
     )
     return rounded(found)
 
@@ -119,8 +105,9 @@ def ivf_sweep_recall(spark, folder):
 )
 def recall_at_k(spark, folder):
     rows, queries = fx.plain_corpus(spark, folder), fx.q_equal(spark, folder)
+    centres = fx.centroids(spark, folder)
     found = ann.ivf_search(
-        assigned(spark, folder), queries, fx.centroids(spark, folder), PROBES[2], references=rows
+        ann.ivf_assign(rows, centres), queries, centres, PROBES[2], references=rows
     )
     scored = metrics.recall_at_k(knn.knn_batch(rows, queries), found, queries)
     return scored.withColumn("recall", F.round("recall", 6))

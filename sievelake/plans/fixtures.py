@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.ann import sampled_centroids
+from ..operators.corpus import assemble, tags_from_pairs
 from ..operators.ranking import contiguous_ids, sample_exact
+from ..session import stored
 from .sqltext import keyed_sql
 
 QUERIES = 100
@@ -18,7 +21,6 @@ INCREMENT_RATIO = 0.2
 
 
 SCHEMAS = {
-    "customer": "c_custkey bigint",
     "orders": "o_orderkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
     "lineitem": "l_orderkey bigint, l_partkey bigint",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
@@ -41,8 +43,6 @@ def tag_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """id, image_vec, eq_val, range_val, tags."""
-    from ..operators.corpus import assemble, tags_from_pairs
-
     embeddings = table(spark, folder, "embeddings")
     rows = embeddings.select(F.col("vec_id").alias("row"))
     tagged = tag_pairs(spark, folder).join(rows, "row", "left_semi")
@@ -193,12 +193,9 @@ def first_reference(rows: DataFrame, queries: DataFrame) -> list[float]:
 
 
 def centroids(spark, folder) -> DataFrame:
-    """CENTROIDS drawn corpus rows as cells 1..CENTROIDS."""
-    rows = plain_corpus(spark, folder).select("id", "image_vec")
-    picked = sample_exact(rows, CENTROIDS, "id", CENTROID_STREAM)
-    return contiguous_ids(picked, "id", out="cell", rows_at_most=CENTROIDS).select(
-        F.col("cell").cast("int").alias("cell"), F.col("image_vec").alias("centre")
-    )
+    """CENTROIDS drawn corpus rows as cells 1..CENTROIDS, stored as an index is."""
+    rows = plain_corpus(spark, folder)
+    return stored(sampled_centroids(rows, CENTROIDS, stream=CENTROID_STREAM), "centroids")
 
 
 # ---------------------------------------------------------------- logs and dirty input

@@ -118,14 +118,14 @@ def reference_lookup(spark, folder):
 
 @register(
     "missing_references",
-    """SELECT 'customer' || c_custkey AS name, CAST(c_custkey AS BIGINT) AS reference_id
-       FROM customer WHERE c_custkey NOT IN (SELECT vec_id FROM embeddings)""",
+    """SELECT 'order' || o_orderkey AS name, o_orderkey AS reference_id
+       FROM orders WHERE o_orderkey NOT IN (SELECT vec_id FROM embeddings)""",
 )
 def missing_references(spark, folder):
-    """Customers read as queries for the vector of their key; some keys have no vector."""
-    queries = fx.table(spark, folder, "customer").select(
-        F.concat(F.lit("customer"), F.col("c_custkey").cast("string")).alias("name"),
-        F.col("c_custkey").cast("bigint").alias("reference_id"),
+    """Orders read as queries for the vector of their key; many keys have no vector."""
+    queries = fx.table(spark, folder, "orders").select(
+        F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("name"),
+        F.col("o_orderkey").alias("reference_id"),
     )
     return knn.missing_references(queries, fx.plain_corpus(spark, folder)).select(
         "name", "reference_id"
