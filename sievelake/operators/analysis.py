@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import local_table
 from .blocktopk import bits_of, merge_topk, partial_topk
-from .hits import has_position, hit_words, with_hits
+from .hits import HITS, has_position, with_hits
 from .knn import Query, over_blocks, vectors_for
 
 BROADCAST_ROWS = 1_000_000
@@ -93,7 +93,7 @@ def _bit_counter(queries: int):
         rows, matched = 0, np.zeros(queries, dtype=np.int64)
         for batch in batches:
             rows += batch.num_rows
-            matched += bits_of(batch.columns)[:, :queries].sum(axis=0, dtype=np.int64)
+            matched += bits_of(batch.column(0), queries).sum(axis=1, dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.arange(-1, queries, dtype=np.int32)),
@@ -115,9 +115,9 @@ def match_counts(
 
     def answer(block: Sequence[Query]) -> DataFrame:
         hits = with_hits(df, [q.filters for q in block], mode, like, keep_all=True)
-        words = hits.select(*hit_words(len(block)))
         found = (
-            words.mapInArrow(_bit_counter(len(block)), "position int, matched bigint")
+            hits.select(HITS)
+            .mapInArrow(_bit_counter(len(block)), "position int, matched bigint")
             .groupBy("position")
             .agg(F.sum("matched").alias("matched"))
         )
@@ -244,7 +244,7 @@ def query_filter_correlation(
                 .groupBy("name")
                 .agg(
                     F.avg(
-                        has_position(hit_words(len(members)), F.col("position")).cast("double")
+                        has_position(HITS, F.col("position")).cast("double")
                     ).alias("relevance")
                 )
             )

@@ -21,7 +21,7 @@ from ..functions.keyed import SPAN
 from ..functions.vectors import hash_codes, keyed_ints, nearest_centre, sign_codes
 from ..session import local_table
 from .blocktopk import merge_topk, partial_topk
-from .hits import Positions, hit_words, with_hits, with_lookup
+from .hits import HITS, Positions, any_position, with_hits, with_lookup, words_for
 from .knn import Query, over_blocks, vectors_for
 from .ranking import contiguous_ids, sample_exact
 
@@ -102,20 +102,17 @@ def candidate_topk(
     vector_of: Sequence[int] | None = None,
 ) -> DataFrame:
     """Exact top-k of each query among the rows one of its lookups leads to and its filter passes."""
-    names = hit_words(len(members))
-    outs = []
+    words, outs = words_for(len(members)), []
     for number, (column, positions) in enumerate(lookups.items()):
-        outs.append(f"_cand{number}_")
+        outs.append(f"_cand{number}")
         only = len(lookups) == 1
         rows = with_lookup(rows, column, {outs[-1]: positions}, len(members), required=only)
-    led_to = [Positions.of_columns(hit_words(len(members), out)) for out in outs]
-    candidates = reduce(or_, led_to)
-    rows = rows.where(candidates.any())
+    led_to = reduce(or_, [Positions.of_column(out, words) for out in outs])
     if any(q.filters for q in members):
         rows = with_hits(rows, [q.filters for q in members], mode)
-        candidates = candidates & Positions([F.col(name) for name in names])
-    rows = rows.withColumns(dict(zip(names, candidates.columns)))
-    rows = rows.where(Positions([F.col(n) for n in names]).any()).select("id", vector, *names)
+        led_to = led_to & Positions.of_column(HITS, words)
+    rows = rows.withColumn(HITS, led_to.array()).where(any_position(HITS))
+    rows = rows.select("id", vector, HITS)
     partial = partial_topk(
         rows, [q.name for q in members], vectors, [q.limit for q in members], metric, vector_of
     )

@@ -31,12 +31,14 @@ def vectors_of(column: pa.Array, dimension: int) -> np.ndarray:
     return flat.reshape(len(column), dimension).astype(np.float64)
 
 
-def bits_of(words: Sequence[pa.Array]) -> np.ndarray:
-    """Bigint columns as a (rows, 64 x columns) matrix of bits."""
-    stacked = np.stack([w.to_numpy(zero_copy_only=False) for w in words], axis=1)
-    return np.unpackbits(
-        np.ascontiguousarray(stacked, dtype="<i8").view(np.uint8), axis=1, bitorder="little"
-    )
+def bits_of(words: pa.Array, positions: int) -> np.ndarray:
+    """An array<bigint> column as a (positions, rows) matrix of booleans."""
+    flat = words.flatten().to_numpy(zero_copy_only=False).astype("<i8")
+    rows = len(words)
+    octets = flat.view(np.uint8).reshape(rows, len(flat) // max(rows, 1) * 8)
+    return np.unpackbits(np.ascontiguousarray(octets.T), axis=0, bitorder="little")[
+        :positions
+    ].astype(bool)
 
 
 def measure(name: str, block: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ def partial_topk(
 ) -> DataFrame:
     """At most ``limit`` rows per task and query, as (name, k, id, value).
 
-    ``rows`` is (id, vector), or (id, vector, hit words), where bit q says whether the row may
+    ``rows`` is (id, vector), or (id, vector, hits), where bit q of the hits says whether the row may
     answer query q. The query block is part of the task, hence bounded by the caller. Several
     queries may share a vector: query q uses row ``vector_of[q]`` of ``vectors``.
     """
@@ -146,8 +148,9 @@ def partial_topk(
                 block = vectors_of(batch.column(1), queries.shape[1])
                 grouped = None
                 if with_hits:
-                    hits = bits_of(batch.columns[2:])[:, : len(names)]
-                    grouped = {q: np.flatnonzero(hits[:, q]) for q in np.flatnonzero(hits.any(0))}
+                    hits = bits_of(batch.column(2), len(names))
+                    present = np.flatnonzero(hits.any(axis=1))
+                    grouped = {q: np.flatnonzero(hits[q]) for q in present.tolist()}
                 _scan_block(metric, best, ids, block, queries, vector_of, grouped)
         sizes = [len(b.ids) for b in best]
         yield pa.RecordBatch.from_arrays(

@@ -1,7 +1,7 @@
 """Which queries of a block may a row answer?
 
-``with_hits`` gives every row a set of query positions, kept as bits in a few bigint columns
-(``hit_words``). Queries whose filters have the same form (the same fields and operators, other
+``with_hits`` gives every row a set of query positions, kept as bits in one short array<bigint>
+column. Queries whose filters have the same form (the same fields and operators, other
 constants) are handled together, term by term: a term gives the positions whose constant the row
 satisfies, AND and OR of terms are bitwise operations. A term is found by
 
@@ -11,7 +11,9 @@ satisfies, AND and OR of terms are bitwise operations. A term is found by
 * anything else a predicate per distinct filter.
 
 So the plan grows with the number of forms and not with the number of queries, every table is
-bounded by the query block, and the work per row stays inside generated code.
+bounded by the query block, and the work per row stays inside generated code. Words are elements of
+one column per term, not columns of their own: the optimizer's constraint sets double with every
+aliased column that a filter uses.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from ..session import local_table
 
 LOOKUP_TYPES = (T.IntegralType, T.FloatType, T.DoubleType, T.StringType)
 SEGMENT_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
+HITS = "_hits"
+WORDS = T.ArrayType(T.LongType(), False)
 WORD = 64
 DENSE_KEYS = 4096
 
@@ -48,11 +52,6 @@ def words_for(queries: int) -> int:
     return max(1, -(-queries // WORD))
 
 
-def hit_words(queries: int, prefix: str = "_hits") -> list[str]:
-    """The names of the columns that hold one bit per query."""
-    return [f"{prefix}{i}" for i in range(words_for(queries))]
-
-
 def as_words(positions: Sequence[int], words: int) -> list[int]:
     """Positions as signed 64-bit integers."""
     bits = [0] * words
@@ -62,7 +61,7 @@ def as_words(positions: Sequence[int], words: int) -> list[int]:
 
 
 class Positions:
-    """A set of query positions, one column per word; ``&`` and ``|`` are set operations."""
+    """A set of query positions, one expression per word; ``&`` and ``|`` are set operations."""
 
     def __init__(self, columns: Sequence[Column]):
         self.columns = list(columns)
@@ -78,16 +77,23 @@ class Positions:
         return Positions([F.lit(w).cast("bigint") for w in as_words(positions, words)])
 
     @staticmethod
-    def of_columns(names: Sequence[str]) -> "Positions":
-        return Positions([F.coalesce(F.col(name), F.lit(0).cast("bigint")) for name in names])
+    def of_column(name: str, words: int) -> "Positions":
+        """The words of an array column; NULL is the empty set."""
+        none = F.lit(0).cast("bigint")
+        return Positions([F.coalesce(F.get(F.col(name), i), none) for i in range(words)])
+
+    def array(self) -> Column:
+        return F.array(*self.columns)
+
 
-    def any(self) -> Column:
-        return reduce(lambda a, b: a.bitwiseOR(b), self.columns) != 0
+def any_position(name: str) -> Column:
+    """Whether an array of words has any bit set."""
+    return (F.array_max(name) != 0) | (F.array_min(name) != 0)
 
 
-def has_position(names: Sequence[str], position: Column) -> Column:
+def has_position(name: str, position: Column) -> Column:
     """Whether the bit of a position, itself a column, is set."""
-    word = F.element_at(F.array(*names), (F.floor(position / WORD) + 1).cast("int"))
+    word = F.get(F.col(name), F.floor(position / WORD).cast("int"))
     return F.getbit(word, position % WORD) == 1
 
 
@@ -109,8 +115,8 @@ def _type_of(rows: DataFrame, name: str) -> T.DataType:
     return rows.schema[name].dataType
 
 
-def _longs(names: Sequence[str]) -> list[T.StructField]:
-    return [T.StructField(name, T.LongType()) for name in names]
+def _arrays(names: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(name, WORDS) for name in names]
 
 
 # ---------------------------------------------------------------- the three kinds of table
@@ -119,7 +125,7 @@ def _longs(names: Sequence[str]) -> list[T.StructField]:
 def with_lookup(
     rows: DataFrame, column: str, outs: Mapping[str, Mapping], queries: int, required: bool = False
 ) -> DataFrame:
-    """Add the words of every entry of ``outs``: the positions listed for the row's value.
+    """Add a column per entry of ``outs``: the positions listed for the row's value, as words.
 
     ``required`` drops rows whose value nobody asks for, which the scan can already skip.
     """
@@ -128,12 +134,12 @@ def with_lookup(
     table = local_table(
         rows.sparkSession,
         [
-            (v, *[w for listed in outs.values() for w in as_words(listed.get(v, ()), words)])
+            (v, *[as_words(listed.get(v, ()), words) for listed in outs.values()])
             for v in values
         ],
         T.StructType(
             [T.StructField("_value", rows.schema[column].dataType)]
-            + _longs([name for out in outs for name in hit_words(queries, out)])
+            + _arrays(outs)
         ),
     )
     if required:
@@ -150,7 +156,7 @@ def with_segments(
     mode: str,
     required: bool = False,
 ) -> DataFrame:
-    """Add the words of every entry of ``outs``, a list of (position, filters on the column).
+    """Add a column per entry of ``outs``, a list of (position, filters on the column).
 
     The m distinct constants cut the line into m points and m + 1 intervals, on each of which
     every filter is constant.
@@ -161,16 +167,14 @@ def with_segments(
     )
     places = {value: 2 * i + 1 for i, value in enumerate(constants)}
 
-    def holding(place: int) -> list[int]:
+    def holding(place: int) -> list[list[int]]:
         return [
-            word
+            as_words([p for p, f in members if holds_at(f, place, places, mode)], words)
             for members in outs.values()
-            for word in as_words([p for p, f in members if holds_at(f, place, places, mode)], words)
         ]
 
-    above = [name for out in outs for name in hit_words(queries, out)]
-    on_point = [f"_on{name}" for name in above]
-    table = [(0, None, *holding(0), *([0] * len(above)))]
+    on_point = [f"_on{name}" for name in outs]
+    table = [(0, None, *holding(0), *([[0] * words] * len(outs)))]
     for i, constant in enumerate(constants):
         table.append((i + 1, constant, *holding(2 * i + 2), *holding(2 * i + 1)))
     segments = local_table(
@@ -178,12 +182,12 @@ def with_segments(
         table,
         T.StructType(
             [T.StructField("_segment", T.IntegerType()), T.StructField("_constant", T.DoubleType())]
-            + _longs(above + on_point)
+            + _arrays([*outs, *on_point])
         ),
     )
-    if required and not any(holding(0)):
+    if required and not any(map(any, holding(0))):
         rows = rows.where(F.col(column) >= constants[0])
-    if required and not any(holding(2 * len(constants))):
+    if required and not any(map(any, holding(2 * len(constants)))):
         rows = rows.where(F.col(column) <= constants[-1])
     value = F.col(column).cast("double")
     splits = [float("-inf"), *constants, float("inf")]
@@ -195,14 +199,14 @@ def with_segments(
     )
     exact = F.col("_place") == F.col("_constant")
     chosen = {
-        name: F.when(exact, F.col(on)).otherwise(F.col(name)) for name, on in zip(above, on_point)
+        name: F.when(exact, F.col(on)).otherwise(F.col(name)) for name, on in zip(outs, on_point)
     }
     return joined.withColumns(chosen).drop("_place", "_bucket", "_segment", "_constant", *on_point)
 
 
 def contained(
     column: str, data_type: T.ArrayType, positions: Mapping, words: int
-) -> list[Column]:
+) -> Column:
     """The words of the positions listed for any element of an array column."""
     none = F.lit(0).cast("bigint")
     dense = isinstance(data_type.elementType, T.IntegralType) and all(
@@ -226,7 +230,7 @@ def contained(
             wanted, none, lambda bits, key: bits.bitwiseOR(F.coalesce(found(key), none))
         )
 
-    return [word(i) for i in range(words)]
+    return F.array(*[word(i) for i in range(words)])
 
 
 def key_literal(data_type: T.ArrayType, positions: Mapping) -> Column:
@@ -273,8 +277,7 @@ class Terms:
         words = words_for(self.queries)
         if kind == "all":
             return Positions.constant([p for p, _ in members], words)
-        name = f"_term{self.count}_"
-        names = hit_words(self.queries, name)
+        name = f"_term{self.count}"
         self.count += 1
         target = members[0][1][0]["field"]
         data_type = _type_of(self.rows, target)
@@ -293,15 +296,15 @@ class Terms:
             if kind == "equal":
                 self.lookups[target][name] = positions
             else:
-                self.columns.update(zip(names, contained(target, data_type, positions, words)))
+                self.columns[name] = contained(target, data_type, positions, words)
                 self.overlaps.append(
                     F.arrays_overlap(F.col(target), key_literal(data_type, positions))
                 )
         else:
-            self.columns.update(zip(names, self._predicates(members, words)))
-        return Positions.of_columns(names)
+            self.columns[name] = self._predicates(members, words)
+        return Positions.of_column(name, words)
 
-    def _predicates(self, members, words: int) -> list[Column]:
+    def _predicates(self, members, words: int) -> Column:
         same = defaultdict(list)
         for position, filters in members:
             key = tuple(tuple(sorted(f.items(), key=str)) for f in filters)
@@ -314,16 +317,12 @@ class Terms:
             for group in same.values()
         ]
         none = F.lit(0).cast("bigint")
-        return [
-            F.aggregate(
-                F.array(
-                    *[F.when(test, F.lit(w[i]).cast("bigint")).otherwise(none) for test, w in tested]
-                ),
-                none,
-                lambda bits, word: bits.bitwiseOR(word),
-            )
-            for i in range(words)
-        ]
+
+        def word(i: int) -> Column:
+            bits = [F.when(test, F.lit(w[i]).cast("bigint")).otherwise(none) for test, w in tested]
+            return F.aggregate(F.array(*bits), none, lambda left, right: left.bitwiseOR(right))
+
+        return F.array(*[word(i) for i in range(words)])
 
     def applied(self, required: bool) -> DataFrame:
         """Computed columns come before the joins, so that a later filter cannot repeat them."""
@@ -346,7 +345,7 @@ def with_hits(
     like: str = "regex",
     keep_all: bool = False,
 ) -> DataFrame:
-    """Add the ``hit_words`` of the filter lists the row passes.
+    """Add the column ``HITS``: the positions of the filter lists the row passes, as words.
 
     Rows that pass none are dropped unless ``keep_all``.
     """
@@ -375,9 +374,8 @@ def with_hits(
     tables = len(terms.lookups) + len(terms.segments) + len(terms.overlaps)
     required = kind in ("equal", "compare", "contain") and tables == 1
     hits = reduce(or_, found, Positions.constant([], words_for(queries)))
-    names = hit_words(queries)
-    added = [name for i in range(terms.count) for name in hit_words(queries, f"_term{i}_")]
-    rows = terms.applied(required).withColumns(dict(zip(names, hits.columns))).drop(*added)
+    rows = terms.applied(required).withColumn(HITS, hits.array())
+    rows = rows.drop(*[f"_term{i}" for i in range(terms.count)])
     if keep_all or (required and kind != "compare"):
         return rows
-    return rows.where(Positions([F.col(n) for n in names]).any())
+    return rows.where(any_position(HITS))

@@ -16,7 +16,7 @@ from ..functions.predicates import compile_filters
 from ..functions.vectors import distance_to
 from ..session import local_table, scratch_path
 from .blocktopk import merge_topk, partial_topk
-from .hits import hit_words, with_hits
+from .hits import HITS, with_hits
 
 BLOCK = 512
 INLINE_BLOCKS = 8
@@ -146,8 +146,7 @@ def knn_block(
         rows = corpus.where(F.col(field).isNotNull())
         if any(q.filters for q in members):
             filters = [q.filters for q in members]
-            words = hit_words(len(members))
-            rows = with_hits(rows, filters, mode, like).select("id", field, *words)
+            rows = with_hits(rows, filters, mode, like).select("id", field, HITS)
         else:
             rows = rows.select("id", field)
         parts.append(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row, functions as F, types as T
 
 from sievelake.functions.predicates import MODES, compile_filters
-from sievelake.operators.hits import hit_words, has_position, with_hits
+from sievelake.operators.hits import HITS, has_position, with_hits, words_for
 
 SCHEMA = T.StructType(
     [
@@ -113,11 +113,8 @@ def test_hits_agree_with_plain_python(table, mode):
     rng = random.Random(MODES.index(mode))
     lists = [random_filters(rng) for _ in range(90)]
     found = with_hits(df, lists, mode, keep_all=True)
-    words = hit_words(len(lists))
-    assert len(words) == 2
-    bits = {
-        r["id"]: [r[w] for w in words] for r in found.select("id", *words).collect()
-    }
+    assert words_for(len(lists)) == 2
+    bits = {r["id"]: r[HITS] for r in found.select("id", HITS).collect()}
     for row in rows:
         for position, filters in enumerate(lists):
             word = bits[row["id"]][position // 64]
@@ -157,8 +154,8 @@ def test_one_form_drops_exactly_the_rows_without_hits(table, lists):
 
 
 def test_has_position(spark):
-    df = spark.createDataFrame([(1, 1 << 62, 2)], "id int, w0 bigint, w1 bigint")
-    flags = [has_position(["w0", "w1"], F.lit(p)).alias(f"p{p}") for p in (0, 62, 64, 65)]
+    df = spark.createDataFrame([(1, [1 << 62, 2])], "id int, w array<bigint>")
+    flags = [has_position("w", F.lit(p)).alias(f"p{p}") for p in (0, 62, 64, 65)]
     assert list(df.select(*flags).first()) == [False, True, False, True]
 
 
