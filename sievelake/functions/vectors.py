@@ -45,6 +45,52 @@ def project(vector: Column, matrix: np.ndarray) -> Column:
     return product(vector)
 
 
+def _to_bytes(values: np.ndarray, low: float, high: float) -> pa.Array:
+    if high == low:
+        return pa.array(np.zeros(len(values), dtype=np.int32))
+    return pa.array(np.floor((values - low) / (high - low) * 255.0).astype(np.int32))
+
+
+def quantized(vector: Column, low: float, high: float) -> Column:
+    """Components scaled from low..high to 0..255 and truncated; 0 when low equals high."""
+
+    @F.arrow_udf("array<int>")
+    def scaled(column: pa.Array) -> pa.Array:
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return pa.ListArray.from_arrays(
+            pa.array(ends), _to_bytes(values, low, high), mask=column.is_null()
+        )
+
+    return scaled(vector)
+
+
+def projected_ends(vector: Column, matrix: np.ndarray) -> Column:
+    """The smallest and largest component of vector x matrix, without the product itself."""
+
+    @F.arrow_udf("struct<low: double, high: double>")
+    def ends(column: pa.Array) -> pa.Array:
+        product = vectors_of(column, matrix.shape[0]) @ matrix
+        return pa.StructArray.from_arrays(
+            [pa.array(product.min(axis=1)), pa.array(product.max(axis=1))], ["low", "high"]
+        )
+
+    return ends(vector)
+
+
+def project_quantized(vector: Column, matrix: np.ndarray, low: float, high: float) -> Column:
+    """vector x matrix, scaled from low..high to 0..255 and truncated."""
+
+    @F.arrow_udf("array<int>")
+    def product(column: pa.Array) -> pa.Array:
+        found = vectors_of(column, matrix.shape[0]) @ matrix
+        offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * matrix.shape[1])
+        return pa.ListArray.from_arrays(offsets, _to_bytes(found.reshape(-1), low, high))
+
+    return product(vector)
+
+
 def noisy(
     vector: Column, row_key: Column, sigma: float = 0.05, rounding: str = "truncate"
 ) -> Column:

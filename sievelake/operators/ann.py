@@ -109,9 +109,9 @@ def candidate_topk(
         rows = with_lookup(rows, column, {outs[-1]: positions}, len(members), required=only)
     led_to = reduce(or_, [Positions.of_column(out, words) for out in outs])
     if any(q.filters for q in members):
-        rows = with_hits(rows, [q.filters for q in members], mode)
+        rows = with_hits(rows, [q.filters for q in members], mode, keep_all=True)
         led_to = led_to & Positions.of_column(HITS, words)
-    rows = rows.withColumn(HITS, led_to.array()).where(any_position(HITS))
+    rows = rows.withColumn(HITS, led_to.column).where(any_position(HITS))
     rows = rows.select("id", vector, HITS)
     partial = partial_topk(
         rows, [q.name for q in members], vectors, [q.limit for q in members], metric, vector_of

@@ -11,9 +11,9 @@ satisfies, AND and OR of terms are bitwise operations. A term is found by
 * anything else a predicate per distinct filter.
 
 So the plan grows with the number of forms and not with the number of queries, every table is
-bounded by the query block, and the work per row stays inside generated code. Words are elements of
-one column per term, not columns of their own: the optimizer's constraint sets double with every
-aliased column that a filter uses.
+bounded by the query block. Words are elements of one column per term and are combined by
+``zip_with``: separate columns would double the optimizer's constraint sets one by one, and spelled
+out word by word the generated code would outgrow what the JVM compiles.
 """
 
 from __future__ import annotations
@@ -60,30 +60,41 @@ def as_words(positions: Sequence[int], words: int) -> list[int]:
     return [b - (1 << WORD) if b >= 1 << (WORD - 1) else b for b in bits]
 
 
+def words_literal(positions: Sequence[int], words: int) -> str:
+    """The words as SQL text; one parsed constant instead of a column per element."""
+    lowest = -(1 << 63)  # has no literal of its own
+    values = (
+        f"{word}L" if word > lowest else f"{lowest + 1}L - 1L"
+        for word in as_words(positions, words)
+    )
+    return f"array({', '.join(values)})"
+
+
+def _either(left: Column, right: Column) -> Column:
+    return F.zip_with(left, right, lambda a, b: a.bitwiseOR(b))
+
+
 class Positions:
-    """A set of query positions, one expression per word; ``&`` and ``|`` are set operations."""
+    """A set of query positions as an array of words; ``&`` and ``|`` are set operations."""
 
-    def __init__(self, columns: Sequence[Column]):
-        self.columns = list(columns)
+    def __init__(self, column: Column):
+        self.column = column
 
     def __and__(self, other: "Positions") -> "Positions":
-        return Positions([a.bitwiseAND(b) for a, b in zip(self.columns, other.columns)])
+        both = F.zip_with(self.column, other.column, lambda a, b: a.bitwiseAND(b))
+        return Positions(both)
 
     def __or__(self, other: "Positions") -> "Positions":
-        return Positions([a.bitwiseOR(b) for a, b in zip(self.columns, other.columns)])
+        return Positions(_either(self.column, other.column))
 
     @staticmethod
     def constant(positions: Sequence[int], words: int) -> "Positions":
-        return Positions([F.lit(w).cast("bigint") for w in as_words(positions, words)])
+        return Positions(F.expr(words_literal(positions, words)))
 
     @staticmethod
     def of_column(name: str, words: int) -> "Positions":
-        """The words of an array column; NULL is the empty set."""
-        none = F.lit(0).cast("bigint")
-        return Positions([F.coalesce(F.get(F.col(name), i), none) for i in range(words)])
-
-    def array(self) -> Column:
-        return F.array(*self.columns)
+        """An array column of words; NULL is the empty set."""
+        return Positions(F.coalesce(F.col(name), Positions.constant([], words).column))
 
 
 def any_position(name: str) -> Column:
@@ -208,29 +219,28 @@ def contained(
     column: str, data_type: T.ArrayType, positions: Mapping, words: int
 ) -> Column:
     """The words of the positions listed for any element of an array column."""
-    none = F.lit(0).cast("bigint")
+    none = Positions.constant([], words).column
     dense = isinstance(data_type.elementType, T.IntegralType) and all(
         0 <= key < DENSE_KEYS for key in positions
     )
     keys = range(max(positions) + 1) if dense else list(positions)
-    rows = [as_words(positions.get(key, ()), words) for key in keys]
-    key_array = key_literal(data_type, positions)
-
-    def word(i: int) -> Column:
-        values = ", ".join(f"{row[i]}" for row in rows)
-        table = F.expr(f"cast(array({values}) as array<bigint>)")
-        if dense:  # small keys are places in the table
-            found = lambda key: F.when(key >= 0, F.get(table, key))
-            wanted = F.col(column)
-        else:
-            by_key = F.map_from_arrays(key_array, table)
-            found = lambda key: F.element_at(by_key, key)
-            wanted = F.array_intersect(F.col(column), key_array)
+    listed = ", ".join(words_literal(positions.get(key, ()), words) for key in keys)
+    table = F.expr(f"array({listed})")
+    if dense:  # small keys are places in the table
         return F.aggregate(
-            wanted, none, lambda bits, key: bits.bitwiseOR(F.coalesce(found(key), none))
+            F.col(column),
+            none,
+            lambda bits, key: _either(
+                bits, F.coalesce(F.when(key >= 0, F.get(table, key.cast("int"))), none)
+            ),
         )
-
-    return F.array(*[word(i) for i in range(words)])
+    key_array = key_literal(data_type, positions)
+    by_key = F.map_from_arrays(key_array, table)
+    return F.aggregate(
+        F.array_intersect(F.col(column), key_array),
+        none,
+        lambda bits, key: _either(bits, F.coalesce(F.element_at(by_key, key), none)),
+    )
 
 
 def key_literal(data_type: T.ArrayType, positions: Mapping) -> Column:
@@ -309,20 +319,15 @@ class Terms:
         for position, filters in members:
             key = tuple(tuple(sorted(f.items(), key=str)) for f in filters)
             same[key].append((position, filters))
-        tested = [
-            (
+        none = Positions.constant([], words).column
+        found = [
+            F.when(
                 compile_filters(self.rows.schema, group[0][1], self.mode, self.like),
-                as_words([p for p, _ in group], words),
+                Positions.constant([p for p, _ in group], words).column,
             )
             for group in same.values()
         ]
-        none = F.lit(0).cast("bigint")
-
-        def word(i: int) -> Column:
-            bits = [F.when(test, F.lit(w[i]).cast("bigint")).otherwise(none) for test, w in tested]
-            return F.aggregate(F.array(*bits), none, lambda left, right: left.bitwiseOR(right))
-
-        return F.array(*[word(i) for i in range(words)])
+        return F.aggregate(F.array_compact(F.array(*found)), none, _either)
 
     def applied(self, required: bool) -> DataFrame:
         """Computed columns come before the joins, so that a later filter cannot repeat them."""
@@ -373,8 +378,8 @@ def with_hits(
     kind = next(iter(forms))[0] if len(forms) == 1 and not keep_all else None
     tables = len(terms.lookups) + len(terms.segments) + len(terms.overlaps)
     required = kind in ("equal", "compare", "contain") and tables == 1
-    hits = reduce(or_, found, Positions.constant([], words_for(queries)))
-    rows = terms.applied(required).withColumn(HITS, hits.array())
+    hits = reduce(or_, found) if found else Positions.constant([], words_for(queries))
+    rows = terms.applied(required).withColumn(HITS, hits.column)
     rows = rows.drop(*[f"_term{i}" for i in range(terms.count)])
     if keep_all or (required and kind != "compare"):
         return rows

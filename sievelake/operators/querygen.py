@@ -10,6 +10,7 @@ from .ranking import contiguous_ids, sample_exact
 
 PICK_STREAM = 201
 FINAL_STREAM = 202
+BROADCAST_ROWS = 1_000_000
 
 
 def query_sample(
@@ -18,9 +19,10 @@ def query_sample(
     """At most ``n`` rows, spread over the id batches, as (num, and the scalar columns).
 
     A batch of length m gives ``min(max(1, int(n * m / scale)), m - 1)`` rows; batches are taken in
-    order until n rows are reached. The window inside a batch is bounded by ``rows_per_batch``.
+    order until n rows are reached. The window inside a batch is bounded by ``rows_per_batch`` and
+    sees ids only; the columns are joined to the picked ids afterwards.
     """
-    rows = df.withColumn("_batch", batch_number(F.col("id"), rows_per_batch, first_id))
+    rows = df.select("id", batch_number(F.col("id"), rows_per_batch, first_id).alias("_batch"))
     sizes = rows.groupBy("_batch").agg(F.count(F.lit(1)).alias("_size"))
     share = F.floor(F.lit(n) * (F.col("_size") / F.lit(float(scale))))
     quota = F.least(F.greatest(F.lit(1).cast("bigint"), share), F.col("_size") - 1)
@@ -36,10 +38,12 @@ def query_sample(
         rows.join(quotas, "_batch")
         .withColumn("_place", F.row_number().over(place))
         .where(F.col("_place") <= F.col("_quota"))
-        .drop("_batch", "_quota", "_place")
+        .select("id")
     )
-    drawn = sample_exact(picked, n, "id", FINAL_STREAM)
-    return contiguous_ids(drawn, "id", out="num", rows_at_most=n)
+    drawn = contiguous_ids(
+        sample_exact(picked, n, "id", FINAL_STREAM), "id", out="num", rows_at_most=n
+    )
+    return df.join(F.broadcast(drawn) if n <= BROADCAST_ROWS else drawn, "id")
 
 
 def _spec(field: str, operator: str, value: Column) -> Column:

@@ -7,7 +7,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keyed import keyed_int, keyed_uniform
-from ..functions.vectors import gaussian_matrix, noisy, project
+from ..functions.vectors import (
+    gaussian_matrix,
+    noisy,
+    project,
+    project_quantized,
+    projected_ends,
+    quantized,
+)
 from .ranking import contiguous_ids, sample_exact
 
 NOISE_STREAM = 101
@@ -35,27 +42,31 @@ def vector_minmax(df: DataFrame, vector: str = "image_vec") -> DataFrame:
 
 def vector_quantize(df: DataFrame, vector: str = "image_vec") -> DataFrame:
     """Scale all components together to 0..255 and truncate; constant input becomes 0."""
-    bounds = vector_minmax(df, vector).first()
-    low, high = bounds["mn"], bounds["mx"]
-    if low is None or high == low:
-        return df.withColumn(vector, F.transform(vector, lambda x: F.lit(0)))
-    return df.withColumn(
-        vector,
-        F.transform(
-            vector,
-            lambda x: F.floor(
-                (x.cast("double") - F.lit(low)) / F.lit(high - low) * F.lit(255.0)
-            ).cast("int"),
-        ),
-    )
+    ends = vector_minmax(df, vector).first()
+    if ends["mn"] is None:
+        return df.withColumn(vector, F.col(vector).cast("array<int>"))
+    return df.withColumn(vector, quantized(F.col(vector), ends["mn"], ends["mx"]))
 
 
 def adjust_dimension(
     df: DataFrame, dimension: int, new_dimension: int, seed: int = 42, vector: str = "image_vec"
 ) -> DataFrame:
-    """Random projection to a new dimension, then quantization to 0..255."""
-    projected = random_projection(df, gaussian_matrix(dimension, new_dimension, seed), vector)
-    return vector_quantize(projected, vector)
+    """Random projection to a new dimension, then quantization to 0..255.
+
+    The first pass returns two numbers per row, the second the small integers; the projected
+    vectors themselves never leave a batch.
+    """
+    matrix = gaussian_matrix(dimension, new_dimension, seed)
+    ends = (
+        df.select(projected_ends(F.col(vector), matrix).alias("ends"))
+        .agg(F.min("ends.low").alias("low"), F.max("ends.high").alias("high"))
+        .first()
+    )
+    if ends["low"] is None:
+        return df.withColumn(vector, F.col(vector).cast("array<int>"))
+    return df.withColumn(
+        vector, project_quantized(F.col(vector), matrix, ends["low"], ends["high"])
+    )
 
 
 # ---------------------------------------------------------------- noisy copies
