@@ -117,6 +117,22 @@ def noisy(
     return moved(vector, row_key)
 
 
+def bumped(vector: Column, draw: Column) -> Column:
+    """Component ``draw`` modulo the length goes one up, or one down from 255."""
+
+    @F.arrow_udf("array<int>")
+    def moved(column: pa.Array, draws: pa.Array) -> pa.Array:
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        some = lengths > 0
+        places = ends[:-1][some] + draws.to_numpy(zero_copy_only=False)[some] % lengths[some]
+        values[places] += np.where(values[places] < 255, 1, -1).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=column.is_null())
+
+    return moved(vector, draw)
+
+
 def distance_to(vector: Column, reference, metric: str = "l2") -> Column:
     """The distance of a whole column of vectors to one constant vector.
 

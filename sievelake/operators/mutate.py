@@ -11,6 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keyed import keyed_int
+from ..functions.vectors import bumped
 
 BUMP_STREAM = 301
 
@@ -106,19 +107,8 @@ def saturating_delta(column: Column, delta: int, low: int = 0, high: int = 65535
 
 
 def bumped_vector(vector: Column, key: Column, stream: int = BUMP_STREAM) -> Column:
-    """Change one component, drawn by key: one up, or one down where it is already 255.
-
-    The array is cut around the component, so that the draw happens once per row.
-    """
-    place = (keyed_int(key, stream) % F.size(vector)).cast("int")
-    old = F.get(vector, place)
-    new = F.when(old < 255, old + 1).otherwise(old - 1)
-    changed = F.concat(
-        F.slice(vector, F.lit(1), place),
-        F.array(new),
-        F.slice(vector, place + 2, F.size(vector)),
-    )
-    return F.when(F.size(vector) > 0, changed.cast("array<int>")).otherwise(vector)
+    """Change one component, drawn by key: one up, or one down where it is already 255."""
+    return bumped(vector, keyed_int(key, stream))
 
 
 def generate_updates(rows: DataFrame, delta: int = 1) -> DataFrame:
