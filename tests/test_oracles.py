@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from sievelake.plans import registry
 from tests.oracle import ROOT, connection, difference
 
 FOLDER = f"{ROOT}/sf0.001"
@@ -14,12 +15,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("key", sorted(entry_module.queries()))
+@pytest.mark.parametrize("key", sorted(registry.queries()))
 def test_query(spark, con, key):
-    queries, oracles = entry_module.queries(), entry_module.oracle_sql()
+    queries, oracles = registry.queries(), registry.oracle_sql()
     assert difference(spark, con, queries[key], oracles[key], FOLDER) is None
 
 
