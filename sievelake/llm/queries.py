@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from . import decontam
+from . import decontam, packing, quality_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -52,6 +52,20 @@ def op1(spark, sf_dir):
     return found.drop("longest")
 
 
+@register("op3_quality_rules")
+def op3(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
+#: The rank file holds the vocabulary of byte_bpe_50k.json; both give the same ids.
+TOKENIZER = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op4_pack")
+def op4(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), *TOKENIZER)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
