@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, packing, quality_rules
-from .common import table
+from . import decontam, langid, packing, quality_rules
+from .common import held_out, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -66,6 +66,14 @@ def op4(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), *TOKENIZER)
 
 
+@register("op5_langid")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", held_out("doc_id", 4, 2))
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.identify(docs, model, carry=("doc_id", "held_out")).drop("spans")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
