@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, langid, packing, quality_rules
+from . import decontam, langid, packing, quality_rules, warc
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -74,6 +74,29 @@ def op5(spark, sf_dir):
     return langid.identify(docs, model, carry=("doc_id", "held_out")).drop("spans")
 
 
+_QUINTET = "('0x' || substr(sha1(payload), {0}, 10))::BIGINT"
+_BASE32 = " || ".join(
+    "array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda b: "
+    f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((({_QUINTET.format(at)}) >> b) & 31) + 1]), '')"
+    for at in (1, 11, 21, 31)
+)
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, row_number() OVER () AS r FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, r) AS place,
+             first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, r) AS largest FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN largest END AS refers_to
+FROM k
+"""
+
+
+@register("op10_warc", WARC_SQL)
+def op10(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
