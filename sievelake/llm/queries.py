@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, langid, packing, quality_rules, warc
-from .common import held_out, table
+from . import decontam, langid, packing, quality_rules, secret_scan, warc
+from .common import held_out, kept, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -74,6 +74,13 @@ def op5(spark, sf_dir):
     return langid.identify(docs, model, carry=("doc_id", "held_out")).drop("spans")
 
 
+@register("op6_secrets")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ratios = secret_scan.log_ratios(kept(secret_scan.labelled_sample(docs), "tokens"))
+    return secret_scan.scan(docs, ratios).drop("found")
+
+
 _QUINTET = "('0x' || substr(sha1(payload), {0}, 10))::BIGINT"
 _BASE32 = " || ".join(
     "array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda b: "
