@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontam, langid, packing, quality_rules, secret_scan, warc
+from . import cotraining, decontam, langid, packing, quality_rules, secret_scan, toxicity, warc
 from .common import held_out, kept, table
 
 QUERIES: dict = {}
@@ -81,6 +81,21 @@ def op6(spark, sf_dir):
     return secret_scan.scan(docs, ratios).drop("found")
 
 
+@register("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).withColumnRenamed("toxic", "label")
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model, ("doc_id", "held_out"))
+
+
+@register("op9_cotraining")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).withColumnRenamed("quality", "label")
+    return cotraining.classify(docs, labels, ("doc_id", "held_out"))
+
+
 _QUINTET = "('0x' || substr(sha1(payload), {0}, 10))::BIGINT"
 _BASE32 = " || ".join(
     "array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda b: "
