@@ -20,12 +20,13 @@ ASSIGN = (
     r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"""
     r"""|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 )
-ACCESS = r"()(AKIA[A-Z0-9]+)"
-HEX = r"()([0-9a-f]+)"
+#: Of the others a match is a whole run, so that asking for its least length in the pattern gives the same.
+ACCESS = r"()(AKIA[A-Z0-9]{12,})"
+HEX = r"()([0-9a-f]{32,})"
 LEAST = (8, 16, 32)
 
 #: Tokens that the models compare.
-TOKEN = r"()([A-Za-z0-9+/_-]+)"
+TOKEN = r"()([A-Za-z0-9+/_-]{20,})"
 LEAST_TOKEN = 20
 
 #: A token is reported when its mean log-likelihood ratio per character is above this.
