@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import kept, per_text, shards, whole_rows
 from .components import smallest_reachable
@@ -24,8 +24,8 @@ SHINGLE, PERCENT = 5, 75
 SLOT_BITS = 20
 _BLOCK = 1 << 14
 
-#: Lists go on being compared with pivots while pairing them would make more than so many pairs a row.
-PAIRS_PER_ROW, MOST_ROUNDS = 4, 6
+#: So often the members of a list are compared with a pivot, before what is left is paired across classes.
+ROUNDS = 2
 
 #: A task remembers the hashes of so many words.
 REMEMBERED = 400_000
@@ -163,72 +163,94 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long, linked boolean")
 
 
-def _fits(n, at, m, other):
-    """Length and positional filter of two sets that share the shingle at these places of their orders."""
-    length = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    shared = F.least(at, other) + 1 + F.least(n - at, m - other) - 1
-    return length & ((100 + PERCENT) * shared >= PERCENT * (n + m))
+def _fits(x, y):
+    """Length and positional filter of two posts, structs of set, n, at and before, of one list.
 
+    ``before`` counts the shingles ahead in the order that any other prefix has; only those can be common
+    to both ahead of this one, and no more than what is left can be behind it.
+    """
+    length = 100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])
+    shared = F.least(x["before"], y["before"]) + F.least(x["n"] - x["at"], y["n"] - y["at"])
+    return length & ((100 + PERCENT) * shared >= PERCENT * (x["n"] + y["n"])) & (x["set"] != y["set"])
 
-def links(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, comp): classes of set numbers, for sets that are linked with another one.
 
-    ``found`` is the stored result of ``sets`` with doc_id; ``docs`` has the texts.
+def postings(one: DataFrame) -> DataFrame:
+    """(token, post, central) for prefix shingles that two sets have; post: set, n, at, before.
+
+    ``central`` is the share of a set's prefix that other prefixes have too: the text that near copies
+    were made from has the largest.
     """
-    one = found.where("set IS NOT NULL").groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "prefix")).alias("of")
-    )
-    tokens = one.select("set", F.col("of.n_shingles").alias("n"), F.posexplode("of.prefix").alias("at", "token"))
-    first = F.min(F.struct("set", "n", "at"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("size"), first.alias("pivot")).where("size > 1")
-    shared = kept(shared, "shared").hint("shuffle_hash")
-    posts = kept(tokens.join(shared.select("token", "pivot"), "token"), "postings")
-    near = _fits(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at")) & (F.col("set") != F.col("pivot.set"))
-    pairs = posts.where(near).select(F.col("set").alias("a"), F.col("pivot.set").alias("b"))
-    posts = posts.select("token", "set", "n", "at")
-
-    # the texts of all sets that share a prefix shingle with a set of fitting length
-    wanted = posts.select("set").distinct().join(one.select("set", "doc_id"), "set")
-    key = docs.select(F.col("doc_id"), "text")
-    texts = key.join(wanted.withColumnRenamed("set", "wanted"), key.doc_id.eqNullSafe(wanted.doc_id)).select("wanted", "text")
+    tokens = one.select("set", F.posexplode("prefix").alias("at", "token"))
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    posts = kept(tokens.join(kept(shared, "shared").hint("shuffle_hash"), "token"), "shared_posts")
+    posts = posts.join(one.select("set", "n", F.size("prefix").alias("_size")), "set")
+    mine = Window.partitionBy("set")
+    post = F.struct("set", "n", "at", (F.row_number().over(mine.orderBy("at")) - 1).alias("before"))
+    return kept(posts.select("token", post.alias("post"), (F.count("*").over(mine) / F.col("_size")).alias("central")), "posts")
+
+
+def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, text): one text of every set that has a posting."""
+    wanted = posts.select("post.set").distinct().join(one.select("set", "doc_id"), "set")
+    wanted = wanted.select(F.col("set").alias("wanted"), F.col("doc_id").alias("_id"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("wanted", "text", F.col("text").alias("_kept"))
 
     def make():
         hashes = WordHashes()
         return lambda values: [[_number(shingles(t, hashes)) if t else None for t in values]]
 
-    texts = per_text(texts.select("wanted", F.col("text"), F.col("text").alias("kept_text")), make, "set long", ("wanted", "kept_text"))
-    texts = kept(texts.where("set = wanted").select("set", F.col("kept_text").alias("text")).dropDuplicates(["set"]), "texts")
+    # rows of one id may have several texts
+    texts = per_text(texts, make, "set long", ("wanted", "_kept"))
+    return kept(texts.where("set = wanted").select("set", F.col("_kept").alias("text")).dropDuplicates(["set"]), "texts")
 
-    tested = kept(_verified(_once(pairs), texts), "tested")
-    for turn in range(MOST_ROUNDS):
-        comps = smallest_reachable(tested.where("linked").select("a", "b"))
-        open_posts = posts.join(comps.withColumnRenamed("node", "set"), "set", "left")
-        open_posts = open_posts.withColumn("comp", F.coalesce("comp", "set"))
-        lists = open_posts.groupBy("token").agg(
-            F.count("*").alias("size"),
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.min(F.struct(F.xxhash64("set", F.lit(turn)), "set", "n", "at", "comp")).alias("pivot"),
-        )
-        lists = kept(lists.where("low <> high").select("token", "size", "pivot"), "lists").hint("shuffle_hash")
-        rows, all_pairs = lists.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
-        if rows is None:
-            return comps
-        open_posts = kept(open_posts.join(lists, "token"), "open")
-        if all_pairs <= PAIRS_PER_ROW * rows or turn == MOST_ROUNDS - 1:
+
+def links(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, comp): classes of set numbers, for sets that are linked with another one.
+
+    ``found`` is the stored result of ``sets`` with doc_id; ``docs`` has the texts.
+    """
+    one = found.where("set IS NOT NULL").groupBy("set").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "prefix")).alias("of")
+    )
+    one = kept(one.select("set", "doc_id", F.col("of.n_shingles").alias("n"), F.col("of.prefix").alias("prefix")), "one")
+    posts = postings(one)
+    texts = texts_of(one, posts, docs)
+    rows = posts.withColumn("comp", F.col("post.set"))
+    tested = None
+    for turn in range(ROUNDS):
+        pivot = F.max(F.struct("central", F.xxhash64("post.set", F.lit(turn)), "post", "comp")).alias("pivot")
+        lists = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pivot)
+        lists = kept(lists.where("low <> high").select("token", "pivot"), "lists")
+        if lists.isEmpty():
             break
-        near = _fits(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at")) & (F.col("comp") != F.col("pivot.comp"))
-        pairs = open_posts.where(near).select(F.col("set").alias("a"), F.col("pivot.set").alias("b"))
-        pairs = _once(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = kept(tested.union(_verified(pairs, texts)), "tested")
-    other = open_posts.select("token", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "at", "comp")])
-    crossed = open_posts.select("token", "set", "n", "at", "comp").join(other, "token")
-    crossed = crossed.where((F.col("set") < F.col("set_b")) & (F.col("comp") != F.col("comp_b")))
-    crossed = crossed.where(_fits(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b")))
-    pairs = _once(crossed.select(F.col("set").alias("a"), F.col("set_b").alias("b")))
-    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    last = tested.where("linked").union(_verified(pairs, texts).where("linked"))
-    return smallest_reachable(last.select("a", "b"))
+        rows = kept(rows.join(lists.hint("shuffle_hash"), "token"), "open")
+        near = _fits(F.col("post"), F.col("pivot.post")) & (F.col("comp") != F.col("pivot.comp"))
+        pairs = _once(rows.where(near).select(F.col("post.set").alias("a"), F.col("pivot.post.set").alias("b")))
+        tested = _tested(pairs, texts, tested)
+        comps = smallest_reachable(tested.where("linked").select("a", "b"))
+        # a pivot has been compared with its whole list and leaves it
+        rest = rows.where(F.col("post.set") != F.col("pivot.post.set")).drop("pivot", "comp")
+        rows = rest.join(comps.withColumnRenamed("node", "_set"), F.col("post.set") == F.col("_set"), "left")
+        rows = rows.select("token", "post", "central", F.coalesce("comp", F.col("post.set")).alias("comp"))
+    if tested is None:
+        return smallest_reachable(one.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0))
+    rows = kept(rows.select("token", "post", "comp"), "rest")
+    lists = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    rows = kept(rows.join(kept(lists.select("token"), "lists").hint("shuffle_hash"), "token"), "mixed")
+    other = rows.select("token", F.col("post").alias("post_b"), F.col("comp").alias("comp_b"))
+    crossed = rows.join(other, "token").where((F.col("post.set") < F.col("post_b.set")) & (F.col("comp") != F.col("comp_b")))
+    crossed = crossed.where(_fits(F.col("post"), F.col("post_b")))
+    pairs = _once(crossed.select(F.col("post.set").alias("a"), F.col("post_b.set").alias("b")))
+    tested = _tested(pairs, texts, tested)
+    return smallest_reachable(tested.where("linked").select("a", "b"))
+
+
+def _tested(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """The pairs tested so far and those of ``pairs`` that were not, each verified once."""
+    if tested is None:
+        return kept(_verified(pairs, texts), "tested")
+    fresh = kept(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    return kept(tested.union(_verified(fresh, texts)), "tested")
 
 
 def _once(pairs: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ def fixture(seed):
     return out + [(5000, None), (5000, out[3][1]), (5001, out[3][1]), (None, out[4][1]), (None, "alone in the world of words")]
 
 
-@pytest.mark.parametrize("seed,pairs", [(1, 4), (2, 0)])
-def test_against_brute_force(spark, monkeypatch, seed, pairs):
-    monkeypatch.setattr(join, "PAIRS_PER_ROW", pairs)
+@pytest.mark.parametrize("seed,rounds", [(1, 2), (2, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, rounds):
+    monkeypatch.setattr(join, "ROUNDS", rounds)
     texts = fixture(seed)
     wide = docs(spark, texts).selectExpr("*", "1 as component_id", "2 as set", "3 as token")
     got = rows(join.near_duplicates(wide), "doc_id", "n_shingles", "component_id")
