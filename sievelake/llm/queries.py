@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import cotraining, decontam, jaccard_join, langid, packing, quality_rules, secret_scan, toxicity, warc
+from . import cotraining, decontam, jaccard_join, langid, packing, quality_rules, secret_scan, suffix_dedup, toxicity, warc
 from .common import held_out, kept, table
 
 QUERIES: dict = {}
@@ -52,6 +52,30 @@ def op1(spark, sf_dir):
     return found.drop("longest")
 
 
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d),
+s AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w),
+m AS (SELECT r, p, min(doc_id) OVER (PARTITION BY s) < doc_id AS gone FROM s),
+starts AS (SELECT r, p, coalesce(p - lag(p) OVER o <= 50, false) AS joined FROM m WHERE gone WINDOW o AS (PARTITION BY r ORDER BY p)),
+runs AS (SELECT r, p, sum((NOT joined)::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM starts),
+spans AS (SELECT r, k, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY r, k),
+edges AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before, lead(a) OVER (PARTITION BY r ORDER BY a) AS after FROM spans),
+parts AS (SELECT d.r, any_value(d.h) AS h, sum(b - a) AS removed, count(*) AS n_spans,
+                 string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a)
+                 || substr(any_value(h), 2 * max(b) + 1) AS rest
+          FROM edges JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, d.h))) AS kept_sha256
+FROM d LEFT JOIN parts USING (r)
+"""
+
+
+@register("op2_suffix_dedup", SUFFIX_SQL)
+def op2(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @register("op3_quality_rules")
 def op3(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("perplexity")
