@@ -121,8 +121,8 @@ g AS (SELECT DISTINCT r, s FROM (
     SELECT r, array_to_string(ws[i:i + 4], ' ') AS s
     FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0))),
 n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
-p AS (SELECT a.r AS x, b.r AS y, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2),
-e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * both >= 75 * (a.n + b.n - both)),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS n_both FROM g a JOIN g b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * n_both >= 75 * (a.n + b.n - n_both)),
 walk AS (SELECT r AS x, r AS y FROM d UNION SELECT walk.x, e.y FROM walk JOIN e ON walk.y = e.x)
 SELECT a.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b.doc_id) AS component_id
 FROM walk JOIN d a ON a.r = walk.x JOIN d b ON b.r = walk.y LEFT JOIN n ON n.r = a.r

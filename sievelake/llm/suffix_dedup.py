@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import kept, per_text
@@ -71,26 +72,37 @@ def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[first].view(np.int64), first, n
 
 
-def _runs_of(column_only_keys: bool):
-    def make():
-        def find(texts):
-            if column_only_keys:
-                keys = [np.unique(runs(t)[0]) for t in texts]
-                flat = np.concatenate(keys or [np.zeros(0, np.int64)])
-                ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-                return [pa.ListArray.from_arrays(ends, pa.array(flat))]
-            found = [runs(t) for t in texts]
-            columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
-            flat = pa.StructArray.from_arrays(
-                [pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))],
-                names=["key", "at", "n"],
-            )
-            ends = np.cumsum([0] + [len(f[0]) for f in found]).astype(np.int32)
-            return [pa.ListArray.from_arrays(ends, flat)]
+def _lists(counts: list[int], names: list[str], columns: list[np.ndarray]) -> pa.ListArray:
+    """Rows of structs, so many for each text."""
+    flat = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)
+    return pa.ListArray.from_arrays(np.cumsum([0, *counts]).astype(np.int32), flat)
+
+
+def _keys_of():
+    def find(texts):
+        counts, parts = [], [np.zeros((0, 2), np.int64)]
+        for text in texts:
+            key, first, n = runs(text)
+            digest = xxhash.xxh3_64_intdigest
+            digests = (digest(text[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist()))
+            both = np.stack([key, np.fromiter(digests, np.uint64, len(key)).view(np.int64)], axis=1)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))[: len(both)]]
+            counts.append(len(both))
+            parts.append(both)
+        both = np.concatenate(parts)
+        return [_lists(counts, ["key", "digest"], [both[:, 0].copy(), both[:, 1].copy()])]
+
+    return find
+
 
-        return find
+def _runs_of():
+    def find(texts):
+        found = [runs(t) for t in texts]
+        key, at, n = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return [_lists([len(f[0]) for f in found], ["key", "at", "n"], [key, at.astype(np.int32), n.astype(np.int32)])]
 
-    return make
+    return find
 
 
 def _contexts(found: DataFrame) -> DataFrame:
@@ -176,25 +188,27 @@ def _resolved(distinct: DataFrame) -> DataFrame:
 
 def _repeats(docs: DataFrame) -> DataFrame:
     """(row, spans): the byte ranges to remove, not merged, for rows (_row, _doc, text) that have some."""
-    keys = per_text(docs, _runs_of(True), "keys array<long>", ())
-    keys = keys.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    keys = per_text(docs, _keys_of, "keys array<struct<key:long,digest:long>>", ("_doc",))
+    keys = keys.select("_doc", F.inline("keys")).groupBy("key").agg(
+        F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.min("digest").alias("low"), F.max("digest").alias("high")
+    )
+    keys = keys.where("first < last").select("key", "first", (F.col("low") != F.col("high")).alias("mixed"))
     shared = kept(keys, "shared").hint("shuffle_hash")
-    found = per_text(docs, _runs_of(False), RUNS, ("_row",)).select("_row", F.inline("runs"))
-    wanted = found.join(shared, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "at", "n")).alias("wanted"))
-    wanted = kept(wanted.withColumnRenamed("_row", "_wanted_by"), "wanted")
+    found = per_text(docs, _runs_of, RUNS, ("_row", "_doc")).select("_row", "_doc", F.inline("runs")).join(shared, "key")
+    # where all runs of a key are equal, the first document that has it keeps them
+    found = found.where("mixed OR first < _doc").select("_row", "key", "at", "n", "mixed")
+    found = kept(found.groupBy("_row", "mixed").agg(F.collect_list(F.struct("key", "at", "n")).alias("wanted")), "wanted")
+    plain = found.where("NOT mixed").select(F.col("_row").alias("row"), F.inline("wanted"))
+    plain = plain.select("row", "at", "n", F.lit(0).cast("long").alias("doc"), F.array(F.lit(-1).cast("long")).alias("least"))
+
+    wanted = found.where("mixed").select(F.col("_row").alias("_wanted_by"), "wanted")
     texts = docs.join(wanted, F.col("_row") == F.col("_wanted_by")).select(F.col("text").cast("binary").alias("_text"), "wanted", "_row", "_doc")
-    cut = _contexts(texts).withColumn("digest", F.xxhash64("context"))
-    cut = kept(cut, "contexts")
+    cut = kept(_contexts(texts).withColumn("digest", F.xxhash64("context")), "contexts")
     # the digest names a context under its key, so that the contexts themselves are dealt out once
     distinct = cut.groupBy("key", "digest").agg(F.min("doc").alias("doc"), F.min("context").alias("context"))
-    distinct = kept(distinct, "distinct")
-    several = distinct.groupBy("key").count().where("count > 1").select("key")
-    mixed = distinct.join(kept(several, "several").hint("shuffle_hash"), "key").select("key", "digest", "context", "doc")
-    solved = kept(_resolved(mixed.repartition("key").sortWithinPartitions("key")), "solved")
-    answers = distinct.select("key", "digest", "doc").withColumnRenamed("doc", "first").join(solved, ["key", "digest"], "left")
-    rows = cut.select("key", "digest", "at", "n", "row", "doc").join(kept(answers, "answers"), ["key", "digest"])
-    least = F.coalesce("least", F.array("first"))
-    rows = rows.withColumn("least", least).where(F.exists("least", lambda v: v < F.col("doc")))
+    solved = kept(_resolved(distinct.repartition("key").sortWithinPartitions("key")), "solved")
+    rows = cut.select("key", "digest", "at", "n", "row", "doc").join(solved, ["key", "digest"])
+    rows = rows.where(F.exists("least", lambda v: v < F.col("doc"))).select("row", "at", "n", "doc", "least").unionByName(plain)
 
     def spans(batches):
         for batch in batches:
@@ -208,7 +222,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
                 out.append(np.array(found, "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "span"])
 
-    found = rows.select("row", "at", "n", "doc", "least").mapInArrow(spans, "row long, span binary")
+    found = rows.mapInArrow(spans, "row long, span binary")
     return kept(found.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
 
 
