@@ -48,29 +48,24 @@ def _induce(text, small, marked) -> np.ndarray:
             _deal(lists, text[away], away)
         return before[same]
 
+    def read(lists, value, want):
+        """Read a bucket, with what falls into it meanwhile, and leave it as one array."""
+        waves = [np.concatenate(lists[value])] if lists[value] else []
+        while waves and len(rest := step(waves[-1], want, lists, value)):
+            waves.append(rest)
+        lists[value] = np.concatenate(waves) if waves else np.zeros(0, np.int64)
+
     for value in range(top):
-        k = 0
-        while k < len(larger[value]):
-            rest = step(larger[value][k], False, larger, value)
-            if len(rest):
-                larger[value].append(rest)
-            k += 1
-        for wave in starts[value]:
-            step(wave, False, larger, value)
+        read(larger, value, False)
+        if starts[value]:
+            step(np.concatenate(starts[value]), False, larger, value)
     smaller = [[] for _ in range(top)]
     for value in range(top - 1, -1, -1):
-        k = 0
-        while k < len(smaller[value]):
-            rest = step(smaller[value][k], True, smaller, value)
-            if len(rest):
-                smaller[value].append(rest)
-            k += 1
-        for wave in reversed(larger[value]):
-            step(wave[::-1], True, smaller, value)
+        read(smaller, value, True)
+        step(larger[value][::-1], True, smaller, value)
     out = []
     for value in range(top):
-        out += larger[value]
-        out += [wave[::-1] for wave in reversed(smaller[value])]
+        out += [larger[value], smaller[value][::-1]]
     return np.concatenate(out)
 
 
