@@ -129,7 +129,8 @@ def _contexts(found: DataFrame) -> DataFrame:
 
 
 def smallest_documents(contexts: list[bytes], docs: np.ndarray) -> list[list[int]]:
-    """Per context the smallest document of each of its 50-byte strings, by a suffix array of them all."""
+    """Per context the smallest document of each of its 50-byte strings, by a suffix array of them all; one
+    entry where they are the same."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     sizes = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(sizes)
@@ -152,7 +153,8 @@ def smallest_documents(contexts: list[bytes], docs: np.ndarray) -> list[list[int
     least = np.minimum.reduceat(docs[owner[order]], starts)
     value = np.zeros(len(data), np.int64)
     value[order] = least[group]
-    return [value[e - s : e - LENGTH + 1].tolist() for e, s in zip(ends.tolist(), sizes.tolist())]
+    out = [value[e - s : e - LENGTH + 1] for e, s in zip(ends.tolist(), sizes.tolist())]
+    return [v[:1].tolist() if (v == v[0]).all() else v.tolist() for v in out]
 
 
 def _resolved(distinct: DataFrame) -> DataFrame:
@@ -199,7 +201,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     found = found.where("mixed OR first < _doc").select("_row", "key", "at", "n", "mixed")
     found = kept(found.groupBy("_row", "mixed").agg(F.collect_list(F.struct("key", "at", "n")).alias("wanted")), "wanted")
     plain = found.where("NOT mixed").select(F.col("_row").alias("row"), F.inline("wanted"))
-    plain = plain.select("row", "at", "n", F.lit(0).cast("long").alias("doc"), F.array(F.lit(-1).cast("long")).alias("least"))
+    plain = plain.select("row", _span())
 
     wanted = found.where("mixed").select(F.col("_row").alias("_wanted_by"), "wanted")
     texts = docs.join(wanted, F.col("_row") == F.col("_wanted_by")).select(F.col("text").cast("binary").alias("_text"), "wanted", "_row", "_doc")
@@ -208,24 +210,32 @@ def _repeats(docs: DataFrame) -> DataFrame:
     distinct = cut.groupBy("key", "digest").agg(F.min("doc").alias("doc"), F.min("context").alias("context"))
     solved = kept(_resolved(distinct.repartition("key").sortWithinPartitions("key")), "solved")
     rows = cut.select("key", "digest", "at", "n", "row", "doc").join(solved, ["key", "digest"])
-    rows = rows.where(F.exists("least", lambda v: v < F.col("doc"))).select("row", "at", "n", "doc", "least").unionByName(plain)
+    rows = rows.where(F.exists("least", lambda v: v < F.col("doc")))
+    alone = rows.where(F.size("least") == 1).select("row", _span())
 
     def spans(batches):
         for batch in batches:
-            out = []
-            for at, n, doc, least in zip(*(batch.column(c).to_pylist() for c in ("at", "n", "doc", "least"))):
-                if len(least) == 1:
-                    found = [(at, at + n + LENGTH - 1)]
-                else:
-                    hit = np.flatnonzero(np.diff(np.concatenate(([0], (np.array(least) < doc).astype(np.int8), [0]))))
-                    found = [(at + a, at + b + LENGTH - 1) for a, b in hit.reshape(-1, 2).tolist()]
-                out.append(np.array(found, "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "span"])
-
-    found = rows.mapInArrow(spans, "row long, span binary")
+            row, span = [], []
+            for r, at, doc, least in zip(*(batch.column(c).to_pylist() for c in ("row", "at", "doc", "least"))):
+                hit = np.flatnonzero(np.diff(np.concatenate(([0], (np.array(least) < doc).astype(np.int8), [0]))))
+                for a, b in hit.reshape(-1, 2).tolist():
+                    row.append(r)
+                    span.append({"start": at + a, "end": at + b + LENGTH - 1})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row, pa.int64()), pa.array(span, pa.struct([("start", pa.int32()), ("end", pa.int32())]))], ["row", "span"]
+            )
+
+    several = rows.where(F.size("least") > 1).select("row", "at", "doc", "least")
+    several = several.mapInArrow(spans, "row long, span struct<start:int,end:int>")
+    found = several.unionByName(alone).unionByName(plain)
     return kept(found.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
 
 
+def _span():
+    """All strings of a run, as one byte range."""
+    return F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("end")).alias("span")
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
 
@@ -250,7 +260,7 @@ def dedup(docs: DataFrame, carry=("doc_id",), with_text: bool = False) -> DataFr
             results = []
             for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
                 text, at, removed, count, pieces = text or b"", 0, 0, 0, []
-                ranges = sorted(x for s in set(spans or ()) for x in map(tuple, np.frombuffer(s, "<i4").reshape(-1, 2).tolist()))
+                ranges = sorted({(s["start"], s["end"]) for s in spans or ()})
                 for start, end in ranges:
                     if start > at or not count:
                         pieces.append(text[at:start])
