@@ -21,12 +21,13 @@ ASSIGN = (
     r"""|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 )
 #: Of the others a match is a whole run, so that asking for its least length in the pattern gives the same.
+#: A run starts where no character of it stands before, so that nothing is tried inside a short one.
 ACCESS = r"()(AKIA[A-Z0-9]{12,})"
-HEX = r"()([0-9a-f]{32,})"
+HEX = r"()((?<![0-9a-f])[0-9a-f]{32,})"
 LEAST = (8, 16, 32)
 
 #: Tokens that the models compare.
-TOKEN = r"()([A-Za-z0-9+/_-]{20,})"
+TOKEN = r"()((?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,})"
 LEAST_TOKEN = 20
 
 #: A token is reported when its mean log-likelihood ratio per character is above this.
@@ -46,14 +47,19 @@ def _unmarked(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _OPEN + _SHUT, _OTHER + _OTHER)
 
 
-def matches(text: Column, pattern: str, least: int) -> Column:
+def parts_of(text: Column, pattern: str) -> Column:
+    """The text cut before each match of a pattern, whose two groups make up the match; marks end both groups.
+
+    Store it in a column before ``matches`` reads it several times; ``text`` holds no marks.
+    """
+    return F.split(F.regexp_replace(text, pattern, f"{_OPEN}$1{_SHUT}$2{_SHUT}"), _OPEN, -1)
+
+
+def matches(parts: Column, least: int) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points.
 
-    ``pattern`` has two groups that make up the match; those whose second is shorter than ``least`` are
-    dropped after matching. ``text`` holds no marks.
+    Those whose second group is shorter than ``least`` are dropped after matching.
     """
-    marked = F.regexp_replace(text, pattern, f"{_OPEN}$1{_SHUT}$2{_SHUT}")
-    parts = F.split(marked, _OPEN, -1)
     found = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.split(p, _SHUT, 3))
     sized = F.transform(
         found,
@@ -77,8 +83,13 @@ def matches(text: Column, pattern: str, least: int) -> Column:
     return F.aggregate(sized, start, step, lambda acc: acc["found"])
 
 
-def base_matches(text: Column) -> list[Column]:
-    return [matches(text, pattern, least) for pattern, least in zip((ASSIGN, ACCESS, HEX), LEAST)]
+def with_matches(rows: DataFrame, text: str) -> DataFrame:
+    """Add _m0, _m1 and _m2, the base matches by kind, and _tokens, the matches of TOKEN."""
+    patterns = (ASSIGN, ACCESS, HEX, TOKEN)
+    cut = rows.withColumns({f"_parts{k}": parts_of(F.col(text), pattern) for k, pattern in enumerate(patterns)})
+    found = zip(("_m0", "_m1", "_m2", "_tokens"), (*LEAST, LEAST_TOKEN))
+    columns = {name: matches(F.col(f"_parts{k}"), least) for k, (name, least) in enumerate(found)}
+    return cut.withColumns(columns).drop(*[f"_parts{k}" for k in range(len(patterns))])
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
@@ -96,8 +107,8 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     hint = F.col("text").rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     rows_of = docs.select("doc_id", text.alias("text"), F.coalesce(hint, F.lit(False)).alias("hint"))
     secrets = bounded_sample(rows_of.where("hint"), rows)
-    found = [F.transform(m, lambda x: x["value"]) for m in base_matches(F.col("text"))[1:]]
-    secrets = secrets.select(F.explode(F.concat(*found)).alias("token"), F.lit(True).alias("random"))
+    found = [F.transform(m, lambda x: x["value"]) for m in ("_m1", "_m2")]
+    secrets = with_matches(secrets, "text").select(F.explode(F.concat(*found)).alias("token"), F.lit(True).alias("random"))
     plain = bounded_sample(rows_of.where("NOT hint"), rows)
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z_]{3,})"), 1)
     return secrets.unionByName(plain.select(F.explode(words).alias("token"), F.lit(False).alias("random")))
@@ -127,20 +138,19 @@ def log_ratios(sample: DataFrame) -> list[float]:
     return [round(a - b, 4) for a, b in zip(logs(counts[True]), logs(counts[False]))]
 
 
-def random_matches(text: Column, ratios: Column, base: Column, threshold: float) -> Column:
+def random_matches(found: Column, ratios: Column, base: Column, threshold: float) -> Column:
     """Tokens above the threshold that touch no base match."""
     size = len(ALPHABET)
 
     def ratio(token):
-        places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-        total = F.aggregate(
-            F.sequence(F.lit(1), F.length(token) - 1),
-            F.lit(0.0),
-            lambda acc, i: acc + F.get(ratios, (F.get(places, i - 1) - 1) * size + F.get(places, i) - 1),
-        )
-        return total / (F.length(token) - 1)
+        def step(acc, c):
+            place = F.instr(F.lit(ALPHABET), c)
+            added = F.when(acc["last"] > 0, F.get(ratios, (acc["last"] - 1) * size + place - 1)).otherwise(F.lit(0.0))
+            return F.struct(place.alias("last"), (acc["total"] + added).alias("total"))
+
+        start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("total"))
+        return F.aggregate(F.split(token, ""), start, step, lambda acc: acc["total"] / (F.length(token) - 1))
 
-    found = matches(text, TOKEN, LEAST_TOKEN)
     mixed = F.filter(found, lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
     apart = F.filter(mixed, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return F.filter(apart, lambda m: ratio(m["value"]) > threshold)
@@ -156,10 +166,9 @@ def scan(docs: DataFrame, ratios: list[float], carry=("doc_id",), threshold: flo
     results = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "found")
     carry = [c for c in carry if c not in results]
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], _unmarked(F.col("text")).alias("_text"))
-    base = [m.alias(f"_m{k}") for k, m in enumerate(base_matches(F.col("_text")))]
-    rows = rows.select(*[F.col(f"`{c}`") for c in carry], "_text", *base)
+    rows = with_matches(rows, "_text").drop("_text")
     table = F.array(*map(F.lit, ratios))
-    rows = rows.withColumn("_m3", random_matches(F.col("_text"), table, F.concat("_m0", "_m1", "_m2"), threshold))
+    rows = rows.withColumn("_m3", random_matches(F.col("_tokens"), table, F.concat("_m0", "_m1", "_m2"), threshold))
 
     def spans(kinds):
         def of(kind):
