@@ -44,7 +44,8 @@ _OPEN, _SHUT, _OTHER = chr(0xE000), chr(0xE001), chr(0xE002)
 
 def _unmarked(text: Column) -> Column:
     """The text with the marking characters, which no pattern matches, replaced by another such character."""
-    return F.translate(F.coalesce(text, F.lit("")), _OPEN + _SHUT, _OTHER + _OTHER)
+    held = text.contains(_OPEN) | text.contains(_SHUT)  # hardly any: replacing costs more than looking
+    return F.when(held, F.translate(text, _OPEN + _SHUT, _OTHER + _OTHER)).otherwise(F.coalesce(text, F.lit("")))
 
 
 def parts_of(text: Column, pattern: str) -> Column:
