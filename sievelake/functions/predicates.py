@@ -9,6 +9,7 @@ A filter is ``{field, operator, value, logic}``. Several filters combine in one
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_, or_
 from typing import Mapping, Sequence
@@ -24,6 +25,7 @@ COMPARISONS = {
 }
 EMPTY_VALUES = (None, "nan", "[]")
 MODES = ("fold", "sql", "must_should")
+INTEGER_BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
 
 
 def typed_literal(value, data_type: T.DataType) -> Column:
@@ -45,6 +47,20 @@ def typed_literal(value, data_type: T.DataType) -> Column:
     return F.lit(value).cast(data_type)
 
 
+def typed_key(value, data_type: T.DataType):
+    """A filter value as a lookup key of the field's type; None when no row can equal it."""
+    if isinstance(data_type, T.IntegralType):
+        number = float(value)
+        if not math.isfinite(number) or number != int(number):
+            return None
+        exact = int(value) if str(value).lstrip("+-").isdigit() else int(number)
+        limit = 1 << (INTEGER_BITS[data_type.typeName()] - 1)
+        return exact if -limit <= exact < limit else None
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return float(value)
+    return str(value)
+
+
 def condition(
     schema: T.StructType,
     spec: Mapping,
@@ -70,8 +86,10 @@ def condition(
         found = text.rlike(str(value)) if like == "regex" else text.contains(str(value))
     elif operator == "contains":
         if isinstance(data_type, T.ArrayType):
-            element = typed_literal(value, data_type.elementType).cast(data_type.elementType)
-            found = F.array_contains(column, element)
+            element = typed_key(value, data_type.elementType)
+            found = F.lit(False)
+            if element is not None:
+                found = F.array_contains(column, F.lit(element).cast(data_type.elementType))
         elif isinstance(data_type, T.StringType):
             found = column.contains(str(value))
         else:

@@ -189,7 +189,7 @@ def relevance_distribution(
     """(name, value, cnt, selectivity): values of the filter field among the nearest rows.
 
     Only queries with a single comparison take part; a query whose reference row is missing is
-    left out.
+    left out. Rows without a value are counted neither as a value nor in the total.
     """
     source = df if references is None else references
     targets = queries.join(relevance_targets(queries).select("name"), "name", "left_semi").join(
@@ -209,7 +209,7 @@ def relevance_distribution(
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        counts = rows.groupBy("name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        counts = rows.where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count(F.lit(1)).alias("cnt"))
         totals = counts.groupBy("name").agg(F.sum("cnt").alias("total"))
         return counts.join(F.broadcast(totals), "name").select(
             "name", "value", "cnt", "total", (F.col("cnt") / F.col("total")).alias("selectivity")

@@ -12,6 +12,7 @@ from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.distance import metric as lookup_metric
@@ -25,9 +26,10 @@ _ARROW_SCHEMA = pa.schema(
 
 def vectors_of(column: pa.Array, dimension: int) -> np.ndarray:
     """An Arrow list column as a (rows, dimension) matrix of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) != len(column) * dimension:
+    lengths = pc.min_max(column.value_lengths()).as_py()
+    if column.null_count or len(column) and (lengths["min"], lengths["max"]) != (dimension, dimension):
         raise ValueError(f"every vector must have {dimension} components")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), dimension).astype(np.float64)
 
 
@@ -58,12 +60,16 @@ def measure(name: str, block: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def lower_bounds(name: str, block: np.ndarray, queries: np.ndarray) -> np.ndarray | None:
-    """A (rows, queries) matrix that never exceeds the true squared L2 distance."""
+    """A (rows, queries) matrix that never exceeds the true squared L2 distance.
+
+    It is NaN where components are infinite; such rows have to be measured.
+    """
     if name not in ("l2", "l2_squared"):
         return None
     sizes = (block * block).sum(axis=1)[:, None] + (queries * queries).sum(axis=1)[None, :]
     slack = 8.0 * (block.shape[1] + 8) * np.finfo(np.float64).eps
-    return sizes * (1.0 - slack) - 2.0 * (block @ queries.T)
+    with np.errstate(invalid="ignore"):
+        return sizes * (1.0 - slack) - 2.0 * (block @ queries.T)
 
 
 class NearestSoFar:
@@ -103,13 +109,13 @@ def _scan_block(name, best, ids, block, queries, vector_of, rows_of_query):
         rows = None if rows_of_query is None else rows_of_query[q]
         if bounds is not None:
             low = bounds[:, vector_of[q]] if rows is None else bounds[rows, vector_of[q]]
-            inside = low <= _squared(name, best[q].worst)
+            inside = ~(low > _squared(name, best[q].worst))  # NaN stays
             rows = np.flatnonzero(inside) if rows is None else rows[inside]
             low = low[inside]
             if len(rows) > best[q].limit:
                 nearest = np.argpartition(low, best[q].limit - 1)[: best[q].limit]
                 reach = measure(name, block[rows[nearest]], queries[vector_of[q]]).max()
-                rows = rows[low <= _squared(name, reach)]
+                rows = rows[~(low > _squared(name, reach))]
         elif rows is None:
             rows = np.arange(len(ids))
         if len(rows):

@@ -34,6 +34,7 @@ from ..functions.predicates import (
     holds_at,
     logic_of,
     numeric_field,
+    typed_key,
 )
 from ..session import local_table
 
@@ -108,18 +109,6 @@ def has_position(name: str, position: Column) -> Column:
     return F.getbit(word, position % WORD) == 1
 
 
-def typed_key(value, data_type: T.DataType):
-    """A filter value as a lookup key of the field's type; None when no row can equal it."""
-    if isinstance(data_type, T.IntegralType):
-        number = float(value)
-        if number != int(number):
-            return None
-        return int(value) if str(value).lstrip("+-").isdigit() else int(number)
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return float(value)
-    return str(value)
-
-
 def _type_of(rows: DataFrame, name: str) -> T.DataType:
     if name not in rows.columns:
         raise ValueError(f"unknown field {name!r}")
@@ -201,13 +190,17 @@ def with_segments(
     if required and not any(map(any, holding(2 * len(constants)))):
         rows = rows.where(F.col(column) <= constants[-1])
     value = F.col(column).cast("double")
-    splits = [float("-inf"), *constants, float("inf")]
+    ends = (float("-inf"), float("inf"))
+    splits = [ends[0], *[c for c in constants if c not in ends], ends[1]]
     located = Bucketizer(
         splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep"
     ).transform(rows.withColumn("_place", F.when(~F.isnan(value), value)))
-    joined = located.join(
-        F.broadcast(segments), F.col("_bucket").cast("int") == F.col("_segment"), "left"
-    )
+    segment = F.col("_bucket").cast("int")
+    if ends[0] in constants:  # nothing lies below it
+        segment = segment + 1
+    if ends[1] in constants:
+        segment = segment + (F.col("_place") == ends[1]).cast("int")
+    joined = located.join(F.broadcast(segments), segment == F.col("_segment"), "left")
     exact = F.col("_place") == F.col("_constant")
     chosen = {
         name: F.when(exact, F.col(on)).otherwise(F.col(name)) for name, on in zip(outs, on_point)

@@ -30,22 +30,47 @@ def latest(changes: DataFrame, sequence: str, key: str = "id") -> DataFrame:
     return changes.groupBy(key).agg(newest).select(key, *[F.col(f"_row.{c}") for c in columns])
 
 
+def single(changes: DataFrame, key: str = "id") -> DataFrame:
+    """The changes as they are; a key that occurs twice is an error when they are read."""
+    columns = [c for c in changes.columns if c != key]
+    message = F.concat(F.lit(f"two changes with one {key}, but no sequence: "), F.col(key).cast("string"))
+    only = F.when(F.count(F.lit(1)) > 1, F.raise_error(message)).otherwise(F.first(F.struct(*columns)))
+    return changes.groupBy(key).agg(only.alias("_row")).select(key, *[F.col(f"_row.{c}") for c in columns])
+
+
+def _one_per_key(changes: DataFrame, columns: Sequence[str], key: str, sequence: str | None) -> DataFrame:
+    wanted = [c for c in columns if c != key]
+    if sequence:
+        ordered = changes.select(key, F.col(sequence).alias("_sequence"), *wanted)
+        return latest(ordered, "_sequence", key)
+    return single(changes.select(key, *wanted), key) if wanted else changes.select(key).distinct()
+
+
 def upsert_full(
     base: DataFrame, changes: DataFrame, key: str = "id", sequence: str | None = None
 ) -> DataFrame:
-    """Replace whole rows by key and add new ones; with ``sequence`` the last duplicate wins."""
-    changes = latest(changes, sequence, key) if sequence else changes
+    """Replace whole rows by key and add new ones.
+
+    With ``sequence`` the last duplicate wins; without it a duplicate key is an error.
+    """
+    changes = _one_per_key(changes, base.columns, key, sequence)
     kept = base.join(changes.select(key).distinct(), key, "left_anti")
     return kept.unionByName(changes.select(*base.columns))
 
 
 def upsert_partial(
-    base: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id"
+    base: DataFrame,
+    changes: DataFrame,
+    columns: Sequence[str],
+    key: str = "id",
+    sequence: str | None = None,
 ) -> DataFrame:
     """Overwrite some columns by key; a new key gets NULL in the others.
 
     A left join and the unmatched changes instead of a full outer join, which could not broadcast.
+    Duplicate keys are handled as in ``upsert_full``.
     """
+    changes = _one_per_key(changes, columns, key, sequence)
     new = changes.select(
         F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]
     )
@@ -66,8 +91,14 @@ def upsert_partial(
     return merged.unionByName(added)
 
 
-def overwrite_field(base: DataFrame, changes: DataFrame, field: str, key: str = "id") -> DataFrame:
-    """Set one field where the key has a change; unknown keys are ignored."""
+def overwrite_field(
+    base: DataFrame, changes: DataFrame, field: str, key: str = "id", sequence: str | None = None
+) -> DataFrame:
+    """Set one field where the key has a change; unknown keys are ignored.
+
+    Duplicate keys are handled as in ``upsert_full``.
+    """
+    changes = _one_per_key(changes, [field], key, sequence)
     new = changes.select(key, F.lit(True).alias("_hit"), F.col(field).alias("_new"))
     return (
         base.join(new, key, "left")

@@ -11,7 +11,6 @@ from ..functions.keyed import keyed_int
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 4096
-DIRECT_SAMPLE = 10_000
 
 
 def _with_range(
@@ -20,18 +19,23 @@ def _with_range(
     """Add ``_range``: a number that grows with ``key``, with about equally many rows each.
 
     The split points are read once and become constants, so that every later pass, and every
-    recomputed task, puts a row into the same range.
+    recomputed task, puts a row into the same range. Rows with a NULL key come first, in the range
+    of the smallest keys, and NaN last, as Spark sorts them.
     """
     rows = df.count() if rows_at_most is None else rows_at_most
     ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
     if ranges <= 1:
         return df.withColumn("_range", F.lit(0.0))
     shares = [i / ranges for i in range(1, ranges)]
-    points = df.agg(
-        F.percentile_approx(F.col(key).cast("double"), shares, 20 * ranges).alias("points")
-    ).first()["points"]
-    splits = [float("-inf"), *sorted(set(points)), float("inf")]
-    keyed = df.withColumn("_key", F.col(key).cast("double"))
+    finite = F.col(key).cast("double")
+    finite = F.when(F.abs(finite) < float("inf"), finite)
+    points = df.agg(F.percentile_approx(finite, shares, 20 * ranges).alias("points")).first()["points"]
+    splits = [float("-inf"), *sorted(set(points or [])), float("inf")]
+    number = F.col(key).cast("double")
+    lowest, highest = F.lit(float("-inf")), F.lit(float("inf"))
+    keyed = df.withColumn(
+        "_key", F.when(number.isNull(), lowest).when(F.isnan(number), highest).otherwise(number)
+    )
     return (
         Bucketizer(splits=splits, inputCol="_key", outputCol="_range").transform(keyed).drop("_key")
     )
@@ -90,42 +94,41 @@ def contiguous_ids(
 def sample_exact(df: DataFrame, n: int, key: str = "id", stream: int = 0) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer), the same ones however df is partitioned.
 
-    The n rows with the smallest (keyed hash, key) are kept. A small n is a bounded top-n; beyond
-    it a histogram of the hash finds the cutoff pair and the rows are kept by comparing with it,
-    so that nothing but hashes and keys moves.
+    The n rows with the smallest (keyed hash, key) are kept, for any n in the same way: a histogram
+    of the hash finds the cutoff pair and the rows are kept by comparing with it, so that nothing
+    but hashes and keys moves. Rows with a NULL key are only kept when all rows are.
     """
     draw = keyed_int(F.col(key), stream)
     if n <= 0:
         return df.where(F.lit(False))
-    if n <= DIRECT_SAMPLE:
-        return df.orderBy(draw, F.col(key)).limit(n)
-    return _sample_by_cutoff(df, n, key, draw)
+    draws = df.select(draw.alias("_draw"), F.col(key).alias("_key")).where(F.col(key).isNotNull())
+    coarse = _place_in_histogram(draws, F.shiftright("_draw", 15), n)
+    if coarse is None:
+        return df
+    inside = draws.where(F.shiftright("_draw", 15) == coarse["_bucket"])
+    fine = _place_in_histogram(inside, F.col("_draw"), coarse["_rest"])
+    ties = inside.where(F.col("_draw") == fine["_bucket"])  # keys of one hash value
+    cutoff = (
+        ties.withColumn("_rank", F.row_number().over(Window.orderBy("_key")))
+        .where(F.col("_rank") == fine["_rest"])
+        .select("_draw", "_key")
+        .first()
+    )
+    last_draw, last_key = F.lit(cutoff["_draw"]), F.lit(cutoff["_key"])
+    return df.where((draw < last_draw) | ((draw == last_draw) & (F.col(key) <= last_key)))
 
 
-def _sample_by_cutoff(df: DataFrame, n: int, key: str, draw: Column) -> DataFrame:
-    draws = df.select(draw.alias("_draw"), F.col(key).alias("_key")).withColumn(
-        "_bucket", F.shiftright("_draw", 15)
-    )
-    histogram = draws.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+def _place_in_histogram(draws: DataFrame, bucket: Column, n: int):
+    """The bucket of row number n in bucket order, and its number inside that bucket."""
+    histogram = draws.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = (
+    return (
         histogram.withColumn("_upto", F.sum("_rows").over(upto))
         .where(F.col("_upto") >= n)
         .orderBy("_bucket")
         .select("_bucket", (F.lit(n) - (F.col("_upto") - F.col("_rows"))).alias("_rest"))
         .first()
     )
-    if reached is None:
-        return df
-    cutoff = (
-        draws.where(F.col("_bucket") == reached["_bucket"])
-        .withColumn("_rank", F.row_number().over(Window.orderBy("_draw", "_key")))
-        .where(F.col("_rank") == reached["_rest"])
-        .select("_draw", "_key")
-        .first()
-    )
-    last_draw, last_key = F.lit(cutoff["_draw"]), F.lit(cutoff["_key"])
-    return df.where((draw < last_draw) | ((draw == last_draw) & (F.col(key) <= last_key)))
 
 
 def sample_prefix(df: DataFrame, n: int, key: str = "id") -> DataFrame:

@@ -38,7 +38,14 @@ def rewrite_targets(
 
 
 def with_running_counts(rates: DataFrame, fields) -> DataFrame:
-    """Add ``upto``, the cumulative count of a field's values in ascending order."""
+    """Add ``upto``, the cumulative count of a field's values in ascending order.
+
+    NULL and NaN are no values that a filter could name: they have no row here, while ``total``, the
+    denominator of a rate, still counts them. ``known`` is the total without them.
+    """
+    rates = rates.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    known = rates.groupBy("field").agg(F.sum("cnt").alias("known"))
+    rates = rates.join(known, "field")
     union = None
     for field in fields:
         part = running_total(rates.where(F.col("field") == field), "value", F.col("cnt"), "upto")
@@ -71,8 +78,8 @@ def rewrite_by_filter_rate(
     filters = filters_of(queries).join(targets, "name", "left")
     wanted = filters.select("field", "target").where(F.col("target").isNotNull()).distinct()
     chosen = _is_chosen(F.col("target"))
-    from_top = (F.col("total") - F.col("upto") < F.col("target") * F.col("total")) | (
-        F.col("upto") == F.col("total")
+    from_top = (F.col("known") - F.col("upto") < F.col("target") * F.col("total")) | (
+        F.col("upto") == F.col("known")
     )
     cutoffs = (
         running.join(wanted, "field")

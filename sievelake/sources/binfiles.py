@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -94,6 +95,17 @@ class _RangedReader(DataSourceReader):
                 yield from self.batches(stream, partition)
 
 
+def _packed(values: pa.Array, dtype: str) -> bytes:
+    """The elements as a file holds them; NULL and numbers out of range are errors."""
+    if values.null_count:
+        raise ValueError("a file cannot hold NULL")
+    if len(values) and np.dtype(dtype).kind in "iu":
+        ends, limits = pc.min_max(values).as_py(), np.iinfo(dtype)
+        if ends["min"] < limits.min or ends["max"] > limits.max:
+            raise ValueError(f"{ends['min']} to {ends['max']} is out of the range of {dtype}")
+    return np.ascontiguousarray(values.to_numpy(zero_copy_only=False), dtype=f"<{dtype}").tobytes()
+
+
 def _numbers(stream, offset: int, count: int, dtype: str) -> np.ndarray:
     stream.seek(offset)
     return np.frombuffer(stream.read(count * np.dtype(dtype).itemsize), dtype=f"<{dtype}")
@@ -147,13 +159,14 @@ class VectorWriter(DataSourceArrowWriter):
             for batch in iterator:
                 column = batch.column(batch.schema.get_field_index("value"))
                 if not self.scalar and batch.num_rows:
-                    lengths = set(column.value_lengths().to_pylist())
-                    if len(lengths) != 1 or (width and lengths != {width}):
+                    if column.null_count:
+                        raise ValueError("a file cannot hold NULL")
+                    lengths = pc.min_max(column.value_lengths()).as_py()
+                    if lengths["min"] != lengths["max"] or width not in (0, lengths["min"]):
                         raise ValueError("all vectors of a file have the same dimension")
-                    width = lengths.pop()
+                    width = lengths["min"]
                     column = column.flatten()
-                values = column.to_numpy(zero_copy_only=False)
-                out.write(np.ascontiguousarray(values, dtype=f"<{self.dtype}").tobytes())
+                out.write(_packed(column, self.dtype))
                 rows += batch.num_rows
         with files.open_output_stream(posixpath.join(base, name)) as out:
             out.write(np.array([rows, width], dtype="<i4").tobytes())
@@ -250,8 +263,7 @@ class TagWriter(VectorWriter):
                 tags = batch.column(batch.schema.get_field_index("tags"))
                 sizes = tags.value_lengths().fill_null(0)
                 lengths.append(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
-                flat = tags.flatten().to_numpy(zero_copy_only=False)
-                out.write(np.ascontiguousarray(flat, dtype="<i4").tobytes())
+                out.write(_packed(tags.flatten(), "i4"))
         sizes = np.concatenate(lengths)
         entries = int(sizes.sum())
         with files.open_output_stream(posixpath.join(base, name)) as out:

@@ -49,7 +49,12 @@ def merged(base: DataFrame, log: str, key: str = "id", sequence: str | None = No
     return upsert_full(base, ordered.select(*base.columns, "_order"), key, "_order")
 
 
-def compact(base: DataFrame, log: str, path: str, key: str = "id") -> DataFrame:
-    """Write the merged table to a new path and read it back."""
-    merged(base, log, key).write.mode("errorifexists").parquet(path)
+def compact(
+    base: DataFrame, log: str, path: str, key: str = "id", sequence: str | None = None
+) -> DataFrame:
+    """Write the merged table to a new path and read it back.
+
+    The log stays as it is; changes after this belong into a new one.
+    """
+    merged(base, log, key, sequence).write.mode("errorifexists").parquet(path)
     return base.sparkSession.read.parquet(path)

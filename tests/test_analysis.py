@@ -179,3 +179,19 @@ def test_latency_histogram(spark):
     assert abs(rows[0]["low"] - 0.001) < 1e-12 and abs(rows[-1]["high"] - 10) < 1e-9
     zero = spark.createDataFrame([(0.0,), (0.0,)], "avg_time double")
     assert metrics.latency_histogram(zero).count() == 15
+
+
+def test_rewrite_counts_null_in_the_total_only(spark):
+    from sievelake.operators.rewrite import rewrite_by_filter_rate
+
+    rates = [("v", None, 50, 100, 0.5)] + [("v", float(i), 1, 100, 0.01) for i in range(50)]
+    rates = spark.createDataFrame(rates, "field string, value double, cnt bigint, total bigint, selectivity double")
+    targets = spark.createDataFrame([("a", 0.1), ("b", 0.1)], "name string, target double")
+    kinds = "array<struct<field: string, operator: string, value: string, logic: string>>"
+    queries = spark.createDataFrame(
+        [("a", "x", 1, [("v", "==", "3", "and")], 5), ("b", "x", 1, [("v", ">", "3", "and")], 5)],
+        f"name string, vector_field string, reference_id bigint, scalar_filters {kinds}, `limit` int",
+    )
+    found = rewrite_by_filter_rate(queries, rates, targets, descending=True).collect()
+    assert sorted(float(r["value"]) for r in found if r["name"] == "a") == list(map(float, range(10)))
+    assert [(r["operator"], float(r["value"])) for r in found if r["name"] == "b"] == [(">=", 40.0)]

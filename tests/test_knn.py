@@ -161,3 +161,24 @@ def test_filter_reaches_the_scan_and_vectors_are_not_shuffled(spark, corpus, tmp
     exchange = [line for line in plan.splitlines() if "Exchange hash" in line]
     assert len(exchange) == 1 and "name" in exchange[0]
     assert "tags" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_vectors_of_refuses_rows_of_other_lengths():
+    import pyarrow as pa
+
+    from sievelake.operators.blocktopk import vectors_of
+
+    for rows in ([[1, 2, 3], [1, 2, 3, 4, 5], [1, 2, 3, 4]], [[1, 2, 3, 4], None]):
+        with pytest.raises(ValueError):
+            vectors_of(pa.array(rows, pa.list_(pa.int32())), 4)
+
+
+@pytest.mark.parametrize("hit", [False, True])
+def test_infinite_components_stay_on_the_dense_path(hit):
+    from sievelake.operators.blocktopk import NearestSoFar, _scan_block
+
+    block = np.array([[0.0, 1.0], [np.inf, 0.0], [3.0, 4.0], [-np.inf, 2.0]])
+    best, ids = [NearestSoFar(4)], np.arange(4)
+    _scan_block("l2", best, ids, block, np.zeros((1, 2)), [0], {0: ids} if hit else None)
+    assert best[0].ids.tolist() == [0, 2, 1, 3]
+    assert best[0].values.tolist() == [1.0, 5.0, np.inf, np.inf]

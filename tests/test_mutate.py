@@ -102,3 +102,30 @@ def test_stream_of_upserts(spark, base, tmp_path):
     assert same(ingest.merged(base, log), merged)
     compacted = ingest.compact(base, log, str(tmp_path / "next"))
     assert same(compacted, merged)
+
+
+def test_duplicate_keys_need_a_sequence(spark, base):
+    rows = [(7, 70, 1), (7, 71, 2), (8, 80, 1), (90, 1, 5), (90, 2, 4)]
+    batch = spark.createDataFrame(rows, "id bigint, eq_val int, seq int").repartition(3)
+    partial = mutate.upsert_partial(base, batch, ["eq_val"], sequence="seq")
+    found = {r["id"]: r["eq_val"] for r in partial.where("id in (7, 8, 90)").collect()}
+    assert partial.count() == 51 and found == {7: 71, 8: 80, 90: 1}
+    over = mutate.overwrite_field(base, batch, "eq_val", sequence="seq")
+    assert over.count() == 50 and over.where("id = 7").first()["eq_val"] == 71
+    for wrong in (
+        mutate.upsert_partial(base, batch, ["eq_val"]),
+        mutate.overwrite_field(base, batch, "eq_val"),
+        mutate.upsert_full(base.select("id", "eq_val"), batch.select("id", "eq_val")),
+    ):
+        with pytest.raises(Exception, match="no sequence"):
+            wrong.collect()
+
+
+def test_compact_keeps_the_row_that_merged_shows(spark, base, tmp_path):
+    log = str(tmp_path / "log")
+    small = base.select("id", "eq_val")
+    rows = spark.createDataFrame([(7, 11, 2), (7, 10, 1)], "id bigint, eq_val int, seq int")
+    rows.coalesce(1).write.parquet(f"{log}/batch=0")
+    merged = ingest.merged(small, log, sequence="seq")
+    assert merged.where("id = 7").first()["eq_val"] == 11
+    assert same(ingest.compact(small, log, str(tmp_path / "next"), sequence="seq"), merged)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Row, functions as F, types as T
 
-from sievelake.functions.predicates import MODES, compile_filters
+from sievelake.functions.predicates import MODES, compile_filters, condition
 from sievelake.operators.hits import HITS, has_position, with_hits, words_for
 
 SCHEMA = T.StructType(
@@ -192,3 +192,25 @@ def test_empty_value_means_empty(spark):
     df = spark.createDataFrame([([],), ([1],), (None,)], "tags array<int>")
     empty = compile_filters(df.schema, [f("tags", "==", "[]")], empty_value_means_empty=True)
     assert df.where(empty).count() == 2
+
+
+def test_contains_takes_only_values_of_the_element_type(spark):
+    df = spark.createDataFrame([(1, [23]), (2, [24])], "id bigint, tags array<int>")
+    for value, ids in (("23.5", []), ("23.0", [1]), (24, [2]), (2**40, [])):
+        spec = {"field": "tags", "operator": "contains", "value": value, "logic": "and"}
+        found = df.where(condition(df.schema, spec)).collect()
+        assert [r["id"] for r in found] == ids
+
+
+def test_infinite_bounds_in_a_block(spark):
+    from sievelake.operators.hits import HITS, has_position, with_hits
+
+    inf = float("inf")
+    values = [None, -inf, -1.0, 0.0, 5.0, inf]
+    df = spark.createDataFrame(list(enumerate(values)), "id bigint, v double")
+    tests = [("<", inf), ("<=", inf), (">", -inf), (">=", -inf), (">=", inf), ("<=", -inf), (">", 0.0)]
+    filters = [[{"field": "v", "operator": o, "value": b, "logic": "and"}] for o, b in tests]
+    rows = with_hits(df, filters, "fold", keep_all=True)
+    for place, one in enumerate(filters):
+        found = rows.where(has_position(HITS, F.lit(place))).collect()
+        assert {r["id"] for r in found} == {r["id"] for r in df.where(condition(df.schema, one[0])).collect()}

@@ -28,15 +28,23 @@ def test_running_total_over_ranges(spark):
 @pytest.mark.parametrize("n", [0, 1, 40, 300, 999])
 def test_sample_by_cutoff_equals_direct_sample(spark, n):
     df = spark.range(300)
-    direct = {r["id"] for r in ranking.sample_exact(df, n).collect()}
+    direct = {r["id"] for r in df.orderBy(keyed_int(F.col("id")), "id").limit(n).collect()}
     assert len(direct) == min(n, 300)
-    if n:
-        cut = ranking._sample_by_cutoff(df.repartition(7), n, "id", keyed_int(F.col("id")))
-        assert {r["id"] for r in cut.collect()} == direct
+    cut = ranking.sample_exact(df.repartition(7), n)
+    assert {r["id"] for r in cut.collect()} == direct
+
+
+@pytest.mark.parametrize("rows_per_range", [1000, 5])
+def test_null_and_infinite_keys_have_a_place(spark, rows_per_range):
+    keys = [None, float("-inf"), *map(float, range(30)), float("inf")]
+    df = spark.createDataFrame([(k,) for k in keys], "key double").repartition(3)
+    numbered = ranking.contiguous_ids(df, "key", rows_per_range=rows_per_range)
+    assert [r["key"] for r in numbered.orderBy("id").collect()] == keys
+    assert [r["id"] for r in numbered.orderBy("id").collect()] == list(range(1, len(keys) + 1))
 
 
 def test_large_sample_is_exact(spark):
-    n = ranking.DIRECT_SAMPLE + 1234
+    n = 11_234
     df = spark.range(30_000)
     first = ranking.sample_exact(df, n)
     assert first.count() == n

@@ -121,3 +121,17 @@ def test_columns_without_a_file(spark, rows):
 def test_batches(spark):
     ids = spark.range(1, 26).select(tables.batch_number(F.col("id"), 10).alias("b"))
     assert {r["b"]: r["count"] for r in ids.groupBy("b").count().collect()} == {0: 10, 1: 10, 2: 5}
+
+
+@pytest.mark.parametrize("value", ["70000", "-1", "NULL"])
+def test_scalars_that_do_not_fit_are_refused(spark, tmp_path, value):
+    rows = spark.sql(f"SELECT 1L AS id, CAST({value} AS INT) AS v")
+    with pytest.raises(Exception, match="range|NULL"):
+        binfiles.write_scalars(rows, str(tmp_path / "v"), "u2", "v")
+
+
+@pytest.mark.parametrize("vectors", ["array(300, 1)", "array(-1, 1)", "array(1, NULL)", "NULL"])
+def test_vectors_that_do_not_fit_are_refused(spark, tmp_path, vectors):
+    rows = spark.sql(f"SELECT 1L AS id, CAST({vectors} AS ARRAY<INT>) AS image_vec")
+    with pytest.raises(Exception, match="range|NULL"):
+        binfiles.write_vectors(rows, str(tmp_path / "v"))
