@@ -17,6 +17,9 @@ SHARD_BYTES = 8 << 20
 #: Tables of at most so many bytes are sent whole to every task; each caller has another way beyond it.
 SEND_BYTES = 64 << 20
 
+#: Rows that Spark hands to a Python worker at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: The columns of ``documents``.
@@ -28,14 +31,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Spark deletes the shuffle files of what runs inside as soon as each query has ended."""
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+def setting(spark: SparkSession, name: str, value: str):
+    """The configuration ``name`` is ``value`` for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Spark deletes the shuffle files of what runs inside as soon as each query has ended."""
+    return setting(spark, FREE_SHUFFLES, "true")
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:

@@ -16,12 +16,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import freed_shuffles, kept
+from .common import ARROW_ROWS, freed_shuffles, kept, setting
 from sievelake.session import scratch_path
 
 MAGIC = "WARC/1.0\r\n"
 _GAP = b"\r\n\r\n"
 
+#: Fragments that a Python worker gets at once.
+BATCH_ROWS = "256"
+
 #: Digits of base 32 as conv() and as the digest writes them.
 _CONV_DIGITS, _DIGEST_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -44,13 +47,14 @@ def record_kinds(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("payload_digest", digest32(F.col("payload").cast("binary")))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    largest = rows.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(
-        F.max(F.struct("page_id", "_row")).alias("_first")
-    )
-    rows = rows.join(
-        largest, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    repeated = rows.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).agg(
+        F.max(F.struct("page_id", "_row")).alias("_first"), F.count("*").alias("_copies")
     )
-    revisit = (F.col("payload_bytes") >= least_bytes) & (F.col("_first._row") != F.col("_row"))
+    # payloads stream past the table of repeated digests, so that no sort holds them
+    repeated = repeated.where("_copies > 1").drop("_copies").hint("shuffle_hash")
+    same = (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    rows = rows.join(repeated, same, "left")
+    revisit = (F.col("payload_bytes") >= least_bytes) & F.coalesce(F.col("_first._row") != F.col("_row"), F.lit(False))
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     rows = rows.withColumn("refers_to", F.when(revisit, F.col("_first.page_id")))
     return rows.drop("_digest", "_bytes", "_first", "_row")
@@ -146,7 +150,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 held[1] += len(text) + len(MAGIC)
             yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], schema=_ARROW)
 
-    found = kept(_fragments(spark, path).mapInArrow(scan, FRAGMENT), "fragments")
+    with setting(spark, ARROW_ROWS, BATCH_ROWS):
+        found = kept(_fragments(spark, path).mapInArrow(scan, FRAGMENT), "fragments")
     # a split begins where the one before has ended; a file's first fragment stands before its first magic
     ends = found.groupBy("_file", "_block").agg(F.sum(F.col("_size") + len(MAGIC)).alias("_bytes"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -212,6 +217,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     mended = joined.select(
         "_file", F.col("_owner").alias("_at"), F.octet_length(payload).cast("long").alias("_mended_bytes"), digest32(payload).alias("_mended")
     )
+    with setting(spark, ARROW_ROWS, BATCH_ROWS):
+        mended = kept(mended, "mended")
     real = real.join(mended, ["_file", "_at"], "left")
     response = F.col("_kind") == "response"
     return real.select(
