@@ -202,7 +202,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     # records whose payload holds the magic: their bytes are put together from several fragments
     torn = real.where("_sha IS NULL").select("_file", F.col("_at").alias("_owner"), "_header", "_content")
-    pieces = marked.select("_file", "_owner", "_block", "_part", "_at").join(torn, ["_file", "_owner"])
+    # stored, so that Spark knows its size and moves the archives' bytes only where it is large
+    pieces = kept(marked.select("_file", "_owner", "_block", "_part", "_at").join(torn, ["_file", "_owner"]), "torn")
     texts = _numbered(spark, path)
     pieces = texts.join(pieces, ["_file", "_block", "_part"])
     joined = pieces.groupBy("_file", "_owner", "_header", "_content").agg(
