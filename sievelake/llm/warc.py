@@ -1,7 +1,7 @@
 """WARC archives: writing with revisit records, and reading by boundary-chain verification.
 
-Archives are written by Spark's text writer, one file per task. Reading splits the files at the record
-magic, wherever it stands, so every split of a file is read by its own task. A fragment that begins with
+Archives are written by Spark's text writer, a few files per task. Reading splits the files at the record
+magic, wherever it stands, so every split of a plain file is read by its own task. A fragment that begins with
 a whole header says where its successor would begin. Pointer jumping from the start of each file keeps
 the fragments that the chain of successors reaches; magic inside a payload begins a fragment that
 nothing reaches, and its bytes go back to the record they stand in.
@@ -22,6 +22,9 @@ from sievelake.session import scratch_path
 MAGIC = "WARC/1.0\r\n"
 _GAP = b"\r\n\r\n"
 
+#: Records in a file at most, which bounds what one task reads of a compressed archive.
+FILE_RECORDS = 1 << 16
+
 #: Fragments that a Python worker gets at once.
 BATCH_ROWS = "256"
 
@@ -64,8 +67,10 @@ def _header(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise("")
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write one record per page (page_id, url, html) below ``path``.
+def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "none") -> None:
+    """Write one record per page (page_id, url, html) below ``path``, in files of at most FILE_RECORDS records.
+
+    A compressed file takes less of the disk, but is read by one task; others are read in splits.
 
     A null html is an empty payload. Line breaks in a url become spaces, a null page_id or url leaves its
     header out. A revisit has no content block; its payload's length stands in a header of its own.
@@ -86,7 +91,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         F.lit("\r\n"),
         content,
     )
-    rows.select(record.alias("value")).write.option("lineSep", _GAP.decode()).text(path)
+    writer = rows.select(record.alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS)
+    writer.option("lineSep", _GAP.decode()).option("compression", compression).text(path)
 
 
 _FIELD = re.compile(rb"(?:\A|\r\n)([A-Za-z-]+): ?([^\r]*)")
@@ -247,10 +253,10 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return _fragments(spark, path).mapInArrow(number, "_file string, _block long, _text binary, _part long")
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 0, compression: str = "gzip") -> DataFrame:
     """The records read back from archives written into the shared folder."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     with freed_shuffles(spark):
-        write(pages, path, least_bytes)
+        write(pages, path, least_bytes, compression)
     return read(spark, path)

@@ -40,10 +40,10 @@ def pages():
 def test_round_trip(spark):
     wide = spark.createDataFrame(pages(), PAGES).selectExpr("*", "1 as payload", "2 as _row")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    for least, split in ((0, before), (3, "4096")):
+    for least, split, packed in ((0, before, "gzip"), (3, "4096", "none")):
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
         try:
-            got = warc.round_trip(wide, least).collect()
+            got = warc.round_trip(wide, least, packed).collect()
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         rows = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got]
