@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import kept, per_text, shards, whole_rows
+from .common import kept, per_text, shards
 from .components import smallest_reachable
 
 SHINGLE, PERCENT = 5, 75
@@ -258,6 +258,14 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _classes(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, comp, least): the class of every set, linked or not, and the smallest id that has the set."""
+    comps = links(found, docs)
+    sets_of = found.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
+    sets_of = sets_of.join(comps.withColumnRenamed("node", "set"), "set", "left")
+    return kept(sets_of.select("set", "least", F.coalesce("comp", "set").alias("comp")), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) per document.
 
@@ -267,11 +275,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     found = kept(sets(docs, sketch(docs)), "sets")
-    comps = links(found, docs)
+    classes = _classes(found, docs)
     rows = found.select("doc_id", "n_shingles", "set")
-    classes = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(comps.withColumnRenamed("node", "set"), "set", "left")
-    classes = kept(classes.select("set", "least", F.coalesce("comp", "set").alias("comp")), "classes")
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = kept(classes.join(least, "comp").select("set", "component_id"), "named")
     return rows.join(classes, "set", "left").select(
@@ -280,15 +285,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns.
+    """One document of each class of near duplicates, that with the smallest id, with all its columns.
 
-    Of repeated rows of that id one stays; documents without shingles all stay.
+    Classes are those of the texts, whatever ids they have: unlinked texts of one id, or without an id,
+    stay each. A null id is smallest only where a class has no other; of rows of the smallest id one
+    stays, chosen by a hash of the row. Documents without shingles all stay.
     """
-    found = near_duplicates(docs)
-    stays = found.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = whole_rows(docs).withColumn("_id", F.col("_row.doc_id"))
-    empty = F.size(F.split(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\v\f\r", " " * 5)), " ")) == 1
-    empty = empty & (F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\v\f\r", " " * 5)) == "")
-    full = rows.where(~empty).join(stays.withColumnRenamed("doc_id", "_stays"), F.col("_id").eqNullSafe(F.col("_stays")))
-    full = full.dropDuplicates(["_id"])
-    return full.select("_row.*").unionByName(rows.where(empty).select("_row.*"))
+    hashed = [F.col(f"`{c}`") for c in docs.columns if '"map"' not in docs.schema[c].dataType.json()]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    marked = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(*hashed).alias("_hash"), row)
+    texts = marked.select(F.col("_id").alias("doc_id"), "_hash", F.col("_row.text").alias("text"))
+    found = kept(sets(texts, sketch(texts), ("doc_id", "_hash")), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
+    of_sets = found.where("set IS NOT NULL").groupBy("set").agg(first.alias("first"))
+    of_classes = of_sets.join(_classes(found, texts.select("doc_id", "text")).select("set", "comp"), "set")
+    stays = of_classes.groupBy("comp").agg(F.min("first").alias("first"))
+    stays = kept(stays.select("comp", F.col("first.doc_id").alias("_stays"), F.col("first._hash").alias("_hash")), "stays")
+    text = F.translate(F.coalesce("_row.text", F.lit("")), "\t\n\v\f\r", " " * 5)
+    empty = F.trim(text) == ""
+    full = marked.where(~empty).join(stays, (marked["_hash"] == stays["_hash"]) & F.col("_id").eqNullSafe(F.col("_stays")))
+    full = full.select("comp", "_row").dropDuplicates(["comp"])  # equal rows
+    return full.select("_row.*").unionByName(marked.where(empty).select("_row.*"))

@@ -80,3 +80,13 @@ def test_empty_table(spark):
     assert join.near_duplicates(docs(spark, [])).collect() == []
     assert join.clean(docs(spark, [])).collect() == []
     assert rows(join.near_duplicates(docs(spark, [None, ""])), "doc_id", "component_id") == [(0, 0), (1, 1)]
+
+
+def test_clean_keeps_one_row_of_each_class(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+    texts = [(None, one), (None, two), (None, two + " more"), (7, three), (7, four), (3, four + " more"), (7, four), (None, "")]
+    got = rows(join.clean(docs(spark, texts)), "doc_id", "text")
+    either = {(None, two), (None, two + " more")}
+    assert len(either & set(got)) == 1
+    want = [(None, one), (7, three), (3, four + " more"), (None, "")]
+    assert sorted((r for r in got if r not in either), key=str) == sorted(want, key=str) and len(got) == 5
