@@ -8,6 +8,8 @@ filled that way. Spark then numbers the pieces of each length and looks up their
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from array import array
@@ -28,12 +30,25 @@ REMEMBERED = 500_000
 _RANK_BITS = 44
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that the tokenizer file beside a rank file takes as one id wherever they stand."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} of {beside}: only plain ones are supported")
+    return {token["content"]: token["id"] for token in added}
+
+
 class Tokens:
     """Ids of a text by a byte-level BPE rank file, as little-endian unsigned 32-bit numbers.
 
     The splitting pattern starts a new part at every space before a visible character, so the words
-    between spaces can be looked up one by one. Texts with other spaces are encoded whole. The strings of
-    special tokens are ordinary text.
+    between spaces can be looked up one by one. Texts with other spaces are encoded whole. The added tokens of
+    the JSON file of the same name beside the rank file, where there is one, are cut out of a text first.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -54,8 +69,19 @@ class Tokens:
 
         self.encode, self.known = encode, Known()
         self.odd = re.compile(r" (?=\s|\Z)").search
+        self.added = added_tokens(path)
+        names = sorted(self.added, key=len, reverse=True)  # of those that start at one place the longest
+        self.cut = re.compile(f"({'|'.join(map(re.escape, names))})").split if names else None
 
     def __call__(self, text: str) -> bytes:
+        if self.cut is None or not any(name in text for name in self.added):
+            return self.ordinary(text)
+        parts = self.cut(text)  # every second one is an added token
+        return b"".join(
+            array("I", [self.added[part]]).tobytes() if k % 2 else self.ordinary(part) for k, part in enumerate(parts) if part
+        )
+
+    def ordinary(self, text: str) -> bytes:
         if self.odd(text):
             return array("I", self.encode(text)).tobytes()
         first, *words = text.split(" ")

@@ -81,7 +81,7 @@ def op3(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("perplexity")
 
 
-#: The rank file holds the vocabulary of byte_bpe_50k.json; both give the same ids.
+#: The rank file holds the vocabulary of byte_bpe_50k.json, whose added tokens are read too; both give the same ids.
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -60,6 +60,20 @@ def test_pieces_and_sequences(spark):
     assert -(-total // 2048) <= len(bins) <= first_fit([r.length for r in got])
 
 
+def test_added_tokens(spark):
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f"one two{end} three  four {end}\n", f" {end} ", "<|endoftext|", f"<|{end}|>", "the word " * 3000 + end + "x" * 9]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pieces(docs(spark, texts), RANKS, PATTERN).collect()
+    found = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in got}
+    want = {}
+    for i, text in enumerate(texts):
+        ids = plain.encode(text, add_special_tokens=False).ids + [0]
+        for a, n in packing.cut(len(ids), 2048):
+            want[i, a] = (n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()))
+    assert found == want
+
+
 def test_empty_table(spark):
     assert packing.pack(docs(spark, []), RANKS, PATTERN).collect() == []
 
