@@ -1,7 +1,7 @@
 """Quality scores by co-training: a classifier of the text and one of the page's metadata.
 
-Both start from the labelled rows. In each round either one labels the unlabelled rows of a bounded pool
-that it is most sure of, and those join the other's training rows. In the end each view is calibrated on
+Both start from the labelled rows. In each round either one labels those of all unlabelled rows that it is
+most sure of, and they join the other's training rows. In the end each view is calibrated on
 labelled rows that trained neither, and a logistic model combines the calibrated views for all documents.
 """
 
@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_sample, kept, per_text
 from .quality_rules import base_counts
 
-#: The documented bounds: labelled rows, and rows of the pool that are labelled on the way.
-LABELLED_ROWS, POOL_ROWS = 12000, 12000
+#: The documented bound of labelled rows.
+LABELLED_ROWS = 12000
 
-#: Rounds, and the share of the pool that each view hands over in a round.
+#: Rounds, and the share of the unlabelled rows that each view hands over in a round.
 ROUNDS, HANDED = 3, 0.1
 
+#: The error of a cut's rank, as a share of the unlabelled rows; an exact one would gather them all.
+CUT_ERROR = 1e-4
+
 #: Slots that languages, sources and lengths are hashed into.
 SLOTS = 32
 
@@ -103,7 +106,10 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS):
     if len(seen) < 4:
         return Constant(known.agg(F.avg("label")).first()[0] or 0.0)
     pool = found.join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
-    pool = kept(bounded_sample(pool, POOL_ROWS), "pool")
+    pool = kept(pool.select(*VIEWS), "pool")
+    # the same share of either end, as many positives and negatives as the labels have
+    share = known.where("half = 0").agg(F.avg("label")).first()[0]
+    ends = [HANDED * (1 - share), 1 - HANDED * share]
     learned = known.where("half = 0").select(*VIEWS, "label")
     train_rows = {view: learned for view in VIEWS}
     models = {view: _fit(learned, view) for view in VIEWS}
@@ -111,12 +117,9 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS):
         scored = pool
         for view in VIEWS:
             scored = _with_logit(scored, models[view], view)
-        scored = kept(scored, "scored")
-        for view, other in (VIEWS, VIEWS[::-1]):
-            logit = f"{view}_logit"
-            # the same share of either end, as many positives and negatives as the labels have
-            share = known.where("half = 0").agg(F.avg("label")).first()[0]
-            cuts = scored.approxQuantile(logit, [HANDED * (1 - share), 1 - HANDED * share], 0.0) if scored.head(1) else None
+        logits = [f"{view}_logit" for view in VIEWS]
+        found_cuts = scored.approxQuantile(logits, ends, CUT_ERROR)  # none of an empty pool
+        for logit, other, cuts in zip(logits, VIEWS[::-1], found_cuts):
             if cuts:
                 sure = scored.where((F.col(logit) < cuts[0]) | (F.col(logit) > cuts[1]))
                 sure = sure.select(*VIEWS, (F.col(logit) > cuts[1]).cast("double").alias("label"))

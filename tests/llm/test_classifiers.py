@@ -1,6 +1,9 @@
 import random
 
+from pyspark.ml.functions import array_to_vector
+
 from sievelake.llm import cotraining, queries, toxicity
+from sievelake.llm.common import kept
 from tests.llm.util import docs
 
 FOLDER = "/root/testdata/sf0.1"
@@ -76,3 +79,22 @@ def test_empty_tables(spark):
     assert cotraining.classify(none, marks).collect() == []
     assert {r.score for r in toxicity.score(wide, toxicity.train(wide, marks.limit(0))).collect()} == {0.0}
     assert {r.score for r in cotraining.classify(wide, marks.where("label = 1")).collect()} == {1.0}
+
+
+def test_all_unlabelled_rows_take_part(spark, monkeypatch):
+    rows = spark.range(40000).selectExpr("id AS doc_id", "rand(5) AS x", "rand(6) AS y", "rand(7) AS z")
+    rows = rows.selectExpr("doc_id", "array(x + y, y) AS text_view", "array(x + z, z) AS page_view", "x")
+    rows = rows.select("doc_id", "x", *[array_to_vector(v).alias(v) for v in cotraining.VIEWS])
+    rows = kept(rows, "views")
+    marks = rows.where("doc_id < 400").selectExpr("doc_id", "cast(x > 0.5 AS int) AS label")
+    fitted, fit = [], cotraining._fit
+
+    def counted(found, view):
+        fitted.append(found.count())
+        return fit(found, view)
+
+    monkeypatch.setattr(cotraining, "_fit", counted)
+    cotraining.train(rows.drop("x"), marks, rounds=1)
+    learned = fitted[0]
+    assert 100 < learned < 300 and fitted[1] == learned
+    assert all(abs(n - learned - cotraining.HANDED * 39600) < 20 for n in fitted[2:]) and len(fitted) == 4
