@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import cotraining, decontam, jaccard_join, langid, packing, quality_rules, secret_scan, suffix_dedup, toxicity, warc
+from . import cotraining, decontam, jaccard_join, langid, merkle, packing, quality_rules, secret_scan, suffix_dedup, toxicity, warc
 from .common import held_out, kept, table
 
 QUERIES: dict = {}
@@ -165,6 +166,65 @@ def op10(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return f"sha256({' || '.join(_FIELD.format(f'({f})') for f in fields)})"
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of ASCII text, a step per bit."""
+    bits = f"flatten(list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda a, b: {step}), 4294967295)"
+
+
+#: Levels of each tree by recursion, the path of each leaf by its runs, then the fold along the path.
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql('text')} AS leaf,
+         CASE WHEN {_crc32_sql("coalesce(doc_id::VARCHAR, '')")} % 5 = 0
+              THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS altered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT source, 0 AS lv, i, n, leaf AS h FROM l
+      UNION ALL
+      SELECT source, lv + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i))
+      FROM t WHERE n > 1 GROUP BY source, lv, i // 16, n),
+sub AS (SELECT source, lv AS top, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i,
+               count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lv, i, n, subroot AS h FROM sub
+      UNION ALL
+      SELECT lv + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lv, i // 16, n),
+steps AS (
+  SELECT l.r, a.lv, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM l JOIN t a ON a.source IS NOT DISTINCT FROM l.source AND a.n > 1 AND a.i = l.i // (16 ** a.lv)::BIGINT
+  JOIN t b ON b.source IS NOT DISTINCT FROM a.source AND b.lv = a.lv AND b.i // 16 = a.i // 16 GROUP BY l.r, a.lv
+  UNION ALL
+  SELECT l.r, sub.top + a.lv, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), ''),
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '')
+  FROM l JOIN sub ON sub.source IS NOT DISTINCT FROM l.source JOIN u a ON a.n > 1 AND a.i = sub.i // (16 ** a.lv)::BIGINT
+  JOIN u b ON b.lv = a.lv AND b.i // 16 = a.i // 16 GROUP BY l.r, sub.top, a.lv),
+folded AS (SELECT r, 0 AS lv, coalesce(altered, leaf) AS h FROM l
+           UNION ALL
+           SELECT f.r, f.lv + 1, sha256(before || h || after) FROM folded f JOIN steps s ON s.r = f.r AND s.lv = f.lv),
+ends AS (SELECT r, arg_max(h, lv) AS h FROM folded GROUP BY r),
+proof AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY lv)) AS p FROM steps GROUP BY r)
+SELECT l.doc_id, l.leaf, subroot, u.h AS root, coalesce(p, sha256('')) AS proof_sha256, ends.h AS folded_root,
+       ends.h = u.h AS verified
+FROM l JOIN sub ON sub.source IS NOT DISTINCT FROM l.source JOIN u ON u.n = 1 JOIN ends USING (r) LEFT JOIN proof USING (r)
+"""
+
+
+@register("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark, sf_dir):
+    altered = merkle.leaf_of(text=F.translate("text", UPPER, LOWER))
+    return merkle.verify(table(spark, sf_dir, "documents"), F.when(merkle.tampered(), altered))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
