@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import cotraining, decontam, jaccard_join, langid, merkle, packing, quality_rules, secret_scan, suffix_dedup, toxicity, warc
+from . import cotraining, decontam, jaccard_join, langid, merkle, packing, quality_rules, ranked_search, secret_scan, suffix_dedup, toxicity, warc
 from .common import held_out, kept, table
 
 QUERIES: dict = {}
@@ -225,6 +225,30 @@ def op12(spark, sf_dir):
     return merkle.verify(table(spark, sf_dir, "documents"), F.when(merkle.tampered(), altered))
 
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ranked_search.TERM}')"
+
+RANKED_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+x AS (SELECT r, doc_id, ws, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+total AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM x),
+m AS (SELECT r, doc_id, 10 + (90 * n * big_n) // big_l AS m FROM x, total),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS t FROM x) GROUP BY r, t),
+f AS (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t),
+w AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, total),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS}) AS ts FROM benchmark),
+q AS (SELECT q, item_id, unnest(ts) AS t FROM i),
+s AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN w USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY q, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@register("op13_ranked_search", RANKED_SQL)
+def op13(spark, sf_dir):
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
