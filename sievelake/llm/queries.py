@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import cotraining, decontam, jaccard_join, langid, merkle, packing, quality_rules, ranked_search, secret_scan, suffix_dedup, toxicity, warc
+from . import cotraining, decontam, fingerprints, jaccard_join, langid, merkle, packing, quality_rules, ranked_search, secret_scan, suffix_dedup, toxicity, warc
 from .common import held_out, kept, table
 
 QUERIES: dict = {}
@@ -166,6 +166,11 @@ def op10(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+@register("op11_fingerprints")
+def op11(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
 
 
