@@ -5,8 +5,8 @@ A term weighs ``w = floor(1000 * ln((2 N + 2) / (2 df + 1)))``; a document of n
 score (N documents with terms, L terms in all). Since documents of a stratum share m, an impact depends
 on (term, tf) alone there.
 
-Build: texts are dealt out by ranges of (m, hash of doc_id), so a stratum with a third of all documents is
-spread over many tasks. A task cuts each stratum into units of at most ``UNIT_DOCS`` documents and
+Build: texts are dealt out by ranges of (m, hash of the document), so a stratum with a third of all documents
+is spread over many tasks. A task cuts each stratum into units of at most ``UNIT_DOCS`` documents and
 ``UNIT_BYTES`` of text (or one longer document) and writes a row per term: the documents of the unit that
 hold it, grouped by tf. The row without a term lists the unit's ids.
 
@@ -36,7 +36,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sievelake.session import local_table
@@ -50,7 +50,9 @@ FOLDED = bytes(
 )
 
 UNIT_DOCS = 1024
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 4 << 20
+#: Text of so many bytes is dealt to one part of the index.
+PART_BYTES = 16 << 20
 
 #: A block of items ends after so many items or terms.
 BLOCK_ITEMS = 512
@@ -66,10 +68,6 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLDED).split()
 
 
-def n_terms(text: str = "text") -> Column:
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(TERM)).cast("bigint")
-
-
 # ---------------------------------------------------------------- index
 
 
@@ -138,17 +136,63 @@ def inverted(arrow: pa.Schema):
     return run
 
 
+def counted(batches):
+    """(n, bytes) of every text."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        sizes = [len(text or b"") for text in texts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([len(terms_of(text)) for text in texts], pa.int64()), pa.array(sizes, pa.int64())],
+            names=["n", "size"],
+        )
+
+
+def dealt(strata: list[tuple[int, int]], documents: int, terms: int, per_part: float):
+    """Documents to (part, m, doc_id, text): parts are ranges of (m, hash) of about ``per_part`` documents."""
+    numbers = np.array([m for m, _ in strata], np.int64)
+    sizes = np.array([size for _, size in strata], np.float64)
+    before = np.cumsum(sizes) - sizes
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            n = np.array([len(terms_of(text)) for text in texts], np.int64)
+            some = np.flatnonzero(n > 0)
+            m = np.array([10 + 90 * int(x) * documents // terms for x in n[some]], np.int64)
+            spread = batch.column("spread").to_numpy()[some]
+            at = np.searchsorted(numbers, m)
+            part = ((before[at] + spread * sizes[at]) // per_part).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part), pa.array(m), batch.column("doc_id").take(pa.array(some)),
+                    pa.array([texts[i] for i in some.tolist()], pa.binary()),
+                ],
+                names=["part", "m", "doc_id", "text"],
+            )
+
+    return run
+
+
 def build(docs: DataFrame) -> Index:
-    """The stored index of all documents."""
-    counted = docs.select("doc_id", F.col("text").cast("binary").alias("_text"), n_terms().alias("_n"))
-    counted = counted.where(F.col("_n") > 0)
-    total = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("l")).first()
-    n, length = total["n"], total["l"] or 0
-    m = F.expr(f"10 + (90 * _n * {n}L) div {max(length, 1)}L").alias("m")
-    rows = counted.select(m, "doc_id", "_text", F.xxhash64("doc_id").alias("_spread"))
-    rows = rows.repartitionByRange("m", "_spread").sortWithinPartitions("m").select("m", "doc_id", "_text")
+    """The stored index of all documents.
+
+    Texts are read twice, to count terms and to deal them out, and shuffled once. The driver sees one number
+    per stratum, of which there are at most 90 times as many as the longest document exceeds the average.
+    """
+    text = F.col("text").cast("binary").alias("text")
+    lengths = kept(docs.select(text).mapInArrow(counted, "n bigint, size bigint"), "lengths").where("n > 0")
+    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("l"), F.sum("size").alias("b")).first()
+    n, length = total["n"], total["l"] or 1
+    m = F.expr(f"10 + (90 * n * {n}L) div {length}L").alias("m")
+    strata = sorted((r["m"], r["count"]) for r in lengths.groupBy(m).count().collect())
+    parts = max(1, math.ceil((total["b"] or 0) / PART_BYTES))
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, spread.alias("spread"))
+    deal = dealt(strata, n, length, n / parts)
+    rows = rows.mapInArrow(deal, "part bigint, m bigint, doc_id bigint, text binary")
+    rows = rows.repartition("part").sortWithinPartitions("part", "m").select("m", "doc_id", "text")
     made = rows.mapInArrow(inverted(to_arrow_schema(T.StructType.fromDDL(POSTINGS))), POSTINGS)
-    return Index(kept(made, "postings"), n, length)
+    return Index(kept(made, "postings"), n, total["l"] or 0)
 
 
 # ---------------------------------------------------------------- search
