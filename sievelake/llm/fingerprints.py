@@ -1,12 +1,13 @@
 """Document fingerprints that can be subtracted: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a sentence, or at most ``PIECE_WORDS`` words of one, inside a line. The set of a text's paragraph
-digests (64 bits) is sketched in 24 cells: each digest goes to one cell of each third, chosen by its
-own bits, and a cell keeps the number, the xor and the sum of check sums of its digests. The sketch as
-hexadecimal text is the fingerprint. The difference of two sketches holds the digests of one side only:
-a cell with one of them gives it away, it is taken out of its other two cells, and so on. If
-cells remain, the attempt is repeated with 16 times as many cells, a table of 24 for each value of four
-more leading bits. After ``ATTEMPTS`` enlargements (4,096 tables) the sets themselves are compared. Likeness is the Jaccard coefficient of the paragraph sets.
+A paragraph is a line, or two consecutive sentences of a longer one (what stands between ``.!?``, without
+outer spaces). The set of a text's paragraph digests (64 bits) is sketched in 24 cells: each digest goes to one
+cell of each third, chosen by its own bits, and a cell keeps the number, the xor and the sum of check sums of
+its digests. The sketch as hexadecimal text is the fingerprint. The difference of two sketches holds the digests
+of one side only: a cell with one of them gives it away, it is taken out of its other two cells, and so on. If
+cells remain, the attempt is repeated with more cells: a table of 24 for each value of 1 to 6 leading bits of the
+digests, as many as their number asks for. Tables that fail again are divided again; after ``ATTEMPTS`` rounds
+the sets left in them are compared. Likeness is the Jaccard coefficient of the paragraph sets.
 
 Everything is DataFrame functions: arrays inside a row for the sketches, and one shuffle of the texts, by
 ranges of doc_id, in which a window finds each document's successor. Ranges have about ``RANGE_BYTES`` of text;
@@ -17,10 +18,10 @@ Results on edge cases:
 
 * null texts are empty; an empty text has no paragraphs; two texts without paragraphs have likeness 1,
   one without and one with have 0;
-* repeated paragraphs count once; texts that differ only in the spaces between paragraphs have likeness 1;
+* repeated paragraphs count once; texts that differ only in spaces between sentences have likeness 1;
 * the order is null ids first, then doc_id; rows of one id are ordered by the hash of their text; a single
   document succeeds itself; an empty table gives no rows;
-* a text of one short sentence shares no paragraph with an edited one;
+* a text of one paragraph shares none with an edited one;
 * columns beyond doc_id and text take no part.
 """
 
@@ -31,13 +32,15 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PIECE_WORDS = 12
-#: Words of a line up to one that ends a sentence.
-PIECE = rf"(?:\S*[^\s.!?][^\S\n]+){{0,{PIECE_WORDS - 1}}}\S+"
+#: Characters that end a sentence, besides the line break, and the sentences of a paragraph.
+ENDS = ".!?"
+SENTENCES = 2
 
-THIRDS, PER_THIRD, POSITION_BITS = 3, 8, 3
+#: A table has three times 2 ** BITS cells.
+THIRDS, BITS = 3, 3
 ROUNDS = 8
-GROUP_BITS, ATTEMPTS = 4, 3
+#: A table that fails is divided so that its tables get about so many digests, at most 64 at once.
+KEYS_PER_TABLE, MOST_BITS, ATTEMPTS = 16, 6, 8
 
 RANGE_BYTES = 8 << 20
 MAX_RANGES = 4096
@@ -46,6 +49,8 @@ SALTS = 64
 KEYS = "array<struct<k:bigint,n:int>>"
 CELL = "struct<n:int,k:bigint,h:bigint>"
 OUTCOME = "struct<solved:boolean,removed:array<bigint>,added:array<bigint>>"
+TABLES = "array<struct<l:array<bigint>,r:array<bigint>,used:int>>"
+STATE = f"struct<todo:{TABLES},removed:array<bigint>,added:array<bigint>>"
 
 
 def bound(value: Column, use) -> Column:
@@ -57,23 +62,32 @@ def bound(value: Column, use) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    """The distinct digests of a text's paragraphs, sorted."""
+
+    def of_line(line: Column) -> Column:
+        cut = F.split(F.translate(line, ENDS, "\n" * len(ENDS)), "\n")
+        return F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
+
+    def of_sentences(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(parts), F.lit(SENTENCES))
+        found = F.transform(starts, lambda i: F.xxhash64(F.slice(parts, i, F.lit(SENTENCES))))
+        return F.when(F.size(parts) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), of_line)
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(lines, of_sentences))))
 
 
 def check_sum(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def position(digest: Column, third) -> Column:
-    """The place of a digest's cell in one third of the table."""
-    bits = F.call_function("shiftright", digest, third * POSITION_BITS)
-    return bits.bitwiseAND(F.lit(PER_THIRD - 1)).cast("int")
+def position(digest: Column, third: Column) -> Column:
+    """The place of a digest's cell in one third of a table."""
+    return F.call_function("shiftright", digest, third * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
 def sketch(keys: Column) -> Column:
-    """The 24 cells of a set of digests."""
+    """The cells of a set of digests."""
 
     def cell(hits: Column) -> Column:
         return F.struct(
@@ -82,7 +96,7 @@ def sketch(keys: Column) -> Column:
             F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, d: a + check_sum(d)).alias("h"),
         )
 
-    places = F.sequence(F.lit(0), F.lit(PER_THIRD - 1))
+    places = F.sequence(F.lit(0), F.lit((1 << BITS) - 1))
     thirds = [
         F.transform(places, lambda c: bound(F.filter(keys, lambda d: position(d, F.lit(third)) == c), cell))
         for third in range(THIRDS)
@@ -111,15 +125,15 @@ def subtract(left: Column, right: Column) -> Column:
 
 
 def peel(cells: Column) -> Column:
-    """struct<cells, found>: what is left of a difference, and the digests recovered with their sides."""
+    """struct<cells, found, done>: what is left of a difference, and the digests recovered with their sides."""
 
     def single(c: Column) -> Column:
         return (F.abs(c["n"]) == 1) & (c["h"] == c["n"] * check_sum(c["k"]))
 
     def taken(state: Column, pure: Column) -> Column:
         def without(c: Column, i: Column) -> Column:
-            third = F.floor(i / PER_THIRD).cast("int")
-            hits = F.filter(pure, lambda p: position(p["k"], third) == i % PER_THIRD)
+            third = F.call_function("shiftright", i, F.lit(BITS))
+            hits = F.filter(pure, lambda p: position(p["k"], third) == i.bitwiseAND(F.lit((1 << BITS) - 1)))
 
             def minus(a: Column, p: Column) -> Column:
                 return F.struct(
@@ -131,16 +145,19 @@ def peel(cells: Column) -> Column:
             return F.aggregate(hits, c, minus)
 
         return F.struct(
-            F.transform(state["cells"], without).alias("cells"), F.concat(state["found"], pure).alias("found")
-        )
+            F.transform(state["cells"], without).alias("cells"), F.concat(state["found"], pure).alias("found"),
+            F.lit(False).alias("done"),
+        )
 
     def step(state: Column, _: Column) -> Column:
         pure = F.transform(F.filter(state["cells"], single), lambda c: F.struct(c["k"], c["n"]))
-        return bound(
-            F.array_distinct(pure), lambda p: F.when(F.size(p) == 0, state).otherwise(taken(state, p))
-        )
+        done = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("done"))
+        next_state = bound(F.array_distinct(pure), lambda p: F.when(F.size(p) == 0, done).otherwise(taken(state, p)))
+        return F.when(state["done"], state).otherwise(next_state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast(KEYS).alias("found"))
+    start = F.struct(
+        cells.alias("cells"), F.array().cast(KEYS).alias("found"), F.lit(False).alias("done")
+    )
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
@@ -154,49 +171,93 @@ def outcome(state: Column) -> Column:
     return F.struct(empty.alias("solved"), side(1).alias("removed"), side(-1).alias("added"))
 
 
-def enlarged(left: Column, right: Column, attempt: Column) -> Column:
-    """The outcome with ``16 ** attempt`` tables, each for the digests with its leading bits."""
-    bits = attempt * GROUP_BITS
-    tables = F.call_function("shiftleft", F.lit(1), bits).cast("bigint")
-    none = F.struct(F.lit(True).alias("solved"), F.array().alias("removed"), F.array().alias("added")).cast(OUTCOME)
+def outcome_of(cells: Column) -> Column:
+    return bound(peel(cells), outcome).cast(OUTCOME)
 
-    def table(number: Column) -> Column:
-        def member(d: Column) -> Column:
-            return F.call_function("shiftright", d, F.lit(64) - bits).bitwiseAND(tables - 1) == number
 
-        def solved(part: Column) -> Column:
-            apart = outcome_of(subtract(sketch(part["l"]), sketch(part["r"])))
-            return F.when(F.size(part["l"]) + F.size(part["r"]) == 0, none).otherwise(apart)
+def divided(left: Column, right: Column, used: Column) -> Column:
+    """The digests of a table that failed, dealt to 2 to 64 tables by the bits after the first ``used``."""
+    wanted = F.log2((F.size(left) + F.size(right)) / F.lit(float(KEYS_PER_TABLE)))
+    bits = F.least(F.greatest(F.ceil(wanted), F.lit(1)), F.lit(MOST_BITS), F.lit(64) - used).cast("int")
 
-        return bound(F.struct(F.filter(left, member).alias("l"), F.filter(right, member).alias("r")), solved)
+    def tables(b: Column) -> Column:
+        last = F.call_function("shiftleft", F.lit(1), b).cast("bigint") - 1
 
-    return bound(
-        F.transform(F.sequence(F.lit(0).cast("bigint"), tables - 1), table),
-        lambda t: F.struct(
-            F.forall(t, lambda x: x["solved"]).alias("solved"),
-            F.flatten(F.transform(t, lambda x: x["removed"])).alias("removed"),
-            F.flatten(F.transform(t, lambda x: x["added"])).alias("added"),
-        ).cast(OUTCOME),
-    )
+        def numbers(keys: Column) -> Column:
+            return F.transform(keys, lambda d: F.call_function("shiftright", d, F.lit(64) - used - b).bitwiseAND(last))
 
+        def members(keys: Column, of: Column, reverse: Column, g: Column) -> Column:
+            """Sorted keys of one number stand together."""
+            start = F.array_position(of, g)
+            n = F.when(start == 0, 0).otherwise(F.size(keys) - F.array_position(reverse, g) - start + 2)
+            return F.slice(keys, F.greatest(start, F.lit(1)).cast("int"), n.cast("int"))
 
-def outcome_of(cells: Column) -> Column:
-    return bound(peel(cells), outcome).cast(OUTCOME)
+        def dealt(x: Column) -> Column:
+            def table(g: Column) -> Column:
+                return F.struct(
+                    members(left, x["l"], x["lr"], g).alias("l"), members(right, x["r"], x["rr"], g).alias("r"),
+                    (used + b).alias("used"),
+                )
+
+            return F.transform(F.sequence(F.lit(0).cast("bigint"), last), table)
+
+        pair = F.struct(numbers(left).alias("l"), numbers(right).alias("r"))
+        both = bound(
+            pair,
+            lambda x: F.struct(
+                x["l"].alias("l"), F.reverse(x["l"]).alias("lr"), x["r"].alias("r"), F.reverse(x["r"]).alias("rr")
+            ),
+        )
+        return bound(both, dealt)
+
+    return bound(bits, tables)
 
 
 def difference(left: Column, right: Column, cells: Column) -> Column:
-    """struct<solved, removed, added>: the digests that only ``left`` and only ``right`` has.
+    """struct<removed, added>: the digests that only ``left`` and only ``right`` has.
 
-    ``cells`` is the difference of their sketches.
+    Both are sorted; ``cells`` is the difference of their sketches.
     """
-    attempts = F.sequence(F.lit(1), F.lit(ATTEMPTS))
-    found = F.aggregate(
-        attempts, outcome_of(cells), lambda s, a: F.when(s["solved"], s).otherwise(enlarged(left, right, a))
-    )
-    exact = F.struct(
-        F.lit(True).alias("solved"), F.array_except(left, right).alias("removed"), F.array_except(right, left).alias("added")
+
+    def tried(table: Column) -> Column:
+        keys = F.struct(table["l"].alias("l"), table["r"].alias("r"), table["used"].alias("used"))
+        return bound(
+            outcome_of(subtract(sketch(table["l"]), sketch(table["r"]))),
+            lambda o: F.struct(o.alias("o"), keys.alias("keys")),
+        )
+
+    def settled(removed: Column, added: Column, tried_tables: Column) -> Column:
+        solved = F.filter(tried_tables, lambda t: t["o"]["solved"])
+        failed = F.filter(tried_tables, lambda t: ~t["o"]["solved"])
+        return F.struct(
+            F.transform(failed, lambda t: t["keys"]).cast(TABLES).alias("todo"),
+            F.concat(removed, F.flatten(F.transform(solved, lambda t: t["o"]["removed"]))).alias("removed"),
+            F.concat(added, F.flatten(F.transform(solved, lambda t: t["o"]["added"]))).alias("added"),
+        ).cast(STATE)
+
+    def attempt(state: Column, _: Column) -> Column:
+        smaller = F.flatten(F.transform(state["todo"], lambda t: divided(t["l"], t["r"], t["used"])))
+        filled = F.filter(smaller, lambda t: F.size(t["l"]) + F.size(t["r"]) > 0)
+        again = bound(F.transform(filled, tried), lambda t: settled(state["removed"], state["added"], t))
+        return F.when(F.size(state["todo"]) == 0, state).otherwise(again)
+
+    none = F.array().cast("array<bigint>")
+    keys = F.struct(left.alias("l"), right.alias("r"), F.lit(0).alias("used"))
+    start = bound(
+        outcome_of(cells), lambda o: settled(none, none, F.array(F.struct(o.alias("o"), keys.alias("keys"))))
     )
-    return bound(found, lambda s: F.when(s["solved"], s).otherwise(exact.cast(OUTCOME)))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), start, attempt)
+
+    def rest(state: Column) -> Column:
+        def only(one: str, other: str) -> Column:
+            return F.flatten(F.transform(state["todo"], lambda t: F.array_except(t[one], t[other])))
+
+        return F.struct(
+            F.concat(state["removed"], only("l", "r")).alias("removed"),
+            F.concat(state["added"], only("r", "l")).alias("added"),
+        )
+
+    return bound(found, rest)
 
 
 def likeness(left: Column, right: Column, apart: Column) -> Column:

@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sievelake.session import local_table
 
-from .common import kept
+from .common import ARROW_ROWS, kept, setting
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A-Z to a-z, and every other ASCII character but digits and letters to a space.
@@ -51,6 +51,8 @@ FOLDED = bytes(
 
 UNIT_DOCS = 1024
 UNIT_BYTES = 4 << 20
+#: Units, and texts, that a Python worker gets at once.
+UNITS_AT_ONCE, TEXTS_AT_ONCE = 4, 1000
 #: Text of so many bytes is dealt to one part of the index.
 PART_BYTES = 16 << 20
 
@@ -179,6 +181,11 @@ def build(docs: DataFrame) -> Index:
     Texts are read twice, to count terms and to deal them out, and shuffled once. The driver sees one number
     per stratum, of which there are at most 90 times as many as the longest document exceeds the average.
     """
+    with setting(docs.sparkSession, ARROW_ROWS, str(TEXTS_AT_ONCE)):
+        return _build(docs)
+
+
+def _build(docs: DataFrame) -> Index:
     text = F.col("text").cast("binary").alias("text")
     lengths = kept(docs.select(text).mapInArrow(counted, "n bigint, size bigint"), "lengths").where("n > 0")
     total = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("l"), F.sum("size").alias("b")).first()
@@ -252,14 +259,16 @@ def scored(block: list[Item], weights: dict[str, int], k: int, to_beat: dict[int
         best: list[list] = [[] for _ in block]
         least = beat.copy()
         for batch in batches:
-            for m, ids, postings in zip(*[c.to_pylist() for c in batch.columns]):
+            for m, ids, postings in zip(batch.column("m").to_pylist(), batch.column("ids"), batch.column("postings")):
+                ids, postings = ids.as_py(), postings.values
                 most = np.zeros(len(w) + 1, np.int64)
                 adds = {}
-                for p in postings:
-                    t = place[p["term"]]
-                    tf = np.array(p["tfs"], np.int64)
+                columns = [postings.field(c) for c in ("tfs", "sizes", "docs")]
+                for j, term in enumerate(postings.field("term").to_pylist()):
+                    tf, sizes, docs = (c[j].values.to_numpy(zero_copy_only=False) for c in columns)
+                    t, tf = place[term], tf.astype(np.int64)
                     impact = w[t] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m))
-                    adds[t] = np.array(p["docs"]), np.repeat(impact, p["sizes"])
+                    adds[t] = docs, np.repeat(impact, sizes)
                     most[t] = impact[-1]
                 bounds = np.add.reduceat(most[flat], starts)
                 for i in np.flatnonzero((bounds >= least) & (bounds > 0)).tolist():
@@ -331,6 +340,12 @@ def search_block(index: Index, block: list[Item], k: int) -> DataFrame | None:
 
 def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     """The k highest-scoring documents of every item: (item_id, rank, doc_id, score)."""
+    spark = items.sparkSession
+    with setting(spark, ARROW_ROWS, str(UNITS_AT_ONCE)):
+        return _search(index, items, k)
+
+
+def _search(index: Index, items: DataFrame, k: int) -> DataFrame:
     spark = items.sparkSession
     kind = items.schema["item_id"].dataType
     ids = T.StructType([T.StructField("number", T.LongType()), T.StructField("item_id", kind)])

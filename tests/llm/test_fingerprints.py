@@ -17,7 +17,15 @@ def signed(value):
 
 
 def pieces(text):
-    return {signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in re.findall(fp.PIECE, text or "", re.ASCII)}
+    found = set()
+    for line in (text or "").split("\n"):
+        parts = [p.strip(" ") for p in re.split(r"[.!?]", line) if p.strip(" ")]
+        for i in range(0, len(parts), fp.SENTENCES):
+            digest = 42
+            for part in parts[i : i + fp.SENTENCES]:
+                digest = xxhash.xxh64_intdigest(part.encode(), digest)
+            found.add(signed(digest))
+    return found
 
 
 def jaccard(a, b):
