@@ -192,7 +192,12 @@ def _nearest(block: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def nearest_centre(vector: Column, cells: np.ndarray, centres: np.ndarray) -> Column:
-    """The cell of the nearest centre.
+    """The cell of the nearest centre."""
+    return nearest_centre_gap(vector, cells, centres)["cell"]
+
+
+def nearest_centre_gap(vector: Column, cells: np.ndarray, centres: np.ndarray) -> Column:
+    """The squared distance and the cell of the nearest centre, as struct<gap, cell>.
 
     Centres are part of the task; a table too large for one pass is taken in several, and the
     nearest of their winners is kept.
@@ -213,5 +218,30 @@ def nearest_centre(vector: Column, cells: np.ndarray, centres: np.ndarray) -> Co
         return winner(vector)
 
     winners = [one_pass(start) for start in range(0, len(cells), per_pass)]
-    best = winners[0] if len(winners) == 1 else F.least(*winners)
-    return best["cell"]
+    return winners[0] if len(winners) == 1 else F.least(*winners)
+
+
+def partial_sums(rows, schema: str):
+    """(group, vector) rows to one row per task and group: (group, n, total array<double>)."""
+
+    def run(batches):
+        totals: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column(0).to_numpy(zero_copy_only=False)
+            block = vectors_of(batch.column(1), len(batch.column(1)[0]))
+            for group in np.unique(groups).tolist():
+                part = block[groups == group]
+                n, total = totals.get(group, (0, 0.0))
+                totals[group] = n + len(part), total + part.sum(axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(totals), pa.int64()),
+                pa.array([n for n, _ in totals.values()], pa.int64()),
+                pa.array([t.tolist() for _, t in totals.values()], pa.list_(pa.float64())),
+            ],
+            names=["group", "n", "total"],
+        )
+
+    return rows.mapInArrow(run, schema)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keyed import SPAN
-from ..operators import ann, knn, metrics
+from ..operators import ann, cellindex, knn, metrics, summaries
+from ..session import scratch_path
 from . import fixtures as fx
-from .knn_queries import DIST, rounded
+from .knn_queries import DIST, MIXED, RANGE, rounded
 from .sqltext import keyed_sql
 
 QUERIES, SQL = {}, {}
@@ -166,3 +167,124 @@ def lsh_search_filtered(spark, folder):
         ann.lsh_index(rows, planes), fx.q_equal(spark, folder), planes, references=rows
     )
     return rounded(found)
+
+
+# ---------------------------------------------------------------- stored index
+
+EDGES = 8
+SLACK = 2.0
+
+
+def stored_index(spark, folder, rows, edges=None):
+    counted = [c for c in ("eq_val", "tags") if c in rows.columns]
+    path = scratch_path(spark, "cell-index")
+    return cellindex.build(rows, fx.centroids(spark, folder), path, counted=counted, edges=edges)
+
+
+#: Cells nearest first without those that hold no match, until the matches before a cell suffice.
+MATCHING = f"""SELECT q.name, n.cell, sum(m.n) OVER (PARTITION BY q.name ORDER BY n.cell_rank
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    row_number() OVER (PARTITION BY q.name ORDER BY n.cell_rank) AS place
+  FROM drawn q JOIN probed n ON n.name = q.name JOIN promised m ON m.name = q.name AND m.cell = n.cell WHERE m.n > 0"""
+MATCHED = """SELECT name, rank, id, round(dist, 6) AS dist FROM (
+    SELECT q.name, c.id, {dist} AS dist, row_number() OVER (PARTITION BY q.name ORDER BY {dist}, c.id) AS rank
+    FROM matching p JOIN drawn q ON q.name = p.name JOIN placed c ON c.cell = p.cell AND {test}
+    WHERE p.place = 1 OR p.before < {enough}) WHERE rank <= 10"""
+PLACED = """SELECT c.*, a.cell FROM corpus c JOIN assigned a ON a.id = c.id"""
+
+
+def matching_sql(test: str, promised: str) -> str:
+    return fx.sql(
+        MATCHED.format(dist=DIST, test=test, enough=SLACK * 10),
+        "drawn", "centroids", assigned=ASSIGNED, placed=PLACED, probed=PROBED,
+        promised=promised, matching=MATCHING,
+    )
+
+
+def promised_rows(test: str) -> str:
+    return f"SELECT q.name, c.cell, count(*) AS n FROM drawn q JOIN placed c ON {test} GROUP BY ALL"
+
+
+@register("ivf_search_matching", matching_sql("c.eq_val = q.eq_val", promised_rows("c.eq_val = q.eq_val")))
+def ivf_search_matching(spark, folder):
+    """Every query gets as many rows as in the exact search, from cells that hold matches."""
+    rows = fx.plain_corpus(spark, folder)
+    index = stored_index(spark, folder, rows)
+    return rounded(index.search_matching(fx.q_equal(spark, folder), slack=SLACK, references=rows))
+
+
+HAS_TAG = "len(q.tags) > 0 AND list_contains(c.tags, q.tags[1])"
+
+
+@register("ivf_search_matching_tags", matching_sql(HAS_TAG, promised_rows(HAS_TAG)))
+def ivf_search_matching_tags(spark, folder):
+    rows = fx.corpus(spark, folder)
+    index = stored_index(spark, folder, rows)
+    return rounded(index.search_matching(fx.q_contains(spark, folder), slack=SLACK, references=rows))
+
+
+SUMMARY = f"""SELECT cell, '' AS field, 'all' AS kind, '' AS key, count(*) AS rows FROM placed GROUP BY cell
+  UNION ALL SELECT cell, 'eq_val', 'value', eq_val::VARCHAR, count(*) FROM placed GROUP BY ALL
+  UNION ALL SELECT cell, 'tags', 'value', tag::VARCHAR, count(*)
+    FROM (SELECT cell, unnest(tags) AS tag FROM placed) GROUP BY ALL
+  UNION ALL SELECT cell, 'range_val', 'interval',
+      len(list_filter([i * 60000.0::DOUBLE FOR i IN range({EDGES})], lambda e: e <= range_val))::VARCHAR, count(*)
+    FROM placed GROUP BY ALL"""
+
+
+@register("cell_summaries", fx.sql(SUMMARY, "centroids", assigned=ASSIGNED, placed=PLACED))
+def cell_summaries(spark, folder):
+    """Counts per cell after two appends, merged from what each of them wrote."""
+    rows = fx.corpus(spark, folder)
+    edges = {"range_val": [i * 60000.0 for i in range(EDGES)]}
+    index = stored_index(spark, folder, rows.where("id % 3 = 0"), edges)
+    index = index.append(rows.where("id % 3 = 1")).append(rows.where("id % 3 = 2"))
+    return index.summaries()
+
+
+GROWN = f"""SELECT name, rank, id, round(dist, 6) AS dist FROM (
+    SELECT q.name, c.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.name ORDER BY {DIST}, c.id) AS rank
+    FROM drawn q JOIN probed p ON p.name = q.name AND p.cell_rank <= {PROBES[3]}
+    JOIN placed c ON c.cell = p.cell AND c.eq_val = q.eq_val AND c.id % 7 <> 3) WHERE rank <= 10"""
+
+
+@register(
+    "ivf_search_grown",
+    fx.sql(GROWN, "drawn", "centroids", assigned=ASSIGNED, placed=PLACED, probed=PROBED),
+)
+def ivf_search_grown(spark, folder):
+    """Search after a build with half of the rows, an append of the others and a delete."""
+    rows = fx.plain_corpus(spark, folder)
+    index = stored_index(spark, folder, rows.where("id % 2 = 0")).append(rows.where("id % 2 = 1"))
+    index = index.delete(rows.select("id").where("id % 7 = 3"))
+    return rounded(index.search(fx.q_equal(spark, folder), PROBES[3], references=rows))
+
+
+def exact_sql(condition: str) -> str:
+    return fx.sql(
+        f"""SELECT name, rank, id, round(dist, 6) AS dist FROM (
+              SELECT q.name, c.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.name ORDER BY {DIST}, c.id) AS rank
+              FROM drawn q JOIN corpus c ON {condition}) WHERE rank <= 10""",
+        "drawn",
+    )
+
+
+def exact_by_cells(spark, folder, rows, queries):
+    edges = summaries.quantile_edges(rows, ["range_val"], EDGES) if "range_val" in rows.columns else None
+    index = stored_index(spark, folder, rows, edges)
+    return rounded(index.search_exact(queries, references=rows))
+
+
+@register("knn_cells_equal", exact_sql("c.eq_val = q.eq_val"))
+def knn_cells_equal(spark, folder):
+    return exact_by_cells(spark, folder, fx.plain_corpus(spark, folder), fx.q_equal(spark, folder))
+
+
+@register("knn_cells_range", exact_sql(RANGE))
+def knn_cells_range(spark, folder):
+    return exact_by_cells(spark, folder, fx.corpus(spark, folder), fx.q_range(spark, folder))
+
+
+@register("knn_cells_mixed", exact_sql(MIXED))
+def knn_cells_mixed(spark, folder):
+    return exact_by_cells(spark, folder, fx.corpus(spark, folder), fx.q_mixed(spark, folder))
