@@ -50,9 +50,7 @@ _words = re.compile(r"[^\W\d_]+").findall
 def words(text: bytes | None) -> list[str]:
     """Lower-cased runs of letters; none when the text has no letter at all."""
     found = _words(text.decode().lower()) if text else []
-    if len(found) < 8 and not any(c.isalpha() for w in found for c in w):
-        return []
-    return found
+    return found if any(c.isalpha() for w in found for c in w) else []  # word characters may be numbers, as in ½
 
 
 def scripts(found: list[str]) -> np.ndarray:

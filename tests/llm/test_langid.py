@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sievelake.llm import langid
 from sievelake.llm.common import held_out
@@ -76,3 +77,9 @@ def test_held_out_rule(spark):
     frame = spark.createDataFrame([(i,) for i in [0, 1, -5, 123456, None]], "doc_id long")
     for r in frame.withColumn("h", held_out("doc_id", 4, 2)).collect():
         assert r.h == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2)
+
+
+@pytest.mark.parametrize("times", [1, 7, 8, 50])
+def test_numbers_are_no_letters_at_any_length(times):
+    assert langid.words(("½ " * times).encode()) == []
+    assert langid.words(("½ " * times + "a").encode())[-1] == "a"
