@@ -24,6 +24,8 @@ ROUNDS, HANDED = 3, 0.1
 
 #: The error of a cut's rank, as a share of the unlabelled rows; an exact one would gather them all.
 CUT_ERROR = 1e-4
+#: Added to log-odds times a random number of the row, so that a cut through equal ones takes a share of them.
+TIE = 1e-6
 
 #: Slots that languages, sources and lengths are hashed into.
 SLOTS = 32
@@ -96,6 +98,9 @@ class Constant:
 def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS):
     """The two views' models, their calibrations and the combination.
 
+    Round number t hands over t tenths of the unlabelled rows, the surest by either view; of rows with equal
+    log-odds at the cut a random share.
+
     ``found`` are the views of all documents, stored; ``labels`` (doc_id, label). Half of the labelled
     sample trains, half calibrates. With one class of labels there is only that class's share.
     """
@@ -106,17 +111,18 @@ def train(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS):
     if len(seen) < 4:
         return Constant(known.agg(F.avg("label")).first()[0] or 0.0)
     pool = found.join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
-    pool = kept(pool.select(*VIEWS), "pool")
+    pool = kept(pool.select(*VIEWS, (F.rand(41) * TIE).alias("_tie")), "pool")
     # the same share of either end, as many positives and negatives as the labels have
     share = known.where("half = 0").agg(F.avg("label")).first()[0]
-    ends = [HANDED * (1 - share), 1 - HANDED * share]
     learned = known.where("half = 0").select(*VIEWS, "label")
     train_rows = {view: learned for view in VIEWS}
     models = {view: _fit(learned, view) for view in VIEWS}
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
+        handed = min(1.0, HANDED * turn)
+        ends = [handed * (1 - share), 1 - handed * share]
         scored = pool
         for view in VIEWS:
-            scored = _with_logit(scored, models[view], view)
+            scored = _with_logit(scored, models[view], view).withColumn(f"{view}_logit", F.col(f"{view}_logit") + F.col("_tie"))
         logits = [f"{view}_logit" for view in VIEWS]
         found_cuts = scored.approxQuantile(logits, ends, CUT_ERROR)  # none of an empty pool
         for logit, other, cuts in zip(logits, VIEWS[::-1], found_cuts):

@@ -98,3 +98,26 @@ def test_all_unlabelled_rows_take_part(spark, monkeypatch):
     learned = fitted[0]
     assert 100 < learned < 300 and fitted[1] == learned
     assert all(abs(n - learned - cotraining.HANDED * 39600) < 20 for n in fitted[2:]) and len(fitted) == 4
+
+
+def test_ties_at_the_cut_and_growth_over_rounds(spark, monkeypatch):
+    """With one metadata row in the whole pool that view still hands over its share, and more each round."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "rand(5) AS x", "rand(6) AS y")
+    one = "CASE WHEN doc_id < 400 THEN array(x, 1.0D) ELSE array(0.5D, 1.0D) END"
+    rows = rows.selectExpr("doc_id", "array(x + y, y) AS text_view", f"{one} AS page_view", "x")
+    rows = rows.select("doc_id", "x", *[array_to_vector(v).alias(v) for v in cotraining.VIEWS])
+    rows = kept(rows, "views")
+    marks = rows.where("doc_id < 400").selectExpr("doc_id", "cast(x > 0.5 AS int) AS label")
+    fitted, fit = [], cotraining._fit
+
+    def counted(found, view):
+        fitted.append(found.count())
+        return fit(found, view)
+
+    monkeypatch.setattr(cotraining, "_fit", counted)
+    cotraining.train(rows.drop("x"), marks, rounds=2)
+    learned = fitted[0]
+    assert len(fitted) == 6
+    for turn in (1, 2):
+        for n in fitted[2 * turn : 2 * turn + 2]:
+            assert abs(n - learned - turn * cotraining.HANDED * 5600) < 20
