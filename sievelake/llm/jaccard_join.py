@@ -191,15 +191,16 @@ def postings(one: DataFrame) -> DataFrame:
 
 def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
     """(set, text): one text of every set that has a posting."""
-    wanted = posts.select("post.set").distinct().join(one.select("set", "doc_id"), "set")
-    wanted = wanted.select(F.col("set").alias("wanted"), F.col("doc_id").alias("_id"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("wanted", "text", F.col("text").alias("_kept"))
+    wanted = posts.select("post.set").distinct().join(one.select("set", "doc_id", "text_hash"), "set")
+    wanted = wanted.select(F.col("set").alias("wanted"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_at"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_at"))
+    texts = docs.join(wanted, same).select("wanted", "text", F.col("text").alias("_kept"))
 
     def make():
         hashes = WordHashes()
         return lambda values: [[_number(shingles(t, hashes)) if t else None for t in values]]
 
-    # rows of one id may have several texts
+    # the hash of a text leaves few rows of an id, however many have it
     texts = per_text(texts, make, "set long", ("wanted", "_kept"))
     return kept(texts.where("set = wanted").select("set", F.col("_kept").alias("text")).dropDuplicates(["set"]), "texts")
 
@@ -207,12 +208,12 @@ def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
 def links(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, comp): classes of set numbers, for sets that are linked with another one.
 
-    ``found`` is the stored result of ``sets`` with doc_id; ``docs`` has the texts.
+    ``found`` is the stored result of ``sets`` with doc_id and text_hash; ``docs`` has these and the texts.
     """
     one = found.where("set IS NOT NULL").groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "prefix")).alias("of")
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min(F.struct("n_shingles", "prefix")).alias("of")
     )
-    one = kept(one.select("set", "doc_id", F.col("of.n_shingles").alias("n"), F.col("of.prefix").alias("prefix")), "one")
+    one = kept(one.select("set", "row.doc_id", "row.text_hash", F.col("of.n_shingles").alias("n"), F.col("of.prefix").alias("prefix")), "one")
     posts = postings(one)
     texts = texts_of(one, posts, docs)
     rows = posts.withColumn("comp", F.col("post.set"))
@@ -273,8 +274,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component is their own id. Equal texts are linked, repeated rows each give their row; null ids are
     reached but never smallest, unless a component has no other. Extra columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    found = kept(sets(docs, sketch(docs)), "sets")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = kept(sets(docs, sketch(docs), ("doc_id", "text_hash")), "sets")
     classes = _classes(found, docs)
     rows = found.select("doc_id", "n_shingles", "set")
     least = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -294,11 +295,12 @@ def clean(docs: DataFrame) -> DataFrame:
     hashed = [F.col(f"`{c}`") for c in docs.columns if '"map"' not in docs.schema[c].dataType.json()]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     marked = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(*hashed).alias("_hash"), row)
-    texts = marked.select(F.col("_id").alias("doc_id"), "_hash", F.col("_row.text").alias("text"))
-    found = kept(sets(texts, sketch(texts), ("doc_id", "_hash")), "sets")
+    text_hash = F.xxhash64("_row.text").alias("text_hash")
+    texts = marked.select(F.col("_id").alias("doc_id"), "_hash", F.col("_row.text").alias("text"), text_hash)
+    found = kept(sets(texts, sketch(texts), ("doc_id", "_hash", "text_hash")), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
     of_sets = found.where("set IS NOT NULL").groupBy("set").agg(first.alias("first"))
-    of_classes = of_sets.join(_classes(found, texts.select("doc_id", "text")).select("set", "comp"), "set")
+    of_classes = of_sets.join(_classes(found, texts.select("doc_id", "text", "text_hash")).select("set", "comp"), "set")
     stays = of_classes.groupBy("comp").agg(F.min("first").alias("first"))
     stays = kept(stays.select("comp", F.col("first.doc_id").alias("_stays"), F.col("first._hash").alias("_hash")), "stays")
     text = F.translate(F.coalesce("_row.text", F.lit("")), "\t\n\v\f\r", " " * 5)

@@ -90,3 +90,24 @@ def test_clean_keeps_one_row_of_each_class(spark):
     assert len(either & set(got)) == 1
     want = [(None, one), (7, three), (3, four + " more"), (None, "")]
     assert sorted((r for r in got if r not in either), key=str) == sorted(want, key=str) and len(got) == 5
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_of_one_id_are_not_multiplied(spark, monkeypatch, key):
+    """Rows that share an id, or have none, are brought to their sets by the hash of their text."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [(key, " ".join(words[i : i + 30])) for i in range(0, 2000, 2)]
+    texts += [(i, text + " end") for i, (_, text) in enumerate(texts)]
+    seen, run = [], join.per_text
+
+    def counted(rows, make, schema, carry=("doc_id",), **more):
+        if carry[0] == "wanted":
+            seen.append(rows.count())
+        return run(rows, make, schema, carry, **more)
+
+    monkeypatch.setattr(join, "per_text", counted)
+    got = join.near_duplicates(docs(spark, texts)).collect()
+    assert len(got) == 2000 and seen and max(seen) <= 2000
+    assert sorted((r.doc_id, r.n_shingles) for r in got if r.doc_id not in (None, 7)) == [
+        (i, 27) for i in range(1000) if i != 7
+    ]
