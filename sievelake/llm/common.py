@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -52,8 +54,20 @@ def kept(df: DataFrame, label: str) -> DataFrame:
         return stored(df, label)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """The rows of a task in order, as tables of about ``limit`` bytes in ``column``."""
+    """The rows of a task in order, as tables of about ``limit`` bytes in ``column``.
+
+    What the task no longer uses goes back to the system at its end, since Python workers live on.
+    """
     held, size = [], 0
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -68,6 +82,8 @@ def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    release_memory()
 
 
 def per_text(
