@@ -28,6 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.predicates import (
+    EMPTY_VALUES,
     combine,
     compile_filters,
     equality_values,
@@ -342,11 +343,18 @@ def with_hits(
     mode: str = "fold",
     like: str = "regex",
     keep_all: bool = False,
+    empty_value_means_empty: bool = False,
 ) -> DataFrame:
     """Add the column ``HITS``: the positions of the filter lists the row passes, as words.
 
-    Rows that pass none are dropped unless ``keep_all``.
+    Rows that pass none are dropped unless ``keep_all``. With ``empty_value_means_empty`` a filter whose value
+    is empty asks for rows whose field is, whatever its operator.
     """
+    if empty_value_means_empty:
+        filter_lists = [
+            [{**f, "operator": "is_empty"} if f.get("value") in EMPTY_VALUES else f for f in filters or ()]
+            for filters in filter_lists
+        ]
     queries = len(filter_lists)
     terms = Terms(rows, queries, mode, like)
     forms: dict[tuple, list] = defaultdict(list)

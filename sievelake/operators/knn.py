@@ -135,6 +135,7 @@ def knn_block(
     mode: str = "fold",
     like: str = "regex",
     references: DataFrame | None = None,
+    empty_value_means_empty: bool = False,
 ) -> DataFrame:
     """Top-k of one query block. Queries on the same vector field share a scan."""
     by_field: dict[str, list[Query]] = defaultdict(list)
@@ -146,7 +147,7 @@ def knn_block(
         rows = corpus.where(F.col(field).isNotNull())
         if any(q.filters for q in members):
             filters = [q.filters for q in members]
-            rows = with_hits(rows, filters, mode, like).select("id", field, HITS)
+            rows = with_hits(rows, filters, mode, like, False, empty_value_means_empty).select("id", field, HITS)
         else:
             rows = rows.select("id", field)
         parts.append(
@@ -190,15 +191,17 @@ def knn_batch(
     like: str = "regex",
     block_size: int = BLOCK,
     references: DataFrame | None = None,
+    empty_value_means_empty: bool = False,
 ) -> DataFrame:
     """Exact top-k of a whole query set as (name, rank, id, dist).
 
     One scan of the corpus per block of queries. Nothing but (name, id, distance) of at most
-    ``limit`` rows per task and query is shuffled; the vectors never move.
+    ``limit`` rows per task and query is shuffled; the vectors never move. Up to INLINE_BLOCKS blocks the
+    result is lazy; a longer query set is answered when this is called.
     """
     return over_blocks(
         queries,
-        lambda block: knn_block(corpus, block, metric, mode, like, references),
+        lambda block: knn_block(corpus, block, metric, mode, like, references, empty_value_means_empty),
         block_size,
     )
 

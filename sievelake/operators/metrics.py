@@ -39,7 +39,13 @@ def missing_ground_truth(queries: DataFrame, truth: DataFrame) -> DataFrame:
     return queries.select("name").join(truth.select("name").distinct(), "name", "left_anti")
 
 
-def with_ground_truth(queries: DataFrame, truth: DataFrame) -> DataFrame:
+def with_ground_truth(queries: DataFrame, truth: DataFrame, strict: bool = False, named: int = 20) -> DataFrame:
+    """The queries that have ground truth. When strict, one without is an error that names the first ``named``."""
+    if strict:
+        missing = [r["name"] for r in missing_ground_truth(queries, truth).orderBy("name").limit(named + 1).collect()]
+        if missing:
+            more = " and more" if len(missing) > named else ""
+            raise ValueError(f"no ground truth for queries: {missing[:named]}{more}")
     return queries.join(truth.select("name").distinct(), "name", "left_semi")
 
 

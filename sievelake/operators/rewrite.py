@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from typing import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import local_table, stored
-from .analysis import filters_of
+from .analysis import filter_fields, filter_rates, filters_of, relevance_distribution, tag_rates
 from .ranking import running_total
 
 ANY_OF = ("==", "contains")
@@ -173,7 +173,7 @@ def rewrite_by_relevance(
 def with_filters(queries: DataFrame, rewritten: DataFrame) -> DataFrame:
     """The query set with its filters replaced by the rewritten ones, in order."""
     entry = F.struct(
-        "pos", F.col("value").cast("double").alias("order"), "field", "operator", "value", "logic"
+        "pos", F.col("value").try_cast("double").alias("order"), "field", "operator", "value", "logic"
     )
     lists = rewritten.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("found"))
     replaced = F.transform(
@@ -183,3 +183,46 @@ def with_filters(queries: DataFrame, rewritten: DataFrame) -> DataFrame:
     return queries.drop("scalar_filters").join(lists, "name", "left").select(
         "name", "vector_field", "reference_id", replaced.alias("scalar_filters"), "limit"
     )
+
+
+def modified_queries(
+    corpus: DataFrame,
+    queries: DataFrame,
+    by: str = "filter_rate",
+    default: float | None = None,
+    overrides: Mapping[str, float] | None = None,
+    top_k: int = 500,
+    denominator: str = "occurrences",
+    metric: str = "l2",
+    descending: bool = False,
+) -> DataFrame:
+    """The query set whose filters reach their targets, ready to be written by ``write_query_set``.
+
+    A query takes the target that ``overrides`` names for it, else ``default``; without either it keeps its
+    filters. ``by`` is ``filter_rate``, over the rows of the corpus (array fields with ``denominator``), or
+    ``relevance``, over each query's ``top_k`` nearest rows. Filters on fields that have no rates, such as
+    text, stay. An override for a query that is not in the set is an error.
+    """
+    if by not in ("filter_rate", "relevance"):
+        raise ValueError("by must be 'filter_rate' or 'relevance'")
+    queries = stored(queries, "queries")
+    asked = list(overrides or {})
+    known = {r["name"] for r in queries.where(F.col("name").isin(asked)).select("name").collect()} if asked else set()
+    if set(asked) - known:
+        raise ValueError(f"targets for unknown queries: {sorted(set(asked) - known)}")
+    targets = rewrite_targets(queries, default, overrides)
+    if by == "relevance":
+        found = relevance_distribution(corpus, queries.join(targets.select("name"), "name", "left_semi"), top_k, metric)
+        return with_filters(queries, rewrite_by_relevance(queries, found, targets))
+    fields = sorted(r["field"] for r in filter_fields(queries).collect())  # a name per filter field
+    kinds = {f: corpus.schema[f].dataType for f in fields if f in corpus.columns}
+    numbers = [f for f, kind in kinds.items() if isinstance(kind, T.NumericType)]
+    lists = [f for f, kind in kinds.items() if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType)]
+    rates = [filter_rates(corpus, numbers)] if numbers else []
+    rates += [tag_rates(corpus, f, denominator) for f in lists]
+    if not rates:
+        return queries
+    union = rates[0]
+    for part in rates[1:]:
+        union = union.unionByName(part)
+    return with_filters(queries, rewrite_by_filter_rate(queries, union, targets, descending))

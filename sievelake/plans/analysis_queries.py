@@ -434,3 +434,76 @@ def rewrite_relevance_range(spark, folder):
         rows, queries, DEPTH, references=fx.plain_corpus(spark, folder)
     )
     return shown(rewrite.rewrite_by_relevance(queries, found, targets(queries)))
+
+
+# ---------------------------------------------------------------- whole rewrites
+
+LISTED = """SELECT name, count(*) AS n_filters, round(min(value), 6) AS least, round(max(value), 6) AS most,
+    string_agg(DISTINCT field || operator || logic, ',' ORDER BY field || operator || logic) AS forms
+  FROM entries GROUP BY name"""
+
+
+def listed(queries: DataFrame) -> DataFrame:
+    """A digest of the filters of each query."""
+    entries = queries.select("name", F.explode("scalar_filters").alias("f"))
+    value = F.col("f.value").cast("double")
+    forms = F.array_sort(F.collect_set(F.concat("f.field", "f.operator", "f.logic")))
+    return entries.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_filters"), F.round(F.min(value), 6).alias("least"),
+        F.round(F.max(value), 6).alias("most"), F.array_join(forms, ",").alias("forms"),
+    )
+
+
+SET_TARGET = "CASE q.name WHEN 'query1' THEN 0.03 WHEN 'query15' THEN 0.5 END::DOUBLE"
+SET_CHOSEN = f"(r.upto - r.cnt < {SET_TARGET} * r.total OR r.upto = r.cnt)"
+
+
+@register(
+    "modified_queries_filter_rate",
+    fx.sql(
+        LISTED, "drawn", running=RUNNING.format(value="CAST(eq_val AS DOUBLE)", rows="corpus"),
+        entries=f"""SELECT q.name, 'eq_val' AS field, '==' AS operator, r.value, 'or' AS logic
+            FROM drawn q JOIN running r ON {SET_CHOSEN} WHERE {SET_TARGET} IS NOT NULL
+            UNION ALL SELECT q.name, 'eq_val', '==', CAST(eq_val AS DOUBLE), 'and' FROM drawn q WHERE {SET_TARGET} IS NULL""",
+    ),
+)
+def modified_queries_filter_rate(spark, folder):
+    """Targets for two queries; the others keep their filters."""
+    return listed(
+        rewrite.modified_queries(
+            fx.plain_corpus(spark, folder), fx.q_equal(spark, folder), overrides={"query1": 0.03, "query15": 0.5}
+        )
+    )
+
+
+@register(
+    "modified_queries_tags",
+    fx.sql(
+        LISTED, "drawn",
+        running=RUNNING.format(value="CAST(t AS DOUBLE)", rows="(SELECT unnest(tags) AS t FROM corpus)"),
+        entries=f"""SELECT q.name, 'tags' AS field, 'contains' AS operator, r.value, 'or' AS logic
+            FROM drawn q JOIN running r ON {CHOSEN} WHERE len(q.tags) > 0""",
+    ),
+)
+def modified_queries_tags(spark, folder):
+    return listed(
+        rewrite.modified_queries(
+            fx.corpus(spark, folder), fx.q_contains(spark, folder), default=DEFAULT_RATE, overrides=OVERRIDES
+        )
+    )
+
+
+@register(
+    "modified_queries_relevance",
+    fx.sql(
+        LISTED, "drawn", near=NEAR, relevance=RELEVANCE.format(value="eq_val"), running=WALK,
+        entries=f"""SELECT q.name, 'eq_val' AS field, '==' AS operator, CAST(r.value AS DOUBLE) AS value, 'or' AS logic
+            FROM drawn q JOIN running r ON r.name = q.name AND {CHOSEN}""",
+    ),
+)
+def modified_queries_relevance(spark, folder):
+    return listed(
+        rewrite.modified_queries(
+            fx.plain_corpus(spark, folder), fx.q_equal(spark, folder), "relevance", DEFAULT_RATE, OVERRIDES, DEPTH
+        )
+    )

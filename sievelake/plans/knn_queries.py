@@ -74,6 +74,21 @@ def knn_variable_k(spark, folder):
     return rounded(knn.knn_batch(fx.plain_corpus(spark, folder), fx.q_limits(spark, folder)))
 
 
+@register(
+    "knn_batch_empty",
+    topk_sql("CASE q.num % 3 WHEN 0 THEN len(c.tags) = 0 WHEN 1 THEN c.eq_val = q.eq_val ELSE c.range_val IS NULL END"),
+)
+def knn_batch_empty(spark, folder):
+    """Empty values ask for empty fields: no tags, or no number, beside plain equality."""
+    kind = F.col("num") % 3
+    none = F.lit(None).cast("string")
+    filters = F.when(kind == 0, F.array(fx.spec("tags", "contains", F.lit("[]"))))
+    filters = filters.when(kind == 1, fx.equal_filter()).otherwise(F.array(fx.spec("range_val", "==", none)))
+    rows = fx.corpus(spark, folder)
+    queries = fx.as_query_set(fx.drawn(rows), filters)
+    return rounded(knn.knn_batch(rows, queries, empty_value_means_empty=True))
+
+
 SINGLE = """SELECT rank, id, round(dist, 6) AS dist FROM (
   SELECT c.id, {dist} AS dist, row_number() OVER (ORDER BY {dist}, c.id) AS rank
   FROM corpus c CROSS JOIN drawn q WHERE q.name = 'query1' {condition}) WHERE rank <= 100"""

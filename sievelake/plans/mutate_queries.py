@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..operators import metrics, mutate, synth
 from ..operators.ranking import sample_exact
@@ -173,6 +173,38 @@ def stream_ingest_upsert(spark, folder):
     return shown(ingest.merged(work.shrunk, f"{root}/log"))
 
 
+@register(
+    "stream_ordered_changes",
+    fx.sql(
+        """SELECT id, eq_val FROM corpus WHERE id % 2 = 1
+           UNION ALL SELECT id, eq_val + 100 FROM corpus WHERE id % 2 = 0 AND id % 10 <> 0
+           UNION ALL SELECT id + 1000000, eq_val + 300 FROM corpus WHERE id % 3 = 0""",
+        "corpus",
+    ),
+)
+def stream_ordered_changes(spark, folder):
+    """Changes and deletes that arrive before those they replace, and once more after all others."""
+    rows = fx.plain_corpus(spark, folder).drop("image_vec")
+    base = rows.withColumn("seq", F.lit(0).cast("bigint"))
+    schema = "id bigint, eq_val int, seq bigint, gone boolean"
+
+    def change(where: str, add: int, seq: int, gone: str = "false", move: int = 0):
+        found = rows.where(where).selectExpr(
+            f"id + {move}L AS id", f"eq_val + {add} AS eq_val", f"{seq}L AS seq", f"{gone} AS gone"
+        )
+        return found.coalesce(1)
+
+    root = scratch_path(spark, "changes")
+    newest = change("id % 2 = 0", 100, 2, "id % 10 = 0")
+    for part in (newest, change("id % 3 = 0", 300, 1, move=1000000), change("id % 2 = 0", 200, 1), newest):
+        part.write.mode("append").parquet(f"{root}/incoming")
+    query = ingest.start_upserts(
+        spark, f"{root}/incoming", T.StructType.fromDDL(schema), f"{root}/log", f"{root}/checkpoint"
+    )
+    query.awaitTermination()
+    return ingest.ordered(base, f"{root}/log", "seq", deleted="gone").drop("seq")
+
+
 PHASES = {
     "signup": "insert", "view": "insert", "click": "update", "purchase": "update", "error": "delete"
 }

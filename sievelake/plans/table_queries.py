@@ -282,6 +282,27 @@ def cast_strict(spark, folder):
     )
 
 
+@register(
+    "cast_strict_widths",
+    """SELECT event_id, CAST(event_id % 128 AS TINYINT) AS i8, CAST(event_id % 32768 AS SMALLINT) AS i16,
+              CAST(user_id AS INTEGER) AS i32, CAST(event_id * 4000000000 AS BIGINT) AS i64,
+              CAST(CAST(CAST(value AS FLOAT) AS DOUBLE) AS DOUBLE) AS f32, CAST(user_id::VARCHAR AS DOUBLE) AS f64
+       FROM events""",
+)
+def cast_strict_widths(spark, folder):
+    """Every declared width; what does not fit fails."""
+    event, user = F.col("event_id"), F.col("user_id")
+    return fx.table(spark, folder, "events").select(
+        "event_id",
+        cleaning.strict(event % 128, "tinyint").alias("i8"),
+        cleaning.strict(event % 32768, "smallint").alias("i16"),
+        cleaning.strict(user, "int").alias("i32"),
+        cleaning.strict(event * 4000000000, "bigint").alias("i64"),
+        cleaning.strict(F.col("value"), "float").cast("double").alias("f32"),
+        cleaning.strict(user.cast("string"), "double").alias("f64"),
+    )
+
+
 @register(
     "cast_coerce_zero",
     fx.sql(

@@ -129,3 +129,44 @@ def test_compact_keeps_the_row_that_merged_shows(spark, base, tmp_path):
     merged = ingest.merged(small, log, sequence="seq")
     assert merged.where("id = 7").first()["eq_val"] == 11
     assert same(ingest.compact(small, log, str(tmp_path / "next"), sequence="seq"), merged)
+
+
+def test_ordered_changes_are_like_one_batch(spark, tmp_path):
+    """Shuffled, repeated and late batches give the rows that the changes give in order."""
+    import random
+
+    from pyspark.sql import types as T
+
+    from sievelake.streaming import ingest
+
+    draw = random.Random(3)
+    base = spark.createDataFrame([(i, f"b{i}", 10) for i in range(40)], "id bigint, v string, seq bigint")
+    changes = [(draw.randrange(60), f"c{n}", n, draw.random() < 0.3) for n in range(200)]
+    changes += [(5, "null", None, None), (70, "lone", None, None)]
+    state = {i: (i, f"b{i}", 10) for i in range(40)}
+    last = {i: 10 for i in range(40)}
+    for key, v, seq, gone in changes:
+        if seq is None:
+            if key not in last:
+                state[key], last[key] = (key, v, None), -1
+        elif seq > last.get(key, -1):
+            last[key] = seq
+            if gone:
+                state.pop(key, None)
+            else:
+                state[key] = (key, v, seq)
+    schema = "id bigint, v string, seq bigint, gone boolean"
+    for turn in range(2):
+        mixed = changes + changes[:50]
+        draw.shuffle(mixed)
+        folder = str(tmp_path / f"t{turn}")
+        for start in range(0, len(mixed), 60):
+            part = spark.createDataFrame(mixed[start : start + 60], schema).coalesce(1)
+            part.write.mode("append").parquet(f"{folder}/in")
+            query = ingest.start_upserts(spark, f"{folder}/in", T.StructType.fromDDL(schema), f"{folder}/log", f"{folder}/check")
+            query.awaitTermination()  # each start goes on where the last one ended
+        found = ingest.ordered(base, f"{folder}/log", "seq", deleted="gone")
+        assert sorted(map(tuple, found.collect())) == sorted(state.values())
+    without = base.drop("seq")
+    found = ingest.ordered(without, f"{folder}/log", "seq", deleted="gone")
+    assert found.columns == ["id", "v"] and found.count() >= 1
