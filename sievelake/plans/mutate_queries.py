@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from ..operators import metrics, mutate, synth
+from ..operators import buckets, metrics, mutate, synth
 from ..operators.ranking import sample_exact
 from ..session import scratch_path, stored
 from ..streaming import ingest
@@ -105,6 +105,15 @@ def upsert_full(spark, folder):
     return shown(mutate.upsert_full(work.shrunk, changes, sequence="seq"))
 
 
+@register("merge_bucketed", work_sql(SHOWN.format(rows="upserted")))
+def merge_bucketed(spark, folder):
+    """The same delete and upsert on a stored table, of which only the buckets with changes are written anew."""
+    work = Work(spark, folder)
+    table = buckets.create(work.grown, scratch_path(spark, "buckets"), buckets=64)
+    changes = work.inc.withColumn("seq", F.lit(1)).unionByName(work.updates.withColumn("seq", F.lit(2)))
+    return shown(table.delete(work.deleted).upsert(changes, sequence="seq").rows())
+
+
 @register(
     "upsert_partial",
     work_sql(
