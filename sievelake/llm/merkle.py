@@ -396,9 +396,10 @@ def verify(docs: DataFrame, now: Column | None = None) -> DataFrame:
     ``build``; without it every row is checked as it stands.
     """
     log, over, subroots = build(docs, now)
-    root = over.roots().select("root")
+    root = over.roots().select("root").first()  # one node, none of an empty table
     paths = proofs(over).select(F.col("idx").alias("tree"), F.col("path").alias("top"))
-    above = subroots.withColumnRenamed("root", "subroot").join(paths, "tree").crossJoin(F.broadcast(root))  # one root
+    above = subroots.withColumnRenamed("root", "subroot").join(paths, "tree")
+    above = above.withColumn("root", F.lit(root["root"] if root else None).cast("string"))
     rows = with_upper(log).join(above, "tree")
     rows = rows.select("n", "builder", "first", "nodes", "ids", "now", "upper", "subroot", "root", "top")
     return mapped(rows, check, CHECKED)
