@@ -190,11 +190,11 @@ def postings(one: DataFrame) -> DataFrame:
 
 
 def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, text): one text of every set that has a posting."""
+    """(set, text): one text of every set that has a posting, as UTF-8 bytes like those the sets were made from."""
     wanted = posts.select("post.set").distinct().join(one.select("set", "doc_id", "text_hash"), "set")
     wanted = wanted.select(F.col("set").alias("wanted"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_at"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_at"))
-    texts = docs.join(wanted, same).select("wanted", "text", F.col("text").alias("_kept"))
+    texts = docs.join(wanted, same).select("wanted", "text", F.col("text").cast("binary").alias("_kept"))
 
     def make():
         hashes = WordHashes()

@@ -67,6 +67,21 @@ def test_against_brute_force(spark, monkeypatch, seed, rounds):
     assert got == brute(texts)
 
 
+def test_words_are_ascii_words_when_pairs_are_verified(spark):
+    """Only A-Z are lower-cased and only ASCII spaces separate words, in both steps alike."""
+    rng = random.Random(9)
+    texts = []
+    for g, mark in enumerate(("\u00a0", "\x1c", "\u2003", "\x85")):
+        base = [f"g{g}w{i}" for i in range(30)]
+        texts += [" ".join([*base, mark.join(f"{rng.random()}" for _ in range(40))]) for _ in range(3)]
+    capital = [f"\u00c9{i}" if i % 6 == 0 else f"c{i}" for i in range(60)]
+    texts += [" ".join(capital), " ".join(capital[:-1] + ["end"]), " ".join(capital).replace("\u00c9", "\u00e9", 1)]
+    texts = [(i, t) for i, t in enumerate(texts)]
+    want = brute(texts)
+    assert len({c for _, _, c in want}) == 5
+    assert rows(join.near_duplicates(docs(spark, texts)), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_clean(spark):
     texts = fixture(3)
     wide = docs(spark, texts).selectExpr("*", "1 as component_id", "2 as _row")
