@@ -5,7 +5,8 @@ links, a good one gives short posting lists). Two sets that are similar enough s
 prefixes. Equal sets are one node. A posting list is not paired with itself: its members are compared
 with one of them, the pivot; members that a link has put into one class need no further comparison, and
 what is left over in lists that still hold several classes is paired across classes at the end. So no
-class that the links imply is missed, and a list of near copies costs one comparison a member.
+class that the links imply is missed, and a list of near copies costs one comparison a member. Pairs are compared by
+a signature of the parities of their hashes first, which rules out most of those that don't link.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ _BLOCK = 1 << 14
 #: So often the members of a list are compared with a pivot, before what is left is paired across classes.
 ROUNDS = 2
 
+#: Bits of a signature, 64 in a word.
+SIGNED = 1024
+
 #: A task remembers the hashes of so many words.
 REMEMBERED = 400_000
 
@@ -65,6 +69,12 @@ def _number(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """Per remainder of the hashes by SIGNED, whether an odd number of them has it: SIGNED bits in longs."""
+    odd = np.bincount((found & np.uint64(SIGNED - 1)).astype(np.int64), minlength=SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame):
     """A broadcast of counts of shingles by the top bits of their hash, each once per document."""
     slots = 1 << SLOT_BITS
@@ -174,6 +184,15 @@ def _fits(x, y):
     return length & ((100 + PERCENT) * shared >= PERCENT * (x["n"] + y["n"])) & (x["set"] != y["set"])
 
 
+def _may_link(x, y, n_x, n_y):
+    """Whether the signatures leave room for a link: each bit that differs is a shingle that one set lacks.
+
+    Linked sets have a symmetric difference of at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum.
+    """
+    apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, SIGNED // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (n_x + n_y)
+
+
 def postings(one: DataFrame) -> DataFrame:
     """(token, post, central) for prefix shingles that two sets have; post: set, n, at, before.
 
@@ -190,7 +209,10 @@ def postings(one: DataFrame) -> DataFrame:
 
 
 def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, text): one text of every set that has a posting, as UTF-8 bytes like those the sets were made from."""
+    """(set, n, text, signed): one text of every set that has a posting, and the signature of the set.
+
+    The texts are UTF-8 bytes like those the sets were made from.
+    """
     wanted = posts.select("post.set").distinct().join(one.select("set", "doc_id", "text_hash"), "set")
     wanted = wanted.select(F.col("set").alias("wanted"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_at"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_at"))
@@ -198,11 +220,21 @@ def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
 
     def make():
         hashes = WordHashes()
-        return lambda values: [[_number(shingles(t, hashes)) if t else None for t in values]]
+
+        def find(values):
+            found = [shingles(t, hashes) for t in values]
+            signed = pa.ListArray.from_arrays(
+                np.arange(len(found) + 1, dtype=np.int32) * (SIGNED // 64),
+                pa.array(np.concatenate([signature(f) for f in found] or [np.zeros(0, np.int64)])),
+            )
+            return [[_number(f) if len(f) else None for f in found], [len(f) for f in found], signed]
+
+        return find
 
     # the hash of a text leaves few rows of an id, however many have it
-    texts = per_text(texts, make, "set long", ("wanted", "_kept"))
-    return kept(texts.where("set = wanted").select("set", F.col("_kept").alias("text")).dropDuplicates(["set"]), "texts")
+    texts = per_text(texts, make, "set long, n long, signed array<long>", ("wanted", "_kept"))
+    texts = texts.where("set = wanted").select("set", "n", F.col("_kept").alias("text"), "signed")
+    return kept(texts.dropDuplicates(["set"]), "texts")
 
 
 def links(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -238,20 +270,26 @@ def links(found: DataFrame, docs: DataFrame) -> DataFrame:
     rows = kept(rows.select("token", "post", "comp"), "rest")
     lists = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     rows = kept(rows.join(kept(lists.select("token"), "lists").hint("shuffle_hash"), "token"), "mixed")
-    other = rows.select("token", F.col("post").alias("post_b"), F.col("comp").alias("comp_b"))
+    rows = kept(rows.join(texts.select(F.col("set").alias("_set"), "signed"), F.col("post.set") == F.col("_set")).drop("_set"), "signed")
+    other = rows.select("token", F.col("post").alias("post_b"), F.col("comp").alias("comp_b"), F.col("signed").alias("signed_b"))
     crossed = rows.join(other, "token").where((F.col("post.set") < F.col("post_b.set")) & (F.col("comp") != F.col("comp_b")))
     crossed = crossed.where(_fits(F.col("post"), F.col("post_b")))
+    crossed = crossed.where(_may_link(F.col("signed"), F.col("signed_b"), F.col("post.n"), F.col("post_b.n")))
     pairs = _once(crossed.select(F.col("post.set").alias("a"), F.col("post_b.set").alias("b")))
     tested = _tested(pairs, texts, tested)
     return smallest_reachable(tested.where("linked").select("a", "b"))
 
 
 def _tested(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """The pairs tested so far and those of ``pairs`` that were not, each verified once."""
-    if tested is None:
-        return kept(_verified(pairs, texts), "tested")
-    fresh = kept(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return kept(tested.union(_verified(fresh, texts)), "tested")
+    """The pairs tested so far and those of ``pairs`` that were not and may link, each verified once."""
+    if tested is not None:
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    for at in ("a", "b"):
+        signed = texts.select(F.col("set").alias(at), F.col("n").alias(f"n_{at}"), F.col("signed").alias(f"signed_{at}"))
+        pairs = pairs.join(signed, at)
+    pairs = pairs.where(_may_link(F.col("signed_a"), F.col("signed_b"), F.col("n_a"), F.col("n_b")))
+    pairs = _verified(kept(pairs.select("a", "b"), "pairs"), texts)
+    return kept(pairs if tested is None else tested.union(pairs), "tested")
 
 
 def _once(pairs: DataFrame) -> DataFrame:

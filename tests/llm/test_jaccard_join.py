@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sievelake.llm import jaccard_join as join
@@ -82,6 +83,38 @@ def test_words_are_ascii_words_when_pairs_are_verified(spark):
     assert rows(join.near_duplicates(docs(spark, texts)), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_signatures_leave_room_for_every_link(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (1, 7, 8, 40, 300, 5000):
+        for d in range(0, n // 3 + 2, max(1, n // 30)):
+            whole = np.unique(rng.integers(0, 1 << 64, n + d, dtype=np.uint64))
+            x, y = whole[: len(whole) - d], whole[d // 2 :]
+            both = len(np.intersect1d(x, y))
+            linked = 100 * both >= join.PERCENT * (len(x) + len(y) - both)
+            pairs.append((len(x), len(y), join.signature(x).tolist(), join.signature(y).tolist(), linked))
+    df = spark.createDataFrame(pairs, "n long, m long, x array<long>, y array<long>, linked boolean")
+    may = [(r.may, r.linked) for r in df.select(join._may_link(df.x, df.y, df.n, df.m).alias("may"), "linked").collect()]
+    assert all(m for m, linked in may if linked) and any(linked for _, linked in may) and not all(m for m, _ in may)
+
+
+def test_far_copies_are_not_all_compared(spark, monkeypatch):
+    """Copies of one text that are too far apart to link share rare shingles in pairs, yet few pairs are verified."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(200), 12):
+            words[k] = f"x{i}y{k}" if rng.random() < 0.3 else f"z{k}"
+        texts.append((i, " ".join(words)))
+    seen, verified = [], join._verified
+    monkeypatch.setattr(join, "_verified", lambda pairs, of: seen.append(pairs.count()) or verified(pairs, of))
+    got = rows(join.near_duplicates(docs(spark, texts)), "doc_id", "n_shingles", "component_id")
+    assert got == brute(texts)
+    assert sum(seen) < 5 * len(texts)
+
+
 def test_clean(spark):
     texts = fixture(3)
     wide = docs(spark, texts).selectExpr("*", "1 as component_id", "2 as _row")
