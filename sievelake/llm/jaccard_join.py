@@ -61,7 +61,10 @@ def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     total = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
         total += values[k : k + len(total)] * _POWERS[k]
-    return np.unique(_mixed(total + np.uint64(size)))
+    found = np.sort(_mixed(total + np.uint64(size)))
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def _number(found: np.ndarray) -> int:
