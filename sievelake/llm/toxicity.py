@@ -20,8 +20,9 @@ from .common import bounded_sample, kept, per_text
 #: The documented bound of the sample: so many labelled rows of each class.
 ROWS_PER_CLASS = 6000
 
-#: The lexicon: at most so many entries, found in so many toxic rows at least, this far above chance.
-LEXICON_WORDS, LEAST_ROWS, LEAST_Z = 100, 3, 2.5
+#: The lexicon: at most so many entries, found in so many toxic rows at least, this far above chance, and
+#: in so many times the share of plain rows, which long rows or those of one language alone don't reach.
+LEXICON_WORDS, LEAST_ROWS, LEAST_Z, LEAST_LIFT = 100, 3, 2.5, 3
 
 #: Entries this far above chance are counted on their own too.
 STRONG_Z = 4.0
@@ -133,7 +134,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS
 
 
 def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
-    """Word to z-score of its log-odds in toxic rows; a top list of LEXICON_WORDS."""
+    """Entry to how far its rows are toxic above chance; a top list of LEXICON_WORDS.
+
+    That is the signed root of the log-likelihood ratio, a z-score that holds for counts of 0 too; that of the
+    log-odds is bounded for entries that no plain row has, and puts common words ahead of them. A longer
+    beginning of a word that stands below a shorter one says nothing more and takes no place in the list.
+    """
     found = per_text(
         sample, lambda: lambda texts: [[sorted({e for w in set(words(t)) for e in entries(w)}) for t in texts]], "words array<binary>", ("label",)
     )
@@ -142,11 +148,23 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
     counts = found.select("label", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")
     )
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    ratio = F.log(a / (toxic + 1 - a)) - F.log(b / (plain + 1 - b))
-    z = ratio / F.sqrt(1 / a + 1 / b)
-    top = counts.where(F.col("a") >= LEAST_ROWS).select("word", z.alias("z")).where(F.col("z") >= LEAST_Z)
-    return {bytes(r.word): round(r.z, 6) for r in top.orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()}
+    a, b = F.col("a"), F.col("b")
+
+    def part(seen, rows, total):
+        """seen * ln(seen / expected), 0 for none, where rows of all rows would be expected."""
+        return F.when(seen > 0, seen * F.log(seen * (toxic + plain) / (rows * total))).otherwise(0.0)
+
+    ratio = part(a, a + b, toxic) + part(b, a + b, plain)
+    ratio += part(toxic - a, toxic + plain - a - b, toxic) + part(plain - b, toxic + plain - a - b, plain)
+    above = counts.where((a >= LEAST_ROWS) & (a * plain >= LEAST_LIFT * b * toxic))
+    above = above.select("word", F.sqrt(2 * F.greatest(ratio, F.lit(0.0))).alias("z")).where(F.col("z") >= LEAST_Z)
+    above = kept(above, "above")
+    shorter = above.select(F.col("word").alias("_start"), F.col("z").alias("_z"))
+    size = F.octet_length("word")
+    starts = [F.when(size > k, F.substring("word", 1, k)) for k in STEMS]
+    below = above.withColumn("_start", F.explode(F.array_compact(F.array(*starts)))).join(shorter, "_start")
+    above = above.join(below.where("_z >= z").select("word").distinct(), "word", "left_anti")
+    return {bytes(r.word): round(r.z, 6) for r in above.orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()}
 
 
 def measured(docs: DataFrame, lexicon: dict[bytes, float], carry) -> DataFrame:

@@ -121,3 +121,19 @@ def test_ties_at_the_cut_and_growth_over_rounds(spark, monkeypatch):
     for turn in (1, 2):
         for n in fitted[2 * turn : 2 * turn + 2]:
             assert abs(n - learned - turn * cotraining.HANDED * 5600) < 20
+
+
+def test_lexicon_holds_words_that_no_plain_row_has(spark):
+    """Common words, which long toxic rows have a little more often, don't push rare insults out."""
+    rng = random.Random(4)
+    common, insults = [f"wo{k:03}rd" for k in range(150)], [b"zorgling", b"quibbart", b"mupfel"]
+    rows = []
+    for i in range(3300):
+        toxic = i < 300
+        words = [w for w in common if rng.random() < (0.9 if toxic else 0.8)]
+        if i < 36:
+            words.append(insults[i % 3].decode())
+        rows.append((" ".join(words), int(toxic)))
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert all(max(found.get(e, 0) for e in toxicity.entries(w)) > toxicity.STRONG_Z for w in insults)
+    assert not any(e.startswith(b"wo") for e in found)
