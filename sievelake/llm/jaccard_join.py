@@ -31,32 +31,24 @@ ROUNDS = 2
 #: Bits of a signature, 64 in a word.
 SIGNED = 1024
 
-#: A task remembers the hashes of so many words.
-REMEMBERED = 400_000
-
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], np.uint64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word):
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = value
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles; of a shorter text, of all its words."""
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the 5-word shingles; of a shorter text, of all its words.
+
+    Words are hashed each time: a table of hundreds of thousands of words is slower to look up.
+    """
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    values = _mixed(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+    values = _mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     size = min(SHINGLE, len(words))
     total = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
@@ -83,10 +75,10 @@ def sketch(docs: DataFrame):
     slots = 1 << SLOT_BITS
 
     def count(batches):
-        total, hashes = np.zeros(slots, np.int64), WordHashes()
+        total = np.zeros(slots, np.int64)
         for part in shards(batches, "text", 8 << 20):
             for text in part.column("text").to_pylist():
-                np.add.at(total, (shingles(text, hashes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+                np.add.at(total, (shingles(text) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
         for k in range(0, slots, _BLOCK):
             if total[k : k + _BLOCK].any():
                 yield pa.RecordBatch.from_arrays(
@@ -116,12 +108,10 @@ def sets(docs: DataFrame, counts, carry=("doc_id",)) -> DataFrame:
     """The carried columns, n_shingles, set (its number, null when empty) and prefix (rarest first)."""
 
     def make():
-        hashes = WordHashes()
-
         def find(texts):
             sizes, numbers, prefixes = [], [], []
             for text in texts:
-                found = shingles(text, hashes)
+                found = shingles(text)
                 n = len(found)
                 sizes.append(n)
                 numbers.append(_number(found) if n else None)
@@ -161,14 +151,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def check(batches):
-        hashes, known = WordHashes(), (None, None)
+        known = (None, None)
         for batch in batches:
             linked = []
             b = batch.column("b").to_pylist()
             for at, (x, y) in enumerate(zip(batch.column("text_a"), batch.column("text_b"))):
                 if known[0] != b[at]:
-                    known = (b[at], shingles(y.as_py(), hashes))
-                linked.append(similar(shingles(x.as_py(), hashes), known[1]))
+                    known = (b[at], shingles(y.as_py()))
+                linked.append(similar(shingles(x.as_py()), known[1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
             )
@@ -211,21 +201,29 @@ def postings(one: DataFrame) -> DataFrame:
     return kept(posts.select("token", post.alias("post"), (F.count("*").over(mine) / F.col("_size")).alias("central")), "posts")
 
 
+#: The columns of ``_place``.
+PLACE = ["_hash", "_id", "_none"]
+
+
+def _place(doc_id: str, hashed: str) -> list:
+    """A hash and an id that may be null, as columns that are never null, so that joins use them as they are."""
+    return [F.col(hashed).alias("_hash"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), F.col(doc_id).isNull().alias("_none")]
+
+
 def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
     """(set, n, text, signed): one text of every set that has a posting, and the signature of the set.
 
     The texts are UTF-8 bytes like those the sets were made from.
     """
     wanted = posts.select("post.set").distinct().join(one.select("set", "doc_id", "text_hash"), "set")
-    wanted = wanted.select(F.col("set").alias("wanted"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_at"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_at"))
-    texts = docs.join(wanted, same).select("wanted", "text", F.col("text").cast("binary").alias("_kept"))
+    wanted = wanted.select(F.col("set").alias("wanted"), *_place("doc_id", "text_hash"))
+    # equal rows meet in one task of the join, where all but one go before anything else moves the texts
+    texts = docs.select("text", *_place("doc_id", "text_hash")).join(wanted, PLACE).dropDuplicates([*PLACE, "wanted"])
+    texts = texts.select("wanted", "text", F.col("text").cast("binary").alias("_kept"))
 
     def make():
-        hashes = WordHashes()
-
         def find(values):
-            found = [shingles(t, hashes) for t in values]
+            found = [shingles(t) for t in values]
             signed = pa.ListArray.from_arrays(
                 np.arange(len(found) + 1, dtype=np.int32) * (SIGNED // 64),
                 pa.array(np.concatenate([signature(f) for f in found] or [np.zeros(0, np.int64)])),
@@ -236,8 +234,7 @@ def texts_of(one: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
 
     # the hash of a text leaves few rows of an id, however many have it
     texts = per_text(texts, make, "set long, n long, signed array<long>", ("wanted", "_kept"))
-    texts = texts.where("set = wanted").select("set", "n", F.col("_kept").alias("text"), "signed")
-    return kept(texts.dropDuplicates(["set"]), "texts")
+    return kept(texts.where("set = wanted").select("set", "n", F.col("_kept").alias("text"), "signed"), "texts")
 
 
 def links(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -335,17 +332,17 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     hashed = [F.col(f"`{c}`") for c in docs.columns if '"map"' not in docs.schema[c].dataType.json()]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    marked = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(*hashed).alias("_hash"), row)
+    marked = docs.select("doc_id", F.xxhash64(*hashed).alias("_hash"), row)
     text_hash = F.xxhash64("_row.text").alias("text_hash")
-    texts = marked.select(F.col("_id").alias("doc_id"), "_hash", F.col("_row.text").alias("text"), text_hash)
+    texts = marked.select("doc_id", "_hash", F.col("_row.text").alias("text"), text_hash)
     found = kept(sets(texts, sketch(texts), ("doc_id", "_hash", "text_hash")), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash"))
     of_sets = found.where("set IS NOT NULL").groupBy("set").agg(first.alias("first"))
     of_classes = of_sets.join(_classes(found, texts.select("doc_id", "text", "text_hash")).select("set", "comp"), "set")
     stays = of_classes.groupBy("comp").agg(F.min("first").alias("first"))
-    stays = kept(stays.select("comp", F.col("first.doc_id").alias("_stays"), F.col("first._hash").alias("_hash")), "stays")
+    stays = kept(stays.select("comp", *_place("first.doc_id", "first._hash")), "stays")
     text = F.translate(F.coalesce("_row.text", F.lit("")), "\t\n\v\f\r", " " * 5)
     empty = F.trim(text) == ""
-    full = marked.where(~empty).join(stays, (marked["_hash"] == stays["_hash"]) & F.col("_id").eqNullSafe(F.col("_stays")))
-    full = full.select("comp", "_row").dropDuplicates(["comp"])  # equal rows
+    # equal rows meet in one task of the join
+    full = marked.where(~empty).select(*_place("doc_id", "_hash"), "_row").join(stays, PLACE).dropDuplicates([*PLACE, "comp"])
     return full.select("_row.*").unionByName(marked.where(empty).select("_row.*"))

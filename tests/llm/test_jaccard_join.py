@@ -159,3 +159,26 @@ def test_texts_of_one_id_are_not_multiplied(spark, monkeypatch, key):
     assert sorted((r.doc_id, r.n_shingles) for r in got if r.doc_id not in (None, 7)) == [
         (i, 27) for i in range(1000) if i != 7
     ]
+
+
+def test_texts_move_once(spark, monkeypatch):
+    """Texts are shuffled for the joins that find them, and not again for dropping equal rows."""
+    plans, store = {}, join.kept
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label):
+        plans[label] = plan(df)
+        return store(df, label)
+
+    monkeypatch.setattr(join, "kept", seen)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        plans["clean"] = plan(join.clean(rows(spark, fixture(3))))
+    finally:
+        spark.conf.set(threshold, before)
+    assert "Exchange" in plans["texts"] and "Exchange" not in plans["texts"].split("MapInArrow")[0]
+    assert "SortMergeJoin" in plans["clean"] and "Exchange" not in plans["clean"].split("SortMergeJoin")[0]
