@@ -177,7 +177,8 @@ def test_texts_move_once(spark, monkeypatch):
     before = spark.conf.get(threshold)
     spark.conf.set(threshold, -1)
     try:
-        plans["clean"] = plan(join.clean(rows(spark, fixture(3))))
+        base = " ".join(f"w{i}" for i in range(60))
+        plans["clean"] = plan(join.clean(docs(spark, [base, base + " x", base + " y", "z " * 9])))
     finally:
         spark.conf.set(threshold, before)
     assert "Exchange" in plans["texts"] and "Exchange" not in plans["texts"].split("MapInArrow")[0]
