@@ -79,41 +79,77 @@ def _names(text, small, order, marked) -> np.ndarray:
     sorted_marked = sorted_marked[sorted_marked >= 0]
     a, b = sorted_marked[:-1], sorted_marked[1:]
     length = end - marked
-    # up to and with the first position of the next one
+    # up to and with the first position of the next one, as many values at a time as 64 bits hold
+    width = 4 if int(text.max()) < 1 << 15 else 1
+    both = np.concatenate([text.astype(np.uint64) * np.uint64(2) + small, np.zeros(width - 1, np.uint64)])
+    words = both[:n].copy()
+    for k in range(1, width):
+        words |= both[k : k + n] << np.uint64(16 * k)
+    masks = np.array([(1 << 16 * k) - 1 for k in range(width)] + [(1 << 64) - 1], np.uint64)
     same = (length[a] == length[b]) & (end[a] < n) & (end[b] < n)
     live, off = np.flatnonzero(same), 0
+    x, y, left = marked[a[live]], marked[b[live]], length[a[live]] + 1
     while len(live):
-        x, y = marked[a[live]] + off, marked[b[live]] + off
-        other = (text[x] != text[y]) | (small[x] != small[y])
+        other = ((words[x + off] ^ words[y + off]) & masks[np.minimum(left - off, width)]) != 0
         same[live[other]] = False
-        live = live[~other & (length[a[live]] > off)]
-        off += 1
+        on = ~other & (left > off + width)
+        live, x, y, left = live[on], x[on], y[on], left[on]
+        off += width
     names = np.empty(len(marked), np.int64)
     names[sorted_marked] = np.concatenate(([0], np.cumsum(~same)))
     return names
 
 
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over a large alphabet, by doubling."""
-    n, rank, h = len(names), names.astype(np.int64) + 1, 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] if h < n else 0
-        key = rank * (int(rank.max()) + 1) + second
+def _doubling(names: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Order of the suffixes of a string over a large alphabet, by doubling; only the suffixes that are
+    still alike are sorted again. Those alike in ``depth`` values may stay in any order."""
+    n = len(names)
+
+    def by(key, top):
+        """``key`` (below ``top``) in order, and where each came from."""
+        bits = max(1, (len(key) - 1).bit_length())
+        if top << bits < 1 << 63:
+            packed = np.sort((key << bits) | np.arange(len(key)))
+            return packed >> bits, packed & ((1 << bits) - 1)
         order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([1], (key[order][1:] != key[order][:-1]).astype(np.int64))))
-        rank, h = new, 2 * h
-        if rank.max() == n or h >= n:
+        return key[order], order
+
+    rank, tied, h = np.zeros(n, np.int64), None, 1
+    key, top = names.astype(np.int64), int(names.max()) + 1
+    while True:
+        key, order = by(key, top)
+        places = np.arange(len(key))
+        fresh = np.append(True, key[1:] != key[:-1])
+        first = np.maximum.accumulate(np.where(fresh, places, 0))
+        if tied is None:
+            moved = order
+            rank[moved] = first + 1  # 0 is behind the end
+        else:
+            moved = tied[order]
+            old = rank[moved]
+            head = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), places, 0))
+            rank[moved] = old + first - head
+        tied = moved[~(fresh & np.append(fresh[1:], True))]
+        if not len(tied):
+            out = np.empty(n, np.int64)
+            out[rank - 1] = np.arange(n)
+            return out
+        if h >= (n if depth is None else min(depth, n)):
             return np.argsort(rank, kind="stable")
+        after = tied + h
+        second = np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        key, top, h = rank[tied] * (n + 1) + second, (n + 1) ** 2, 2 * h
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Suffixes of ``text`` (values from 0) in order. The string of names is sorted in turn: again by
-    induction while its alphabet is small, else by doubling."""
+    induction while its alphabet is small, else by doubling. Suffixes alike in ``depth`` values may stand
+    in any order."""
     n = len(text)
     if n < 3 or len(text) < 32:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
+    if text.dtype != np.uint16 and int(text.max()) < 1 << 16:
+        text = text.astype(np.uint16)  # numpy sorts these by digits
     small = _types(text)
     marked = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if not len(marked):
@@ -123,9 +159,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if kinds == len(marked):
         order = np.argsort(names)
     elif kinds <= 512:
-        order = suffix_array(names)
+        order = suffix_array(names, depth)
     else:
-        order = _doubling(names)
+        order = _doubling(names, depth)
     return _induce(text, small, marked[order])
 
 
@@ -139,9 +175,7 @@ def permuted_prefix_at_least(data: np.ndarray, order: np.ndarray, length: int) -
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.zeros(n, np.uint64)
-    for k in range(8):
-        words |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    words = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
     live = np.flatnonzero((before >= 0) & (np.arange(n) + length <= n))
     live = live[before[live] + length <= n]
     for off in [*range(0, length - 7, 8), length - 8]:

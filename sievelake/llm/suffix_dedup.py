@@ -14,10 +14,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import kept, per_text
+from .common import kept, release_memory, shards
 from .suffix_array import permuted_prefix_at_least, suffix_array
 
 LENGTH = 50
@@ -30,7 +30,11 @@ SHARD = 2 << 20
 #: Stands for a null id, which is larger than any other.
 _NO_ID = (1 << 63) - 1
 
-RUNS = "runs array<struct<key:long,at:int,n:int>>"
+#: Stands for no document, where no string starts.
+_NONE = (1 << 63) - 1
+
+#: Keys are computed over about so many bytes at a time, which a processor's cache holds.
+PIECE = 128 << 10
 
 
 def _byte_values() -> np.ndarray:
@@ -42,67 +46,84 @@ def _byte_values() -> np.ndarray:
 _BYTES = _byte_values()
 
 
-def runs(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first, strings) of the runs of 50-byte strings with one key, cut after 33 strings."""
-    if not text or len(text) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = _BYTES[np.frombuffer(text, np.uint8)]
-    tail = h
-    size, power = 1, 0x9E3779B97F4A7C15
-    while size < 16:
-        h = h[:-size] * np.uint64(power) + h[size:]
-        size, power = 2 * size, power * power % (1 << 64)
-    two = tail[:-1] * np.uint64(0x9E3779B97F4A7C15) + tail[1:]
-    h = h[:-2] * np.uint64(pow(0x9E3779B97F4A7C15, 2, 1 << 64)) + two[16:]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    h = h ^ (h >> np.uint64(29))
-    low, size = h, 1
-    while size < 32:
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(_ODD, k, 1 << 64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def runs(data: np.ndarray, sizes: np.ndarray):
+    """(text, key, at, strings, digest) of the runs of 50-byte strings with one key, cut after 33 strings.
+
+    ``data`` are the bytes of some texts of at least 50 bytes, one after another. The digest is one of all
+    bytes of a run's strings: of the first string and the last, which together cover them.
+    """
+    h = _BYTES[data]
+    two = h[:-1] * _power(1) + h[1:]
+    h = two
+    for size in (2, 4, 8):
+        h = h[:-size] * _power(size) + h[size:]
+    h16 = h
+    h18 = h16[:-2] * _power(2) + two[16:]
+    low = h = _mixed(h18)
+    for size in (1, 2, 4, 8, 16):
         low = np.minimum(low[:-size], low[size:])
-        size *= 2
     low = np.minimum(low[:-1], h[32:])
-    first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    n = np.diff(np.append(first, len(low)))
+    begin = np.cumsum(sizes) - sizes
+    stop = begin + sizes - (LENGTH - 1)
+    fresh = np.append(True, low[1:] != low[:-1])
+    # no string crosses from one text to the next
+    fresh[(stop[:-1, None] + np.arange(LENGTH - 1)).ravel()] = False
+    fresh[begin] = True
+    first = np.flatnonzero(fresh)
+    text = np.repeat(np.arange(len(sizes)), np.diff(np.searchsorted(first, np.append(begin, len(data)))))
+    n = np.minimum(np.append(first[1:], len(data)), stop[text]) - first
     if n.max() > _WINDOW:
         parts = -(-n // _WINDOW)
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        left = np.repeat(n, parts) - inner * _WINDOW
-        first = np.repeat(first, parts) + inner * _WINDOW
-        n = np.minimum(left, _WINDOW)
-    return low[first].view(np.int64), first, n
+        n = np.minimum(np.repeat(n, parts) - inner * _WINDOW, _WINDOW)
+        first, text = np.repeat(first, parts) + inner * _WINDOW, np.repeat(text, parts)
 
+    def string(at):
+        return _mixed(_mixed(_mixed(h16[at]) * _power(3) + h16[at + 16]) * _power(5) + h18[at + 32])
 
-def _lists(counts: list[int], names: list[str], columns: list[np.ndarray]) -> pa.ListArray:
-    """Rows of structs, so many for each text."""
-    flat = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)
-    return pa.ListArray.from_arrays(np.cumsum([0, *counts]).astype(np.int32), flat)
+    digest = _mixed(string(first) * _power(7) + string(first + n - 1) + n.astype(np.uint64))
+    return text, low[first].view(np.int64), first - begin[text], n, digest.view(np.int64)
 
 
-def _keys_of():
-    def find(texts):
-        counts, parts = [], [np.zeros((0, 2), np.int64)]
-        for text in texts:
-            key, first, n = runs(text)
-            digest = xxhash.xxh3_64_intdigest
-            digests = (digest(text[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist()))
-            both = np.stack([key, np.fromiter(digests, np.uint64, len(key)).view(np.int64)], axis=1)
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))[: len(both)]]
-            counts.append(len(both))
-            parts.append(both)
-        both = np.concatenate(parts)
-        return [_lists(counts, ["key", "digest"], [both[:, 0].copy(), both[:, 1].copy()])]
+def _runs(docs: DataFrame, carry: list[str], found: list[str]) -> DataFrame:
+    """A row per run of strings: the columns ``carry`` of its document and ``found`` of key, at, n, digest."""
+    kinds = {"key": "long", "at": "int", "n": "int", "digest": "long"}
+    rows = docs.select(*carry, F.col("text").cast("binary").alias("_text"))
+    arrow = {"long": pa.int64(), "int": pa.int32()}
 
-    return find
+    def find(batches):
+        for part in shards(batches, "_text", PIECE):
+            texts = part.column("_text").combine_chunks()
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = part.filter(pa.array(sizes >= LENGTH))
+            sizes = sizes[sizes >= LENGTH]
+            if not len(sizes):
+                continue
+            data = np.frombuffer(b"".join(part.column("_text").to_pylist()), np.uint8)
+            text, *columns = runs(data, sizes)
+            columns = dict(zip(("key", "at", "n", "digest"), columns))
+            carried = [part.column(c).combine_chunks().to_numpy(zero_copy_only=False)[text] for c in carry]
+            new = [pa.array(columns[c].astype(arrow[kinds[c]].to_pandas_dtype(), copy=False)) for c in found]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, carried), *new], names=[*carry, *found])
 
+    return rows.mapInArrow(find, ", ".join([f"{c} long" for c in carry] + [f"{c} {kinds[c]}" for c in found]))
 
-def _runs_of():
-    def find(texts):
-        found = [runs(t) for t in texts]
-        key, at, n = (np.concatenate([f[k] for f in found]) for k in range(3))
-        return [_lists([len(f[0]) for f in found], ["key", "at", "n"], [key, at.astype(np.int32), n.astype(np.int32)])]
 
-    return find
+def _field(column: pa.ListArray, name: str) -> np.ndarray:
+    """A field of all structs in the lists of a column."""
+    return column.flatten().field(name).to_numpy(zero_copy_only=False)
 
 
 def _contexts(found: DataFrame) -> DataFrame:
@@ -110,98 +131,108 @@ def _contexts(found: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            key, context, at, n, row, doc = [], [], [], [], [], []
-            columns = (batch.column(c) for c in ("_text", "wanted", "_row", "_doc"))
-            for text, wanted, r, d in zip(*(c.to_pylist() for c in columns)):
-                for w in wanted:
-                    key.append(w["key"])
-                    at.append(w["at"])
-                    n.append(w["n"])
-                    context.append(text[w["at"] : w["at"] + w["n"] + LENGTH - 1])
-                row += [r] * len(wanted)
-                doc += [d] * len(wanted)
-            arrays = [pa.array(key, pa.int64()), pa.array(context, pa.binary()), pa.array(at, pa.int32()), pa.array(n, pa.int32())]
+            wanted = batch.column("wanted")
+            counts = wanted.value_lengths().to_numpy(zero_copy_only=False)
+            key, at, n = (_field(wanted, c) for c in ("key", "at", "n"))
+            ends, context, place = (at + n + (LENGTH - 1)).tolist(), [], 0
+            starts = at.tolist()
+            for text, count in zip(batch.column("_text"), counts.tolist()):
+                text = text.as_py()
+                context += [text[a:b] for a, b in zip(starts[place : place + count], ends[place : place + count])]
+                place += count
+            owners = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts)) for c in ("_row", "_doc")]
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(row, pa.int64()), pa.array(doc, pa.int64())], ["key", "context", "at", "n", "row", "doc"]
+                [pa.array(key), pa.array(context, pa.binary()), pa.array(at), pa.array(n), *owners],
+                ["key", "context", "at", "n", "row", "doc"],
             )
 
     return found.mapInArrow(cut, "key long, context binary, at int, n int, row long, doc long")
 
 
-def smallest_documents(contexts: list[bytes], docs: np.ndarray) -> list[list[int]]:
-    """Per context the smallest document of each of its 50-byte strings, by a suffix array of them all; one
-    entry where they are the same."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts], np.int64)
+def smallest_documents(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each byte of the contexts in ``data``, one after another, the smallest document of the 50-byte
+    string that starts there, by a suffix array of them all; none has the value of ``_NONE``."""
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     # a value of their own between the contexts keeps common prefixes from crossing
-    text = np.zeros(len(data) + len(contexts), np.int64)
+    text = np.zeros(len(data) + len(sizes), np.uint16)
     place = np.arange(len(data)) + owner
-    text[place] = data.astype(np.int64) + 1
-    order = suffix_array(text)
+    text[place] = data
+    text[place] += 1
+    order = suffix_array(text, LENGTH)
+    # the place of a byte in ``data``, where a string starts at it
     back = np.full(len(text), -1)
-    back[place] = np.arange(len(data))
+    inside = np.flatnonzero(np.arange(len(data)) + LENGTH <= np.repeat(ends, sizes))
+    back[place[inside]] = inside
     order = back[order]
     order = order[order >= 0]
-    inside = np.arange(len(data)) + LENGTH <= ends[owner]
-    order = order[inside[order]]
     # equal strings stand together, so what is left has the same neighbours
     alike = permuted_prefix_at_least(data, order, LENGTH)
-    group = np.cumsum(~alike[order]) - 1
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    least = np.minimum.reduceat(docs[owner[order]], starts)
-    value = np.zeros(len(data), np.int64)
-    value[order] = least[group]
-    out = [value[e - s : e - LENGTH + 1] for e, s in zip(ends.tolist(), sizes.tolist())]
-    return [v[:1].tolist() if (v == v[0]).all() else v.tolist() for v in out]
+    fresh = ~alike[order]
+    least = np.minimum.reduceat(docs[owner[order]], np.flatnonzero(fresh))
+    value = np.full(len(data), _NONE)
+    value[order] = least[np.cumsum(fresh) - 1]
+    return value
 
 
 def _resolved(distinct: DataFrame) -> DataFrame:
-    """(key, digest, least) from (key, digest, context, doc), sorted by key within the tasks."""
+    """(key, digest, first, hits) from (key, digest, context, doc), sorted by key within the tasks: the smallest
+    document of a context, and the ranges of its strings that a still smaller one has."""
+
+    def flush(held):
+        part = pa.Table.from_batches(held)
+        contexts = part.column("context").to_pylist()
+        sizes = np.array([len(c) for c in contexts], np.int64)
+        docs = part.column("doc").to_numpy()
+        least = smallest_documents(np.frombuffer(b"".join(contexts), np.uint8), sizes, docs)
+        hit = (least < np.repeat(docs, sizes)).astype(np.int8)  # the last bytes of a context start no string
+        edges = np.flatnonzero(np.diff(hit, prepend=0, append=0)).reshape(-1, 2)
+        begin = np.cumsum(sizes) - sizes
+        owner = np.searchsorted(begin, edges[:, 0], "right") - 1
+        ranges = [pa.array((edges[:, k] - begin[owner]).astype(np.int32)) for k in range(2)]
+        offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(sizes)))).astype(np.int32)
+        hits = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(ranges, names=["a", "b"]))
+        columns = [part.column(c).combine_chunks() for c in ("key", "digest", "doc")]
+        return pa.RecordBatch.from_arrays([*columns, hits], ["key", "digest", "first", "hits"])
 
     def solve(batches):
         held, size, last = [], 0, None
-
-        def flush():
-            least = smallest_documents([h[2] for h in held], np.array([h[3] for h in held], np.int64))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h[0] for h in held], pa.int64()),
-                    pa.array([h[1] for h in held], pa.int64()),
-                    pa.array(least, pa.list_(pa.int64())),
-                ],
-                ["key", "digest", "least"],
-            )
-
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "context", "doc"))):
-                if size >= SHARD and row[0] != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-                last = row[0]
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            lengths = pc.binary_length(batch.column("context")).to_numpy()
+            before = np.cumsum(lengths, dtype=np.int64) - lengths
+            start = 0
+            other = np.append(last is not None and key[0] != last, key[1:] != key[:-1])
+            for at in np.flatnonzero(other).tolist():
+                if size + before[at] - before[start] >= SHARD:
+                    held.append(batch.slice(start, at - start))
+                    yield flush(held)
+                    held, size, start = [], 0, at
+            held.append(batch.slice(start))
+            size += int(before[-1] + lengths[-1] - before[start])
+            last = key[-1]
         if held:
-            yield flush()
+            yield flush(held)
+        release_memory()
 
-    return distinct.mapInArrow(solve, "key long, digest long, least array<long>")
+    return distinct.mapInArrow(solve, "key long, digest long, first long, hits array<struct<a:int,b:int>>")
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
     """(row, spans): the byte ranges to remove, not merged, for rows (_row, _doc, text) that have some."""
-    keys = per_text(docs, _keys_of, "keys array<struct<key:long,digest:long>>", ("_doc",))
-    keys = keys.select("_doc", F.inline("keys")).groupBy("key").agg(
+    keys = _runs(docs, ["_doc"], ["key", "digest"]).groupBy("key").agg(
         F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.min("digest").alias("low"), F.max("digest").alias("high")
     )
     keys = keys.where("first < last").select("key", "first", (F.col("low") != F.col("high")).alias("mixed"))
     shared = kept(keys, "shared").hint("shuffle_hash")
-    found = per_text(docs, _runs_of, RUNS, ("_row", "_doc")).select("_row", "_doc", F.inline("runs")).join(shared, "key")
+    found = _runs(docs, ["_row", "_doc"], ["key", "at", "n"]).join(shared, "key")
     # where all runs of a key are equal, the first document that has it keeps them
     found = found.where("mixed OR first < _doc").select("_row", "key", "at", "n", "mixed")
     found = kept(found.groupBy("_row", "mixed").agg(F.collect_list(F.struct("key", "at", "n")).alias("wanted")), "wanted")
     plain = found.where("NOT mixed").select(F.col("_row").alias("row"), F.inline("wanted"))
-    plain = plain.select("row", _span())
+    plain = plain.select("row", _span(F.lit(0), F.col("n")))
 
     wanted = found.where("mixed").select(F.col("_row").alias("_wanted_by"), "wanted")
     texts = docs.join(wanted, F.col("_row") == F.col("_wanted_by")).select(F.col("text").cast("binary").alias("_text"), "wanted", "_row", "_doc")
@@ -209,31 +240,18 @@ def _repeats(docs: DataFrame) -> DataFrame:
     # the digest names a context under its key, so that the contexts themselves are dealt out once
     distinct = cut.groupBy("key", "digest").agg(F.min("doc").alias("doc"), F.min("context").alias("context"))
     solved = kept(_resolved(distinct.repartition("key").sortWithinPartitions("key")), "solved")
+    # a later document than the first loses the whole context
     rows = cut.select("key", "digest", "at", "n", "row", "doc").join(solved, ["key", "digest"])
-    rows = rows.where(F.exists("least", lambda v: v < F.col("doc")))
-    alone = rows.where(F.size("least") == 1).select("row", _span())
-
-    def spans(batches):
-        for batch in batches:
-            row, span = [], []
-            for r, at, doc, least in zip(*(batch.column(c).to_pylist() for c in ("row", "at", "doc", "least"))):
-                hit = np.flatnonzero(np.diff(np.concatenate(([0], (np.array(least) < doc).astype(np.int8), [0]))))
-                for a, b in hit.reshape(-1, 2).tolist():
-                    row.append(r)
-                    span.append({"start": at + a, "end": at + b + LENGTH - 1})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(span, pa.struct([("start", pa.int32()), ("end", pa.int32())]))], ["row", "span"]
-            )
-
-    several = rows.where(F.size("least") > 1).select("row", "at", "doc", "least")
-    several = several.mapInArrow(spans, "row long, span struct<start:int,end:int>")
-    found = several.unionByName(alone).unionByName(plain)
+    rows = rows.where((F.col("first") < F.col("doc")) | (F.size("hits") > 0))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    rows = rows.select("row", "at", F.inline(F.when(F.col("first") < F.col("doc"), whole).otherwise(F.col("hits"))))
+    found = rows.select("row", _span(F.col("a"), F.col("b"))).unionByName(plain)
     return kept(found.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
 
 
-def _span():
-    """All strings of a run, as one byte range."""
-    return F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("end")).alias("span")
+def _span(a, b):
+    """The strings ``a`` to ``b`` (without) of a run, as one byte range."""
+    return F.struct((F.col("at") + a).alias("start"), (F.col("at") + b + (LENGTH - 1)).alias("end")).alias("span")
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
@@ -257,11 +275,14 @@ def dedup(docs: DataFrame, carry=("doc_id",), with_text: bool = False) -> DataFr
 
     def remove(batches):
         for batch in batches:
-            results = []
-            for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist()):
-                text, at, removed, count, pieces = text or b"", 0, 0, 0, []
-                ranges = sorted({(s["start"], s["end"]) for s in spans or ()})
-                for start, end in ranges:
+            results, place = [], 0
+            spans = batch.column("spans")
+            counts = pc.fill_null(spans.value_lengths(), 0).to_pylist()
+            ranges = list(zip(_field(spans, "start").tolist(), _field(spans, "end").tolist()))
+            for text, size in zip(batch.column("_text"), counts):
+                text, at, removed, count, pieces = text.as_py() or b"", 0, 0, 0, []
+                place += size
+                for start, end in sorted(ranges[place - size : place]):
                     if start > at or not count:
                         pieces.append(text[at:start])
                         count += 1

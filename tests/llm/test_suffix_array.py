@@ -36,3 +36,23 @@ def test_common_prefixes():
         j = order[k - 1]
         want = k > 0 and min(i, j) >= 0 and len(raw[i : i + 50]) == 50 and raw[i : i + 50] == raw[j : j + 50]
         assert got[i] == want
+
+
+def test_order_to_a_depth():
+    rng = np.random.default_rng(3)
+    for size, top, depth in ((4000, 2, 5), (4000, 256, 3), (6000, 30, 50)):
+        text = rng.integers(0, top, size)
+        text[1000:1900] = text[2000:2900] = text[100:1000]
+        order = sa.suffix_array(text, depth).tolist()
+        assert sorted(order) == list(range(size))
+        heads = [text[i : i + depth].tolist() for i in order]
+        assert heads == sorted(heads)
+
+
+def test_only_tied_suffixes_are_sorted_again(monkeypatch):
+    names = np.random.default_rng(4).permutation(5000)
+    names[4000:4010] = names[100:110]
+    sizes, plain = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda a, *rest, **more: sizes.append(len(a)) or plain(a, *rest, **more))
+    assert sa._doubling(names).tolist() == naive(names.tolist())
+    assert sizes[0] == 5000 and sum(sizes[1:]) < 200

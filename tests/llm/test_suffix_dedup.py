@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from sievelake.llm import suffix_dedup as dedup
 from tests.llm.util import docs, rows
 
@@ -62,3 +64,27 @@ def test_kept_text_and_empty_table(spark):
     got = {r.doc_id: bytes(r.kept_text) for r in dedup.dedup(docs(spark, texts), with_text=True).collect()}
     assert got == {1: b"q" * 60, 2: b"begin  end"}
     assert dedup.dedup(docs(spark, [])).collect() == []
+
+
+def test_runs_of_many_texts_at_once():
+    rng = random.Random(5)
+    texts = [t.encode() for _, t in fixture() if t and len(t.encode()) >= 50]
+    texts += [b"a" * 50, b"a" * 50, bytes(rng.choices(b"ab", k=50)), texts[0] + b"a" * 120]
+    sizes = np.array([len(t) for t in texts])
+    found = list(zip(*(c.tolist() for c in dedup.runs(np.frombuffer(b"".join(texts), np.uint8), sizes))))
+    for number, text in enumerate(texts):
+        # the same alone as among others, and without gaps
+        alone = list(zip(*(c.tolist() for c in dedup.runs(np.frombuffer(text, np.uint8), np.array([len(text)])))))
+        assert [f[1:] for f in found if f[0] == number] == [f[1:] for f in alone]
+        place = 0
+        for _, _, at, n, _ in alone:
+            assert at == place and 0 < n <= 33
+            place += n
+        assert place == len(text) - 49
+    key_of, digest_of = {}, {}
+    for number, key, at, n, digest in found:
+        for i in range(at, at + n):
+            assert key_of.setdefault(texts[number][i : i + 50], key) == key
+        context = texts[number][at : at + n + 49]
+        assert digest_of.setdefault(context, digest) == digest
+    assert len(set(digest_of.values())) == len(digest_of)
