@@ -30,6 +30,13 @@ def test_all_cells_give_the_exact_answer(spark, rows, queries):
     assert found.exceptAll(truth).count() == 0 and found.count() == truth.count()
 
 
+def test_centres_are_compared_once_where_cells_are_filtered(spark, rows, queries):
+    centres = ann.sampled_centroids(rows, 9)
+    found = ann.ivf_sweep(ann.ivf_assign(rows, centres), queries, centres, [1, 3])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_recall_grows_with_the_probes_and_repeated_values_stay_apart(spark, rows, queries):
     probes = [1, 1, 2, 4, 12]
     centres = ann.sampled_centroids(rows, 12)
